@@ -2,9 +2,28 @@
 
 from __future__ import annotations
 
+from .decontamination import op6_decontamination
+from .near_duplicates import op5_minhash_near_dedup
 from .personal import op8_personal_data
+from .quality import op7_quality_classifier
 from .secrets import op10_secret_scan
+from .segmentation import op3_sentencepiece
+from .spots import op9_spot_fingerprints
+from .substrings import op2_substring_dedup
 from .token_files import op4_token_files
 
-QUERIES = {f.__name__: f for f in (op4_token_files, op8_personal_data, op10_secret_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_substring_dedup,
+        op3_sentencepiece,
+        op4_token_files,
+        op5_minhash_near_dedup,
+        op6_decontamination,
+        op7_quality_classifier,
+        op8_personal_data,
+        op9_spot_fingerprints,
+        op10_secret_scan,
+    )
+}
 SQL: dict[str, str] = {}

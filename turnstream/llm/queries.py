@@ -11,10 +11,12 @@ from .segmentation import op3_sentencepiece
 from .spots import op9_spot_fingerprints
 from .substrings import op2_substring_dedup
 from .token_files import op4_token_files
+from .wrappers import op1_html_extraction
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_html_extraction,
         op2_substring_dedup,
         op3_sentencepiece,
         op4_token_files,

@@ -168,43 +168,63 @@ def _ready(sent: tuple, share: float) -> Items:
     return _READY[name]
 
 
-LEAK = "doc_id long, row_key long, item_id long, distance int, word_start int, word_end int"
+LEAK = "doc_id long, item_id long, distance int, word_start int, word_end int"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, key_col: str | None = None) -> DataFrame:
-    """Per document and item found in it: doc_id, item_id, distance, word_start, word_end (best passage).
+def _passes(benchmark: DataFrame) -> Iterator[tuple]:
+    """The benchmark in parts of at most ITEMS_AT_ONCE items: what is broadcast for one pass."""
+    known = benchmark.select("item_id", "text").filter("text is not null and item_id is not null")
+    part: list = []
+    for r in known.toLocalIterator():
+        part.append(r)
+        if len(part) == ITEMS_AT_ONCE:
+            yield uuid.uuid4().hex, [x["item_id"] for x in part], [x["text"] for x in part]
+            part = []
+    if part:
+        yield uuid.uuid4().hex, [x["item_id"] for x in part], [x["text"] for x in part]
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
+    """Per row and item found in it: doc_id, item_id, distance, word_start, word_end (best passage).
 
     Items are sent to the tasks ITEMS_AT_ONCE at a time; each such part is one pass over the documents, so
     no task ever holds more items. Null and empty items match nothing, null and empty texts hold nothing.
-    Rows stand alone: repeated rows are each reported. With ``key_col`` that column comes back as row_key.
+    Rows stand alone: repeated rows are each reported, a null id stays null.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.col(key_col) if key_col else F.lit(None)).cast("long").alias("row_key"), F.col(text_col).alias("text"))
-    out, part = None, []
-    known = benchmark.select("item_id", "text").filter("text is not null and item_id is not null")
-    session = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = rows.limit(0).selectExpr("doc_id", "0L as item_id", "0 as distance", "0 as word_start", "0 as word_end")
 
-    def one_pass(part: list) -> DataFrame:
-        items = session.sparkContext.broadcast((uuid.uuid4().hex, [r["item_id"] for r in part], [r["text"] for r in part]))
+    for part in _passes(benchmark):
+        items = docs.sparkSession.sparkContext.broadcast(part)
 
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             ready = _ready(items.value, share)
             for batch in batches:
                 for piece, words in slices(batch, "text"):
-                    found = _leaks(words, ready)
-                    if found:
-                        text, *rest = zip(*found, strict=True)
-                        cols = [piece.column(c).take(pa.array(text)) for c in (0, 1)] + [pa.array(rest[0], pa.int64())] + [pa.array(c, pa.int32()) for c in rest[1:]]
+                    if leaks := _leaks(words, ready):
+                        text, item, *rest = zip(*leaks, strict=True)
+                        cols = [piece.column(0).take(pa.array(text)), pa.array(item, pa.int64()), *(pa.array(c, pa.int32()) for c in rest)]
                         yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in LEAK.split(", ")])
 
-        return rows.mapInArrow(scan, LEAK)
+        found = found.unionByName(rows.mapInArrow(lambda b, f=scan: f(b), LEAK))
+    return found
 
-    for r in known.toLocalIterator():
-        part.append(r)
-        if len(part) == ITEMS_AT_ONCE:
-            out, part = one_pass(part) if out is None else out.unionByName(one_pass(part)), []
-    if part or out is None:
-        out = one_pass(part) if out is None else out.unionByName(one_pass(part))
-    return out if key_col else out.drop("row_key")
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", share: float = SHARE) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no passage of any item. One pass for each part of the items."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    for part in _passes(benchmark):
+        items = docs.sparkSession.sparkContext.broadcast(part)
+
+        def scan(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            ready = _ready(items.value, share)
+            for batch in batches:
+                for piece, words in slices(batch, text_col):
+                    held = {text for text, *_ in _leaks(words, ready)}
+                    yield piece.filter(pa.array([i not in held for i in range(piece.num_rows)]))
+
+        docs = docs.mapInArrow(lambda b, f=scan: f(b), schema)
+    return docs
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

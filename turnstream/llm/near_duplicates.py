@@ -267,20 +267,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null id counts as -2**63. Rows with equal ids are rows of their own; kept says that a row's id is
     its component's. Other columns are not read.
     """
+    placed = _placed(docs, id_col, text_col)
+    least = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = placed.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per row: doc_id, copy (hash of the text), n_shingles, root (a number for each class, null without words)."""
     rows = _keyed(docs, id_col, text_col)
     signed = materialise(_signed(rows).withColumn("uid", F.monotonically_increasing_id()), "signed")
     same = ["n_shingles", "set_a", "set_b"]
     nodes = signed.filter("n_shingles > 0").groupBy(*same).agg(F.min("uid").alias("node"))
     nodes = materialise(nodes.join(signed.select(F.col("uid").alias("node"), "doc_id", "copy", "signature"), "node"), "nodes")
     edges = materialise(_candidate_edges(nodes.select("node", "signature")), "candidates")
-    links = _confirmed(rows, nodes, edges)
-    classes = components(links)
+    classes = components(_confirmed(rows, nodes, edges))
     root = nodes.join(classes, "node", "left").select(*same, F.coalesce("component", "node").alias("root"))
-    placed = signed.join(root, same, "left").select("uid", "doc_id", "n_shingles", "root")
-    placed = materialise(placed, "placed")
-    least = placed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = placed.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return materialise(signed.join(root, same, "left").select("doc_id", "copy", "n_shingles", "root"), "placed")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, of each class only the one with the smallest id (then text hash).
+
+    Rows without words are all kept. Of rows with the same id and text, one is kept.
+    """
+    placed = _placed(docs, id_col, text_col).filter("root is not null")
+    least = placed.groupBy("root").agg(F.min("doc_id").alias("doc_id"))
+    chosen = placed.join(least, ["root", "doc_id"]).groupBy("root", "doc_id").agg(F.min("copy").alias("copy"))
+    chosen = materialise(chosen.select(F.col("doc_id").alias("kept_id"), F.col("copy").alias("kept_copy")), "kept")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
+    wordless = ~text.rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.filter(~wordless).withColumns({"kept_id": key, "kept_copy": F.xxhash64(text)})
+    one = keyed.join(chosen, ["kept_id", "kept_copy"], "left_semi").dropDuplicates(["kept_id", "kept_copy"])
+    return one.select(*docs.columns).unionByName(docs.filter(wordless))
 
 
 def _confirmed(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnstream import config
-from turnstream.functions import markers, normalize
+from turnstream.functions import markers, normalize, scalars
 from turnstream.operators import align, cluster, features, folds, intervals, report
 from turnstream.sources import audio
 
@@ -192,3 +192,24 @@ def test_checked_fails_on_a_bad_row(spark):
     assert good.count() == 2
     with pytest.raises(Exception, match="x must be below 2"):
         config.checked(spark.createDataFrame(df), F.col("x") < 2, "x must be below 2").collect()
+
+
+def test_relabelled_and_unbounded_means():
+    m = cluster.OnlineMeans(0.5, 2, "euclidean", relabel=True)
+    assert [m.label(np.array(x, float)) for x in ([0, 0], [5, 0], [9, 0])] == [0, 1, 0]
+    assert len(m.centers) == 1  # the farthest center stood for one value and went
+    u = cluster.UnboundedMeans(0.5)
+    assert [u.label(np.array(x, float)) for x in ([0, 0], [5, 0], [9, 0], [9, 0.1])] == [0, 1, 2, 2]
+
+
+def test_agglomerate():
+    x = np.array([[1, 0], [1, 0.1], [0, 1], [0.1, 1], [-1, 0]])
+    assert cluster.agglomerate(x, 0.3, 1, 5) == [0, 0, 1, 1, 2]
+    assert cluster.agglomerate(x, 0.3, 2, 2) == [0, 0, 0, 0, 1] or len(set(cluster.agglomerate(x, 0.3, 2, 2))) == 2
+
+
+def test_scalars(spark):
+    df = spark.createDataFrame([(-3_661_007, 1.0, 2.675, "ﬁ é ab12c x", [2.0, 1.0, 1.0])], "m long, s double, r double, t string, v array<double>")
+    c = F.col
+    r = df.select(scalars.clock(c("m")), scalars.int16_wrapped(c("s")), scalars.py_round2(c("r")), scalars.nfkc(c("t")), scalars.without_accents(c("t")), scalars.spaced_alpha_num(F.lit("ab12c x")), scalars.faded_int16(c("v"), 2), scalars.codec_tokens(F.lit("<|s_12|><|speech_3|>")), scalars.from_log(F.lit(9.0))).first()
+    assert list(r) == ["-01:01:01.007", -32768, 2.67, "fi é ab12c x", "ﬁ e ab12c x", "ab 12 C X", [32767, 32767, 0], [12, 3], 1e5]

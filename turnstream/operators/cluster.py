@@ -24,44 +24,67 @@ class OnlineMeans(Fold):
 
     Within the threshold of the nearest center: the center moves. Else a new cluster while there is room;
     when there is none, the farthest center (Euclidean) gives up the value's share or, if it stands for one
-    value, is replaced (``replace``) or removed with the value as a new last cluster (``pop``).
+    value, is replaced by the value. With ``relabel`` such a center is dropped instead, and the label is that of
+    the nearest center after the change.
     """
 
-    def __init__(self, threshold: float, most: int, metric: str = "cosine", full: str = "replace"):
-        self.threshold, self.most, self.full = threshold, most, full
+    def __init__(self, threshold: float, most: int, metric: str = "cosine", relabel: bool = False):
+        self.threshold, self.most, self.relabel = threshold, most, relabel
         self.distance = _cosine if metric == "cosine" else _euclidean
         self.centers: list[np.ndarray] = []
         self.sizes: list[int] = []
 
     def label(self, x: np.ndarray) -> int:
-        if self.centers:
-            d = self.distance(np.stack(self.centers), x)
-            k = int(np.argmin(d))
-            if d[k] <= self.threshold:
-                n = self.sizes[k]
-                self.centers[k], self.sizes[k] = (self.centers[k] * n + x) / (n + 1), n + 1
-                return k
+        if not self.centers:
+            return self._new(x)
+        k = self._change(x)
+        return int(np.argmin(self.distance(np.stack(self.centers), x))) if self.relabel else k
+
+    def _new(self, x: np.ndarray) -> int:
+        self.centers.append(x)
+        self.sizes.append(1)
+        return len(self.centers) - 1
+
+    def _give(self, k: int, x: np.ndarray, sign: int) -> int:
+        n = self.sizes[k]
+        self.centers[k], self.sizes[k] = (self.centers[k] * n + sign * x) / (n + sign), n + sign
+        return k
+
+    def _change(self, x: np.ndarray) -> int:
+        d = self.distance(np.stack(self.centers), x)
+        k = int(np.argmin(d))
+        if d[k] <= self.threshold:
+            return self._give(k, x, 1)
+        return self._missed(x)
+
+    def _missed(self, x: np.ndarray) -> int:
         if len(self.centers) < self.most:
-            self.centers.append(x)
-            self.sizes.append(1)
-            return len(self.centers) - 1
+            return self._new(x)
         k = int(np.argmax(_euclidean(np.stack(self.centers), x)))
-        n = self.sizes[k]
-        if n > 1:
-            self.centers[k], self.sizes[k] = (self.centers[k] * n - x) / (n - 1), n - 1
-        elif self.full == "replace":
-            self.centers[k] = x
-        else:
+        if self.sizes[k] > 1:
+            return self._give(k, x, -1)
+        if self.relabel and len(self.centers) > 1:
             del self.centers[k], self.sizes[k]
-            self.centers.append(x)
-            self.sizes.append(1)
-            k = len(self.centers) - 1
+        else:
+            self.centers[k] = x
         return k
 
     def take(self, columns: dict[str, np.ndarray]) -> list[tuple]:
         return [(i, self.label(np.asarray(x, dtype=np.float64))) for i, x in zip(columns["chunk_idx"].tolist(), columns["v"], strict=True)]
 
 
+class UnboundedMeans(OnlineMeans):
+    """Any number of clusters; a value that is near none takes its share from the smallest cluster, or
+    starts one of its own if that stands for one value."""
+
+    def __init__(self, threshold: float):
+        super().__init__(threshold, 1 << 30, "euclidean", relabel=True)
+
+    def _missed(self, x: np.ndarray) -> int:
+        k = int(np.argmin(self.sizes))
+        return self._give(k, x, -1) if self.sizes[k] > 1 else self._new(x)
+
+
 class SimilarSpeakers(OnlineMeans):
     """Similarity (cosine + 1) / 2; the best center at or over the threshold becomes the mean with the value."""
 
@@ -82,3 +105,55 @@ class SimilarSpeakers(OnlineMeans):
 def online_labels(embeddings: DataFrame, keys: list[str], make) -> DataFrame:
     """embeddings: keys, chunk_idx, v. Adds nothing to order: labels follow chunk_idx and are never revised."""
     return fold(embeddings, keys, ["chunk_idx"], ["v"], make, "chunk_idx long, speaker int")
+
+
+def _linkage(x: np.ndarray) -> list[tuple[int, int, float]]:
+    """Centroid linkage: (node, node, distance) of each merge; merge k makes node len(x) + k."""
+    centers, sizes, alive = list(x), [1] * len(x), list(range(len(x)))
+    merges = []
+    while len(alive) > 1:
+        c = np.stack([centers[i] for i in alive])
+        d = np.sqrt(np.maximum((c * c).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * c @ c.T, 0))
+        d[np.tril_indices(len(alive))] = np.inf
+        i, j = divmod(int(np.argmin(d)), len(alive))
+        a, b = alive[i], alive[j]
+        merges.append((a, b, float(d[i, j])))
+        centers.append((centers[a] * sizes[a] + centers[b] * sizes[b]) / (sizes[a] + sizes[b]))
+        sizes.append(sizes[a] + sizes[b])
+        alive = [k for k in alive if k not in (a, b)] + [len(centers) - 1]
+    return merges
+
+
+def agglomerate(x: np.ndarray, threshold: float, least: int, most: int) -> list[int]:
+    """Flat clusters of unit vectors cut at the threshold, which is moved so that there are least..most.
+
+    Labels count clusters in order of their first member.
+    """
+    n = len(x)
+    x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), EPS)
+    merges = _linkage(x)
+    at = lambda k: merges[-k][2] if k < n else -np.inf
+    cut = at(least) if least == most else min(max(threshold, at(most)), at(least))
+    up, top = list(range(n)), [-np.inf] * n
+    members = [[i] for i in range(n)]
+    for a, b, d in merges:
+        members.append(members[a] + members[b])
+        top.append(max(d, top[a], top[b]))
+        if top[-1] <= cut:
+            for i in members[-1]:
+                up[i] = len(members) - 1
+    names: dict[int, int] = {}
+    return [names.setdefault(u, len(names)) for u in up]
+
+
+def agglomerative_labels(embeddings: DataFrame, key: str, threshold: float = 0.25, least: int = 1, most: int = 20) -> DataFrame:
+    """key, chunk_idx, speaker: offline clustering of one recording, whose embeddings are one group."""
+    import pandas as pd
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk_idx")
+        x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["v"]])
+        labels = agglomerate(x, threshold, least, most) if len(x) > 1 else [0]
+        return pd.DataFrame({key: pdf[key], "chunk_idx": pdf["chunk_idx"], "speaker": labels})
+
+    return embeddings.select(key, "chunk_idx", "v").groupBy(key).applyInPandas(one, f"{key} long, chunk_idx long, speaker int")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnstream.functions import markers, normalize
+from turnstream.functions import markers, normalize, scalars
 from turnstream.operators import align, cluster, features, folds, intervals, report
 from turnstream.plans import bindings as b
 from turnstream.plans.bindings import table, with_
@@ -341,7 +341,17 @@ def q29_streaming_kmeans_cosine(spark, d):
 
 @query()
 def q30_streaming_kmeans_euclid(spark, d):
-    return _labels(b.chunk_embeddings(spark, d), lambda: cluster.OnlineMeans(6.0, 5, "euclidean", "pop"))
+    return _labels(b.chunk_embeddings(spark, d), lambda: cluster.OnlineMeans(6.0, 5, "euclidean", relabel=True))
+
+
+@query()
+def q31_kmeans_unbounded(spark, d):
+    return _labels(b.chunk_embeddings(spark, d), lambda: cluster.UnboundedMeans(6.0))
+
+
+@query()
+def q33_agglomerative(spark, d):
+    return cluster.agglomerative_labels(b.chunk_embeddings(spark, d), "rec", 0.6, 1, 8)
 
 
 @query()
@@ -560,6 +570,40 @@ def q55_speech_token_windows(spark, d):
     return rows.select("doc_id", F.col("k").cast("long").alias("window_no"), start.cast("long").alias("start_word"), end.cast("long").alias("end_word"), F.md5(F.array_join(F.slice("a", start + 1, end - start), " ")).alias("words_md5"))
 
 
+# --- scalars
+
+
+_CLOCK = "printf('%s%02d:%02d:%02d.%03d', case when m < 0 then '-' else ' ' end, cast(abs(m) // 3600000 as int), cast(abs(m) // 60000 % 60 as int), cast(abs(m) // 1000 % 60 as int), cast(abs(m) % 1000 as int))"
+
+
+@query(f"{with_('seg', 'turns')}, x as (select conv_id, pos, s * 10 as m, e - s as width from turns) select conv_id, pos, {_CLOCK} as clock, cast(floor(greatest(0.0::double, least(1.0::double, (width - 100.0::double) / 500.0::double)) * 1000 + 0.5) as bigint) as share_milli from x")
+def q57_scalar_formats(spark, d):
+    share = scalars.clamped_share((F.col("e") - F.col("s")).cast("double"), 100.0, 600.0)
+    return b.turns(spark, d).select("conv_id", "pos", scalars.clock(F.col("s") * 10).alias("clock"), F.floor(share * 1000 + 0.5).cast("long").alias("share_milli"))
+
+
+@query("""with p as (select event_type, max(abs(value)) as top from events group by event_type), x as (select event_id, cast(trunc(value / top * 32768) as bigint) + 32768 as n from events join p using (event_type))
+select event_id, cast((n % 65536 + 65536) % 65536 - 32768 as int) as pcm from x""")
+def q58_peak_int16(spark, d):
+    events = table(spark, d, "events")
+    top = events.groupBy("event_type").agg(F.max(F.abs("value")).alias("top"))
+    return events.join(top, "event_type").select("event_id", scalars.int16_wrapped(F.col("value") / F.col("top")).alias("pcm"))
+
+
+@query(f"select doc_id, len({_WORDS}) as n_tokens, cast(coalesce(list_sum(list_transform({_WORDS}, lambda w: length(w))), 0) as bigint) as total from documents")
+def q59_codec_tokens(spark, d):
+    words = normalize.words_of(F.lower(F.coalesce("text", F.lit(""))))
+    coded = F.array_join(F.transform(words, lambda w: F.concat(F.lit("<|s_"), F.length(w), F.lit("|>"))), "")
+    ids = scalars.codec_tokens(coded)
+    return table(spark, d, "documents").select("doc_id", ids.alias("ids")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(f"select conv_id, turn, cast(list_has_any({_WORDS}, ['system', 'the', 'und']) as int) as blocked, cast(length(coalesce(text, '')) <= 1000 as int) as short_enough from conversations")
+def q60_prompt_guard(spark, d):
+    words = normalize.words_of(F.lower(F.coalesce("text", F.lit(""))))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.arrays_overlap(words, F.array(*map(F.lit, ("system", "the", "und")))).cast("int").alias("blocked"), (F.length(F.coalesce("text", F.lit(""))) <= 1000).cast("int").alias("short_enough"))
+
+
 # --- the flagship
 
 

@@ -34,7 +34,8 @@ from .words import string_bytes
 INDEX_MAGIC, SEEK_MAGIC, SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1  # fixed values of the public format
 FRAME_IDS = 1 << 16
 FILE_IDS = 1 << 26
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
+ENCODED_BYTES = 4_000_000
 INDEX_TYPE = np.dtype([("doc_id", "<i8"), ("frame", "<u4"), ("at", "<u4"), ("n", "<u4")])
 _LOADED: dict = {}
 
@@ -131,7 +132,9 @@ class WordEncoder:
     """Encodes texts with a tokenizer that never joins across ASCII white space.
 
     Its normaliser and its splitting rule treat white space as a border, so a text's ids are those of its
-    pieces between white space, in order; each distinct piece is encoded once and remembered.
+    pieces between white space, in order; each distinct piece is encoded once and remembered. The rule also
+    has a border between a letter and the full stops or commas behind it, and its normaliser lower-cases,
+    so pieces of ASCII letters that differ in these alone are encoded as one.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
@@ -140,21 +143,36 @@ class WordEncoder:
         self.tokenizer, self.cached = Tokenizer.from_file(path), cached
         self.known: dict[bytes, bytes] = {}
 
-    def __call__(self, text: bytes) -> bytes:
-        pieces = text.split()  # of bytes: at ASCII white space only
-        known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        new = list(set(pieces).difference(known))
-        if len(known) + len(new) > self.cached:
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        pieces = [t.split() for t in texts]  # of bytes: at ASCII white space only
+        known, new = self.known, set()
+        for p in pieces:
+            new.update(p)
+        if len(known) + len(new) > 2 * self.cached:
             known.clear()
-            new = list(set(pieces))
-        encoded = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-        for p, e in zip(new, encoded, strict=True):
-            known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([known[p] for p in pieces])
+        self._learn(new.difference(known))
+        return [b"".join(map(known.__getitem__, p)) for p in pieces]
+
+    def _learn(self, new: set[bytes]) -> None:
+        known, wanted, made = self.known, set(), []
+        for p in new:
+            core = p.rstrip(b".,")
+            if core and core != p and (core[-1] | 32) in range(97, 123):
+                core = core.lower() if core.isascii() else core
+                made.append((p, core, p[len(core) :]))
+                wanted.update(made[-1][1:])
+            elif p.isalpha() and p.isascii():
+                made.append((p, p.lower(), b""))
+                wanted.add(made[-1][1])
+            else:
+                wanted.add(p)
+        wanted = list(wanted.difference(known))
+        known[b""] = b""
+        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in wanted], add_special_tokens=False)
+        for w, e in zip(wanted, encoded, strict=True):
+            known[w] = struct.pack(f"<{len(e)}I", *e.ids)
+        for p, core, tail in made:
+            known[p] = known[core] + known[tail]
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -183,6 +201,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, id_col:
         end = b"" if end_id is None else struct.pack("<I", end_id)
         made, writer, sink = [], None, None
 
+        def encoded(raw, offsets) -> Iterator[bytes]:
+            i, n = 0, len(offsets) - 1
+            while i < n:  # about ENCODED_BYTES at a time, one long text alone
+                j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + ENCODED_BYTES, side="right")) - 1))
+                at = offsets[i : j + 1].tolist()
+                yield from encode([raw[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])
+                i = j
+
         def finish():
             writer.close()
             sink.close()
@@ -190,14 +216,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, id_col:
 
         for batch in batches:
             raw, offsets = string_bytes(batch.column(1))
-            raw, at = memoryview(raw), offsets.tolist()
-            for i, doc_id in enumerate(batch.column(0).to_pylist()):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(raw, offsets), strict=True):
                 if writer is None:
                     name = f"part-{context.partitionId():06d}-{len(made):04d}-{context.taskAttemptId()}.tok.zst"
                     sink = fs.open_output_stream(f"{root}/{name}", compression=None)
                     writer = TokenFileWriter(sink, frame_ids)
                     made.append({"part": context.partitionId(), "piece": len(made), "path": f"{folder}/{name}"})
-                writer.add(doc_id, encode(bytes(raw[at[i] : at[i + 1]])) + end)
+                writer.add(doc_id, ids + end)
                 if writer.n_ids >= file_ids:
                     finish()
                     writer = None

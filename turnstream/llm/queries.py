@@ -28,4 +28,25 @@ QUERIES = {
         op10_secret_scan,
     )
 }
-SQL: dict[str, str] = {}
+_WORDS = r"list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_TEXT = "coalesce(text, '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL: dict[str, str] = {
+    "op2_substring_dedup": f"""with w as (select doc_id, {_WORDS.format(_TEXT)} as a from documents),
+win as (select doc_id, a, unnest(range(1, len(a) - 33)) as i from w where len(a) >= 35),
+h as (select doc_id, i, md5(array_to_string(a[i : i + 34], ' ')) as h from win),
+again as (select h from h group by h having count(*) > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 35)) as p from h join again using (h)),
+g as (select doc_id, list(p) as ps from gone group by doc_id)
+select doc_id, len(a) as n_words, coalesce(len(ps), 0) as n_removed,
+ sha256(coalesce(array_to_string(case when ps is null then a else list_filter(a, lambda x, i: not list_contains(ps, i)) end, ' '), '')) as kept_sha256 from w left join g using (doc_id)""",
+    "op5_minhash_near_dedup": f"""with recursive w as (select doc_id, {_WORDS.format(_LOWER)} as a from documents),
+s as (select doc_id, case when len(a) >= 5 then list_distinct(list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i : i + 4], ' '))) when len(a) > 0 then [array_to_string(a, ' ')] else [] end as sh from w),
+e as (select doc_id, len(sh) as n, unnest(sh) as x from s),
+c as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as k from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+l as (select a, b from c where 100 * k >= 85 * (na + nb - k)),
+near as (select a, b from l union all select b, a from l),
+reach as (select doc_id as node, doc_id as root from s union select near.b, reach.root from reach join near on near.a = reach.node)
+select s.doc_id, len(sh) as n_shingles, min(root) as component_id, s.doc_id = min(root) as kept from s join reach on reach.node = s.doc_id group by s.doc_id, len(sh)""",
+}

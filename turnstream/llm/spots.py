@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,48 +139,54 @@ def _compared(ids: list, texts: list[str], following: list[str]) -> list[tuple]:
     ]
 
 
+def _bucketed(rows: DataFrame, n: int) -> DataFrame:
+    """Adds ``bucket``: a range of ids, ascending, about n of them; null ids are in bucket -1."""
+    bounds = sorted(set(rows.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n))) if n > 1 else []
+    if not bounds:
+        return rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(0))
+    cut = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="as_double", outputCol="in_range", handleInvalid="keep")
+    found = cut.transform(rows.withColumn("as_double", F.col("doc_id").cast("double")))
+    return found.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("in_range").cast("int"))).drop("as_double", "in_range")
+
+
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text, its edited text and the next one in descending order of ids, by their fingerprints.
 
     The edited text has its last floor(n/2) code points replaced by the first as many of the next text.
     Equal ids are ordered by text; null ids come last; null text counts as empty; a single row is its own
-    next. Rows are sorted by ranges of ids; only each range's first and last text meet other ranges'.
+    next. Rows are dealt by ranges of ids, and each range also gets a copy of the row that follows its last
+    one: texts are shuffled once. What reaches the driver is one id for each range.
     """
-    edge = "part int, edge boolean, head string, tail_id long, tail string"
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    rows = rows.repartitionByRange(order[0]).sortWithinPartitions(*order)
+    rows = _bucketed(rows, n)
+    tops = {r["bucket"]: r["top"] for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()}
+    ring = sorted(tops, reverse=True)
+    before = dict(zip(ring, [ring[-1:] and ring[-1], *ring[:-1]], strict=False))
+    heads = rows.filter(F.col("doc_id").isin([t for t in tops.values() if t is not None]) | F.col("doc_id").isNull()).groupBy("bucket", "doc_id").agg(F.min("text").alias("text"))
+    taker = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("bucket")] if before else F.lit(0)
+    copies = heads.select("doc_id", "text", taker.alias("bucket"), F.lit(True).alias("copy"))
+    dealt = rows.withColumn("copy", F.lit(False)).unionByName(copies).repartitionByRange(n, "bucket")
+    dealt = dealt.sortWithinPartitions("bucket", "copy", F.col("doc_id").desc_nulls_last(), "text").select("doc_id", "text", "bucket", "copy")
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    schema = pa.schema([*zip(_NAMES, types, strict=True), ("part", pa.int32()), ("edge", pa.bool_()), ("head", pa.string()), ("tail_id", pa.int64()), ("tail", pa.string())])
+    schema = pa.schema(list(zip(_NAMES, types, strict=True)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, head, last = TaskContext.get().partitionId(), None, None
+        last = None
         for batch in batches:
-            step = 1000
-            for at in range(0, batch.num_rows, step):
-                ids, texts = (batch.column(c).slice(at, step).to_pylist() for c in (0, 1))
-                head = texts[0] if head is None else head
-                if last is not None:
-                    ids, texts = [last[0], *ids], [last[1], *texts]
-                out = _compared(ids[:-1], texts[:-1], texts[1:])
-                last = ids[-1], texts[-1]
-                yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r, strict=True)) | {"part": part, "edge": False} for r in out], schema=schema)
-        if last is not None:
-            yield pa.RecordBatch.from_pylist([{"part": part, "edge": True, "head": head, "tail_id": last[0], "tail": last[1]}], schema=schema)
-
-    done = materialise(rows.mapInArrow(scan, f"{_OUT}, {edge}"), "compared")
-    edges = done.filter("edge").select("part", "head", "tail_id", "tail")
-    every = Window.orderBy("part")  # one number for each range of ids
-    parts = edges.select("part").select("part", F.lead("part").over(every).alias("after"), F.min("part").over(every).alias("least"))
-    joined = edges.join(parts, "part").select("tail_id", "tail", F.coalesce("after", "least").alias("after")).join(edges.select(F.col("part").alias("after"), F.col("head").alias("next")), "after")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = _compared(*(batch.column(c).to_pylist() for c in (0, 1, 2)))
-                yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r, strict=True)) for r in out], schema=pa.schema(list(zip(_NAMES, types, strict=True))))
-
-    return done.filter("not edge").select(*_NAMES).unionByName(joined.select("tail_id", "tail", "next").mapInArrow(finish, _OUT))
+            for at in range(0, batch.num_rows, 500):
+                ids, texts, following = [], [], []
+                for i, text, bucket, copy in zip(*(c.slice(at, 500).to_pylist() for c in batch.columns), strict=True):
+                    if last is not None and last[2] == bucket:
+                        ids.append(last[0])
+                        texts.append(last[1])
+                        following.append(text)
+                    last = None if copy else (i, text, bucket)
+                if ids:
+                    out = _compared(ids, texts, following)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], schema=schema)
+
+    return dealt.mapInArrow(scan, _OUT)
 
 
 def op9_spot_fingerprints(spark, sf_dir: str) -> DataFrame:

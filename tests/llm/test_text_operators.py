@@ -99,7 +99,7 @@ def test_n_best_is_exact(pieces, text):
     arcs, _ = pieces._arcs(chunk)
     ways: list[list[float]] = [[0.0]]
     for j in range(1, len(chunk) + 1):
-        ways.append(sorted((s + w for i, s, _ in arcs[j] for w in ways[i]), reverse=True)[:8])
+        ways.append(sorted((s + w for _, i, s, _ in arcs[j] for w in ways[i]), reverse=True)[:8])
     found = pieces.n_best(text)
     assert np.allclose([s for s, _ in found], ways[-1][: len(found)])
     assert len(found) == min(4, len(ways[-1]))

@@ -8,7 +8,9 @@ In a chunk the forward Viterbi pass gives for each place the best score of any w
 search starts at the end of the lattice and extends partial ways to the left; the forward score of the
 place it has reached is the exact best rest, so complete ways come out in order of their scores, each
 found without a detour. The N best ways of a text are the N best sums over its chunks, merged chunk by
-chunk. Chunks are remembered, so each distinct one is searched once by a worker.
+chunk. A chunk's best way and what the second-best loses decide which few chunks a text's N best ways can
+change; these come from forward passes over many new chunks at once, and are remembered. Only the few
+chunks that can change are searched.
 
 A character that no piece covers is written as its UTF-8 bytes, at the score of an unknown.
 """
@@ -23,6 +25,7 @@ from bisect import insort
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +33,21 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 BEST = 4
 UNKNOWN_UNDER = 10.0  # below the lowest score of a piece, as the library does
-CACHED = 500_000
+CACHED = 800_000
 _CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _LOADED: dict = {}
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hash(piece: str) -> int:
+    h = 0
+    for c in piece:
+        h = (h * int(_BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
 class Pieces:
     """A model's pieces, and the N best segmentations of chunks."""
 
@@ -50,9 +63,19 @@ class Pieces:
         self.lowest = min(real, default=0.0)
         # pieces that a model lists without a score of their own count as its lowest
         self.scores = {p.id_to_piece(i): max(p.get_score(i), self.lowest) for i in plain}
+        # every beginning of a piece; empty where it is no piece itself
+        self.begun: dict[str, tuple] = {p[:k]: () for p in self.ids for k in range(1, len(p))}
+        self.begun |= {p: (self.scores[p], (i,)) for p, i in self.ids.items()}
+        self.longest = max(map(len, self.ids), default=1)
+        hashed = sorted((_hash(p), p) for p in self.ids)
+        self.hashes = np.array([h for h, _ in hashed], dtype=np.uint64)
+        self.hash_scores = np.array([self.scores[p] for _, p in hashed])
+        self.hash_ids = np.array([self.ids[p] for _, p in hashed])
+        self.maybe = np.zeros(1 << 20, dtype=bool)
+        self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.bytes = {int(p.id_to_piece(i)[3:5], 16): i for i in range(n) if p.is_byte(i)}
         self.unknown = p.unk_id()
-        self.longest = max(map(len, self.ids), default=1)
         of_byte = {i: b for b, i in self.bytes.items()}
         self.raw = [bytes([of_byte[i]]) if i in of_byte else b"" if p.is_control(i) else p.id_to_piece(i).encode() for i in range(n)]
         self.high_bytes = {i for i, b in of_byte.items() if b >= 128}
@@ -63,19 +86,28 @@ class Pieces:
         return self.processor.normalize(text) if text else ""
 
     def _arcs(self, chunk: str) -> tuple[list[list[tuple]], list[float]]:
-        """For each end the pieces that end there (start, score, ids), and the forward Viterbi scores."""
-        n, longest, ids, scores = len(chunk), self.longest, self.ids, self.scores
-        arcs, forward = [[]], [0.0]
-        for j in range(1, n + 1):
-            here = []
-            for i in range(max(0, j - longest), j):
-                piece = chunk[i:j]
-                if piece in ids:
-                    here.append((i, scores[piece], (ids[piece],)))
-            if chunk[j - 1] not in ids:
-                here.append((j - 1, self.lowest - UNKNOWN_UNDER, tuple(self.bytes.get(b, self.unknown) for b in chunk[j - 1].encode())))
-            arcs.append(here)
-            forward.append(max([forward[i] + s for i, s, _ in here]))
+        """For each end the pieces that end there, and the forward Viterbi scores.
+
+        A piece: the best score of the ways that end with it, its start, its score, its ids.
+        """
+        n, begun = len(chunk), self.begun.get
+        arcs: list[list[tuple]] = [[] for _ in range(n + 1)]
+        forward = [0.0] + [float("-inf")] * n
+        for i in range(n):
+            here = forward[i]
+            for j in range(i + 1, n + 1):
+                piece = begun(chunk[i:j])
+                if piece:
+                    through = here + piece[0]
+                    arcs[j].append((through, i, *piece))
+                    if through > forward[j]:
+                        forward[j] = through
+                elif piece is None:
+                    break  # no piece begins so
+            if not begun(chunk[i]):
+                through = here + self.lowest - UNKNOWN_UNDER
+                arcs[i + 1].append((through, i, self.lowest - UNKNOWN_UNDER, tuple(self.bytes.get(b, self.unknown) for b in chunk[i].encode())))
+                forward[i + 1] = max(forward[i + 1], through)
         return arcs, forward
 
     def search(self, chunk: str, best: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -96,8 +128,8 @@ class Pieces:
                     break
                 continue
             wanted = best - len(out)
-            for i, s, own in arcs[j]:
-                full = -(forward[i] + s + score)
+            for through, i, s, own in arcs[j]:
+                full = -(through + score)
                 if len(agenda) < wanted:
                     insort(agenda, (full, i, s + score, own + ids))
                 elif full < agenda[-1][0]:
@@ -105,26 +137,97 @@ class Pieces:
                     insort(agenda, (full, i, s + score, own + ids))
         return out
 
-    def chunk(self, chunk: str) -> tuple[tuple[int, ...], float, float]:
-        """A chunk's best ids, their score, and what the second-best way loses against it."""
-        found = self.known.get(chunk)
-        if found is None:
-            ways = self.search(chunk, 2)
-            found = ways[0][1], ways[0][0], ways[0][0] - ways[1][0] if len(ways) > 1 else float("inf")
-            if len(self.known) >= CACHED:
-                self.known.clear()
-            if len(chunk) <= 64:
-                self.known[chunk] = found
-        return found
+    def _parts(self, chunk: str) -> list[str]:
+        """The chunk cut between characters that are neighbours in no piece: borders of every segmentation."""
+        pairs, at, out = self.pairs, 0, []
+        for k in range(1, len(chunk)):
+            if chunk[k - 1 : k + 1] not in pairs:
+                out.append(chunk[at:k])
+                at = k
+        out.append(chunk[at:])
+        return out
+
+    def _searched(self, part: str) -> tuple[tuple[int, ...], float, float]:
+        ways = self.search(part, 2)
+        return ways[0][1], ways[0][0], ways[0][0] - ways[1][0] if len(ways) > 1 else float("inf")
+
+    def _learn(self, new: set[str]) -> None:
+        """Best ids, their score and the second-best way's loss of new chunks, from those of their parts."""
+        known, cut = self.known, {c: self._parts(c) for c in new}
+        parts = list({p for own in cut.values() for p in own}.difference(known))
+        short = sorted((p for p in parts if len(p) <= 24), key=len)
+        for at in range(0, len(short), 8192):
+            self._forward_of_many(short[at : at + 8192])
+        for p in parts:
+            if p not in known:
+                known[p] = self._searched(p)
+        for c, own in cut.items():
+            if len(own) > 1:
+                each = [known[p] for p in own]
+                known[c] = tuple(chain.from_iterable([e[0] for e in each])), sum([e[1] for e in each]), min([e[2] for e in each])
+
+    def _forward_of_many(self, parts: list[str]) -> None:
+        """The forward Viterbi pass over many parts at once, with the two best scores of each place.
+
+        Parts with a character that no piece covers are left to the search of single parts.
+        """
+        m, n = len(parts), len(parts[-1])
+        length = np.array([len(p) for p in parts])
+        codes = np.frombuffer("".join([p.ljust(n, "\0") for p in parts]).encode("utf-32-le"), dtype=np.uint32).reshape(m, n).T.astype(np.uint64)
+        first, second = np.full((n + 1, m), -np.inf), np.full((n + 1, m), -np.inf)
+        first[0] = 0
+        back, used = np.zeros((n + 1, m), dtype=np.int64), np.zeros((n + 1, m), dtype=np.int64)
+        hashes = np.zeros((n, m), dtype=np.uint64)
+        scores, pieces = [], []
+        for size in range(1, min(n, self.longest) + 1):
+            hashes = hashes[: n - size + 1] * _BASE + codes[size - 1 :] + np.uint64(1)
+            s, which = np.full(hashes.shape, -np.inf), np.zeros(hashes.shape, dtype=np.int64)
+            i, r = np.nonzero(self.maybe[(hashes >> np.uint64(44)).astype(np.int64)])
+            k = np.minimum(np.searchsorted(self.hashes, hashes[i, r]), len(self.hashes) - 1)
+            hit = (self.hashes[k] == hashes[i, r]) & (i + size <= length[r])
+            s[i[hit], r[hit]], which[i[hit], r[hit]] = self.hash_scores[k[hit]], self.hash_ids[k[hit]]
+            scores.append(s)
+            pieces.append(which)
+        rows = np.arange(m)
+        for j in range(1, n + 1):
+            sizes = range(1, min(j, self.longest) + 1)
+            ways = np.stack([first[j - k] + scores[k - 1][j - k] for k in sizes])
+            others = np.stack([second[j - k] + scores[k - 1][j - k] for k in sizes]).max(0)
+            best = ways.argmax(0)
+            first[j], back[j] = ways[best, rows], best + 1
+            used[j] = np.stack([pieces[k - 1][j - k] for k in sizes])[best, rows]
+            ways[best, rows] = -np.inf
+            second[j] = np.maximum(ways.max(0), others)
+        total, runner_up = first[length, rows], second[length, rows]
+        with np.errstate(invalid="ignore"):  # parts with no way at all
+            loss = total - runner_up
+        place, steps = length.copy(), []
+        while (place > 0).any():
+            steps.append(np.where(place > 0, used[place, rows], -1))
+            place = np.maximum(place - back[place, rows], 0)
+        ids = np.stack(steps[::-1], axis=1).tolist()
+        for p, own, t, x in zip(parts, ids, total.tolist(), loss.tolist(), strict=True):
+            if t > float("-inf"):
+                self.known[p] = tuple([i for i in own if i >= 0]), t, x
 
     def n_best(self, text: str) -> list[tuple[float, list[int]]]:
-        """The N best segmentations of a text: score and ids, best first.
+        return self.n_best_of([text])[0]
+
+    def n_best_of(self, texts: list[str], only_best: bool = False) -> list[list[tuple[float, list[int]]]]:
+        """The N best segmentations of each text: score and ids, best first; ids of the best alone on demand."""
+        cut = [_CHUNKS.findall(self.normalised(t)) for t in texts]
+        if len(self.known) > CACHED:
+            self.known.clear()
+        self._learn(set(chain.from_iterable(cut)).difference(self.known))
+        return [self._whole(chunks, only_best) for chunks in cut]
+
+    def _whole(self, chunks: list[str], only_best: bool) -> list[tuple[float, list[int]]]:
+        """Of one text's chunks.
 
         Changing one of the N-1 chunks with the smallest second-best losses gives N-1 ways; a way that
         changes any other chunk is not better than all of these, so only those chunks are opened.
         """
-        chunks = _CHUNKS.findall(self.normalised(text))
-        found = list(map(self.chunk, chunks))
+        found = list(map(self.known.__getitem__, chunks))
         second = [f[2] for f in found]
         opened = sorted(heapq.nsmallest(self.best - 1, range(len(found)), key=second.__getitem__))
         ways = {c: self.search(chunks[c], self.best) for c in opened}
@@ -134,8 +237,8 @@ class Pieces:
         for loss, changed in _least_sums(losses, self.best):
             own = parts
             if changed:
-                own = parts.copy()
-                for c, k in changed.items():
+                own = [] if only_best else parts.copy()
+                for c, k in changed.items() if own else ():
                     own[c] = ways[c][k][1]
             out.append((total - loss, list(chain.from_iterable(own))))
         return out
@@ -188,11 +291,11 @@ def encode_best(docs: DataFrame, model_path: str, names: list[str], text_col: st
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 ids, scores, same = [], [], []
-                for text in part.columns[-1].to_pylist():
-                    found = pieces.n_best(text)
+                texts = part.columns[-1].to_pylist()
+                for text, found in zip(texts, pieces.n_best_of(texts, only_best=True), strict=True):
                     ids.append(found[0][1])
                     scores.append([s for s, _ in found])
-                    same.append(all(pieces.decode(i) == text for _, i in found))
+                    same.append(pieces.decode(found[0][1]) == text)
                 cols = [pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int32()), pa.array(scores, pa.list_(pa.float64())), pa.array(same)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *cols], names=[*names, "ids", "n_ids", "best_scores", "round_trip"])
 

@@ -383,6 +383,25 @@ def test_contexts_find_unseen_identifiers(spark):
     assert found[98] == []
 
 
+def test_contexts_find_identifiers_with_spaces(spark):
+    card = lambda i: next(f"4111 1111 {i:04d} {n:04d}" for n in range(100, 110) if luhn(f"41111111{i:04d}{n:04d}"))
+    rows = [(i, f"phone +1 (743) 555-{i:04d} card {card(i)} mail kim{i}@x.example.com") for i in range(30)]
+    long = "z" * 50 + " "
+    more = {
+        99: ("my phone 743 555 3824, ok", [("phone", 9, 21)]),
+        98: ("the card 4111 1111 1111 1112 ok", [("card", 9, 28)]),
+        97: ("some mail kim(at)host.com.", [("email", 10, 25)]),
+        96: (f"phone {' ' * 12}(743) 555 3824", [("phone", 18, 32)]),
+        95: ("phone 743-555-3824 123456 left", [("phone", 6, 18)]),
+        94: ("a word 743 555 3824 and \ue000 1", []),
+        93: ("mail kim1@x.example.com kim(at)host.com", [("email", 5, 23)]),
+    }
+    rows += [(i, t) for i, (t, _) in more.items()] + [(200 + i, f"{long}{i}@y.example.com") for i in range(9)] + [(92, f"{long}kim[at]host")]
+    found = {r.doc_id: [tuple(s) for s in r.pii_spans] for r in personal.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: found[i] for i in more} == {i: s for i, (_, s) in more.items()}
+    assert found[92] == [("email", 51, 62)]
+
+
 def test_redact(spark):
     spans = F.expr("array(named_struct('kind','email','start',9,'end',25), named_struct('kind','ip','start',12,'end',14))")
     df = spark.createDataFrame([("see mail odd-99@localhost!",), (None,)], "t string")

@@ -1,11 +1,12 @@
 """Personal data: fixed patterns, and identifiers found through the contexts that known ones stand in.
 
-DataFrame functions only. Bootstrapping: tokens with a digit or an @ are instances; the word before an
-instance is its lexical pattern. Instances that the fixed patterns know are seeds. The pattern-instance
-graph, one edge for each distinct pair with its count, is scored in turns: a pattern's score for a kind
-is the mean score of its distinct instances, an instance's score the best of its patterns. Patterns
-with enough distinct seeds and a high score name the unseen instances in their place whose shape the
-kind allows.
+DataFrame functions only. Bootstrapping: whole matches of the fixed patterns, runs of digits with spaces
+and signs between them, and other tokens with a digit, an @ or an (at) are instances; the word before an
+instance is its lexical pattern (what another instance before it looks like, if that comes directly
+before). Instances that the fixed patterns know are seeds. The pattern-instance graph, one edge for each
+distinct pair with its count, is scored in turns: a pattern's score for a kind is the mean score of its
+distinct instances, an instance's score the best of its patterns. Patterns with enough distinct seeds and
+a high score name the unseen instances in their place that begin as the kind's shape allows.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import SPAN, as_spans, by_kind, count_of, located, written
+from .spans import SPAN, as_spans, by_kind, count_of, let, located, written
 from .store import materialise
 
 # The base patterns of the contract, possessive where no match can need what was given back.
@@ -24,16 +25,23 @@ CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ["email", "ip", "card", "phone"]
 
-INSTANCE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: stand for the first character of a base span (one a kind), and for its others; texts have \ufffd for them
+MASKS, REST = "\ue000\ue001\ue002\ue003", "\ue004"
+_AT = r"(?i:\(at\)|\[at\])"
+_RUN = r"(?<!\S)[+(]*+[0-9](?:[\x20().\/-]*+[0-9]){6,18}\)?(?![^\s,.;])"
+INSTANCE = rf"[{MASKS}]{REST}*+|{_RUN}|(?<!\S)(?:(?!{_AT})[^\s{MASKS}])++{_AT}[^\s{MASKS}]*+|(?<!\S)[^\s0-9@{MASKS}]*+[0-9@][^\s{MASKS}]*+"
+#: the last word of what stands before an instance; lone signs between the two do not count
+BEFORE = rf"(?<!\S)(\S++)(?:\s++[^\s\p{{L}}\p{{N}}{MASKS}]*+)?$"
 ROUNDS = 3
 LEAST_SEEDS = 5
 LEAST_SCORE = 0.8
-#: what an unseen instance of a kind must look like
+_END = r"(?=[,.;]*(?:\s|$))"
+#: what an unseen instance of a kind must begin with, up to the end of a token
 SHAPES = {
-    "email": r"^[^\s@]+(?:@|\(at\)|\[at\])[^\s@]+$",
-    "ip": r"^[0-9]{1,3}(?:[.:_-][0-9]{1,3}){3}[,.;]?$",
-    "card": r"^(?:[0-9][-.]?){13,19}[,.;]?$",
-    "phone": r"^[+(]?(?:[0-9][-.()/]?){7,15}[,.;]?$",
+    "email": rf"^[^\s@]+(?:@|{_AT})[^\s@]*[^\s@,.;](?=[,.;]*$)",
+    "ip": rf"^[0-9]{{1,3}}(?:[.:_-][0-9]{{1,3}}){{3}}{_END}",
+    "card": rf"^[0-9](?:[\x20.-]*[0-9]){{12,18}}{_END}",
+    "phone": rf"^[+(]*[0-9](?:[\x20().\/-]*[0-9]){{6,14}}\)?{_END}",
 }
 
 
@@ -66,14 +74,37 @@ def base_spans(text: Column) -> Column:
     return F.concat(email, ip, card, phone)
 
 
+def masked(text: Column, spans: Column) -> Column:
+    """The text at its length, each base span (overlapping ones as one) a mask of its kind and fillers."""
+    plain = F.translate(text, MASKS + REST, "\ufffd" * 5)
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.array_position(F.lit(KINDS), s["kind"]).cast("int").alias("k"), s["end"].alias("end"))))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        fresh = F.concat(F.substring(plain, state["at"] + 1, s["start"] - state["at"]), F.substring(F.lit(MASKS), s["k"], F.lit(1)), F.repeat(F.lit(REST), s["end"] - s["start"] - 1))
+        more = F.when(s["start"] >= state["at"], fresh).otherwise(F.repeat(F.lit(REST), s["end"] - state["at"]))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], more).alias("out"))
+
+    whole = F.aggregate(ordered, start, step, lambda s: F.concat(s["out"], F.substring(plain, s["at"] + 1, F.length(plain))))
+    return F.when(F.size(spans) > 0, whole).otherwise(plain)
+
+
+def _instances(hidden: Column) -> Column:
+    """Places of a masked text's instances, and of each the word before it, lower-cased."""
+    # an instance right before another stands as its mask, or as its last token with all digits alike
+    like = lambda m: F.regexp_replace(F.regexp_replace(F.regexp_extract(m["match"], r"\S+$", 0), REST, ""), "[0-9]", "0")
+    last = lambda found, i: F.when(i > 0, like(F.get(found, i - 1))).otherwise("")
+    word = lambda found, m, i: F.lower(F.regexp_extract(F.concat(last(found, i), m["gap"]), BEFORE, 1))
+    each = lambda found: F.transform(found, lambda m, i: F.struct(word(found, m, i).alias("pattern"), m["match"].alias("match"), m["start"].alias("start"), m["end"].alias("end")))
+    return let(located(hidden, INSTANCE), each)
+
+
 def _contexts(rows: DataFrame) -> DataFrame:
-    """One row for each instance: row key, place, token, the word before it, the kind if a seed."""
-    word = lambda gap: F.lower(F.regexp_extract(gap, r"(\S+)\s+$", 1))
-    each = rows.select("row_key", "base_spans", F.explode("instances").alias("m")).select(
-        "row_key", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.match").alias("token"), word(F.col("m.gap")).alias("pattern"),
-        F.get(F.filter("base_spans", lambda s: (s["start"] < F.col("m.end")) & (s["end"] > F.col("m.start"))), F.lit(0))["kind"].alias("kind"),
-    )
-    return each.filter(F.col("pattern") != "")
+    """One row for each instance and kind it is a seed of: row key, place, token, the word before it, the kind or null."""
+    each = rows.select("row_key", "base_spans", F.explode("instances").alias("m")).filter("m.pattern <> ''")
+    over = F.filter("base_spans", lambda s: (s["start"] < F.col("m.end")) & (s["end"] > F.col("m.start")))
+    kinds = F.when(F.col("m.seed"), F.array_distinct(F.transform(over, lambda s: s["kind"])))
+    return each.select("row_key", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.match").alias("token"), F.col("m.pattern").alias("pattern"), F.explode_outer(kinds).alias("kind"))
 
 
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -96,24 +127,26 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Every row stands for itself, repeated rows and null ids included; null or empty text has no spans.
     Spans are code points, end exclusive, by kind as listed, then start. Further columns pass through;
-    columns named base_spans, pii_spans, instances or row_key are replaced.
+    columns named base_spans, pii_spans, instances, masked_text or row_key are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("base_spans", "pii_spans", "instances", "row_key")]
+    kept = [c for c in docs.columns if c not in ("base_spans", "pii_spans", "instances", "masked_text", "row_key")]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    none = F.array().cast("array<struct<gap:string,match:string,start:int,end:int>>")
-    near = lambda m: F.struct(F.regexp_extract(m["gap"], r"(?<!\S)(\S{1,40}\s{1,8})$", 1).alias("gap"), m["match"].alias("match"), m["start"].alias("start"), m["end"].alias("end"))
-    found = F.when(text.rlike("[0-9@]"), F.transform(located(text, INSTANCE), near)).otherwise(none)
-    rows = docs.select(*kept, base_spans(text).alias("base_spans"), found.alias("instances"))
+    none = F.array().cast("array<struct<pattern:string,match:string,start:int,end:int>>")
+    found = F.when(text.rlike(r"[0-9@]|(?i:[(\[]at[)\]])"), _instances(F.col("masked_text"))).otherwise(none)
+    seed = lambda m: F.substring(m["match"], 1, 1).isin(*MASKS)
+    token = lambda m: F.when(seed(m), F.substring(text, m["start"] + 1, m["end"] - m["start"])).otherwise(m["match"])
+    named = lambda m: F.struct(m["pattern"].alias("pattern"), token(m).alias("match"), m["start"].alias("start"), m["end"].alias("end"), seed(m).alias("seed"))
+    rows = docs.withColumn("base_spans", base_spans(text)).withColumn("masked_text", masked(text, F.col("base_spans"))).withColumn("instances", F.transform(found, named)).select(*kept, "base_spans", "instances")
     rows = materialise(rows.withColumn("row_key", F.monotonically_increasing_id()), "personal")
     each = _contexts(rows.select("row_key", "base_spans", "instances"))
     edges = each.groupBy("pattern", "token", "kind").agg(F.count("*").alias("n"))
     good = score_patterns(materialise(edges, "edges"), rounds).filter((F.col("score") >= least_score) & (F.col("seeds") >= least_seeds))
-    shaped = F.lit(False)
+    begins = F.lit("")
     for kind, shape in SHAPES.items():
-        shaped = shaped | ((F.col("g.kind") == kind) & F.col("e.token").rlike(shape))
-    unseen = each.filter("kind is null").alias("e").join(good.alias("g"), F.col("e.pattern") == F.col("g.pattern")).filter(shaped)
-    end = F.col("e.end") - F.length(F.regexp_extract("e.token", "[,.;]*$", 0))
-    new = unseen.select("e.row_key", F.struct(F.col("g.kind").alias("kind"), F.col("e.start").alias("start"), end.alias("end")).alias("span"))
+        begins = F.when(F.col("g.kind") == kind, F.regexp_extract("e.token", shape, 0)).otherwise(begins)
+    unseen = each.filter("kind is null").alias("e").join(good.alias("g"), F.col("e.pattern") == F.col("g.pattern"))
+    unseen = unseen.select("e.row_key", "g.kind", "e.start", F.length(begins).alias("n")).filter("n > 0")
+    new = unseen.select("row_key", F.struct("kind", "start", (F.col("start") + F.col("n")).alias("end")).alias("span"))
     new = materialise(new.groupBy("row_key").agg(F.collect_set("span").alias("more")), "unseen")
     spans = F.concat("base_spans", F.coalesce("more", F.array().cast(f"array<{SPAN}>")))
     return rows.drop("instances").join(new, "row_key", "left").select(*kept, "base_spans", by_kind(spans, KINDS).alias("pii_spans"))

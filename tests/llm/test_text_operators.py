@@ -418,6 +418,26 @@ def test_entropy_and_allow_list(spark):
     assert math.isclose(window, brute)
 
 
+def test_secrets_behind_names_and_of_every_class(spark):
+    values = ["3FA9BC0417DE52A86C9B1F7E", "QZ5M2XKT7RBW3NYD6HVC4JLP", "k7m2q9x4v8n1z5b3t6w0p2rd", "zX9kLm2Qp7RtV4wYb8NcJ3hG", "zX9kLm2Qp7RtV4wYb8NcJ3h="]
+    names = ["SIGNING_KEY=", "example_app=", "id: ", 'x = "']
+    more = ["docs/2024/Some-Page/Title", "Example_token_zX9kLm2Qp7RtV4wYb8NcJ3hG", "example_app=internationalizations"]
+    rows = [(n, v) for n in names for v in values] + [("sk-", values[2])]
+    df = spark.createDataFrame([(i, f"{n}{v}\n end") for i, (n, v) in enumerate(rows)] + [(99 + i, t) for i, t in enumerate(more)], "doc_id long, text string")
+    found = {r.doc_id: [tuple(s) for s in r.secret_spans] for r in secrets.find_secrets(df).collect()}
+    assert [found[i] for i in range(len(rows))] == [[("entropy", len(n), len(n) + len(v))] for n, v in rows]
+    assert not any(found[99 + i] for i in range(len(more)))
+
+
+def test_recall_of_random_secrets(spark):
+    r, digits, upper = random.Random(5), "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    classes = {"hex": digits + "ABCDEF", "base32": upper + "234567", "base36": digits + upper.lower(), "base62": digits + upper + upper.lower()}
+    rows = [(i, f"{k}{n}", "KEY=" + "".join(r.choices(a, k=n))) for k, a in classes.items() for n in (20, 24, 32) for i in range(300)]
+    df = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, which string, text string"))
+    recall = {x.which: x.p for x in df.groupBy("which").agg(F.avg((F.size("secret_spans") > 0).cast("int")).alias("p")).collect()}
+    assert all(p >= (0.93 if k.endswith("20") else 0.96) for k, p in recall.items()), recall
+
+
 # --- 9
 
 

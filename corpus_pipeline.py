@@ -19,8 +19,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest doc_id."""
-    return near_duplicates.keep_one(docs)
+    """One document of each group of near-duplicates (five words, a similarity of 0.8 or more): the smallest doc_id."""
+    return near_duplicates.keep_one(docs, percent=80)
 
 
 def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

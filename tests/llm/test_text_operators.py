@@ -240,6 +240,19 @@ def test_keep_one(hard):
     assert len(texts) - len(words) == 3  # texts without words are all kept
 
 
+def test_pipeline_keeps_one_from_four_fifths_on(spark):
+    """Pairs of 100 common of 122 shingles, 0.82: linked at 80, not at 85."""
+    import corpus_pipeline
+
+    word = lambda i, k: f"w{i}x{k}"
+    one = lambda i, side: " ".join([*(word(i, k) for k in range(104)), *(f"{side}{i}y{k}" for k in range(11))])
+    rows = [(2 * i + s, one(i, "ab"[s])) for i in range(300) for s in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, df, "").collect()}
+    assert kept == {2 * i for i in range(300)}
+    assert nd.keep_one(df).count() == 600
+
+
 def test_index_guarantee():
     """Signatures within the radius meet under a key."""
     r = np.random.default_rng(2)

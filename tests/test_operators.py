@@ -140,6 +140,18 @@ def test_log_softmax_and_convolutions(spark):
     assert r.n == 49
 
 
+@pytest.mark.parametrize(("n_fft", "hop"), [(32, 16), (64, 16), (32, 32)])
+def test_mel_of_pieces_is_that_of_whole_streams(spark, n_fft, hop):
+    r = np.random.default_rng(4)
+    streams = [(k, r.normal(size=n).tolist()) for k, n in enumerate([1, 31, 99, 500, 511, 512, 513, 1024, 1300, 1535])]
+    whole = features.log_mel(spark.createDataFrame(streams, "id int, samples array<double>"), ["id"], "samples", 16_000, n_fft, hop, 8)
+    rows = spark.createDataFrame([(k, i, v) for k, x in streams for i, v in enumerate(x)], "id int, i long, v double")
+    cut = features.log_mel_of_streams(rows, "id", "i", "v", 16_000, n_fft, hop, 8, piece=512)
+    got, wanted = ({(x.id, x.frame): x.mel for x in df.collect()} for df in (cut, whole))
+    assert got.keys() == wanted.keys() and cut.count() == len(wanted)
+    assert all(np.allclose(got[k], wanted[k]) for k in wanted)
+
+
 def test_statistics_and_mel(spark):
     df = spark.createDataFrame([(1, 1.0), (1, 3.0), (2, 5.0)], "k int, x double")
     r = {x.k: x for x in features.statistics_pool(df, ["k"], "x").collect()}

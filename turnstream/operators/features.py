@@ -51,18 +51,39 @@ def mel_filters(n_mels: int, n_fft: int, rate: int) -> np.ndarray:
     return np.maximum(0, np.minimum(up, down)) * (2 / (edges[2:] - edges[:-2]))[:, None]
 
 
-def log_mel(signals: DataFrame, keep: list[str], samples: str, rate: int, n_fft: int = 512, hop: int = 160, n_mels: int = 80) -> DataFrame:
-    """keep, frame, mel: log mel energies of each window of an array of samples, centred, zero-padded."""
+def log_mel(signals: DataFrame, keep: list[str], samples: str, rate: int, n_fft: int = 512, hop: int = 160, n_mels: int = 80, pad: bool = True) -> DataFrame:
+    """keep, frame, mel: log mel energies of each window of an array of samples, centred and zero-padded if pad."""
     ddl = ", ".join(f"`{c}` {signals.schema[c].dataType.simpleString()}" for c in keep) + ", frame int, mel array<double>"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters, window = mel_filters(n_mels, n_fft, rate), np.hanning(n_fft + 1)[:-1]
         for batch in batches:
             for i, x in enumerate(batch.column(samples).to_pylist()):
-                x = np.pad(np.asarray(x or [], dtype=np.float64), n_fft // 2)
+                x = np.pad(np.asarray(x or [], dtype=np.float64), n_fft // 2 if pad else 0)
                 frames = np.lib.stride_tricks.sliding_window_view(x, n_fft)[::hop] * window
                 mel = np.log((np.abs(np.fft.rfft(frames, axis=1)) ** 2) @ filters.T + 2.0**-24)
                 rows = pa.array(np.full(len(mel), i))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in keep), pa.array(np.arange(len(mel), dtype=np.int32)), pa.array(list(mel), pa.list_(pa.float64()))], names=[*keep, "frame", "mel"])
 
     return signals.select(*keep, samples).mapInArrow(scan, ddl)
+
+
+def log_mel_of_streams(df: DataFrame, key: str, order: str, value: str, rate: int, n_fft: int, hop: int, n_mels: int, piece: int) -> DataFrame:
+    """key, part, frame, mel: log mel energies of whole streams, whose values are numbered from 0 by ``order``.
+
+    Streams are cut into pieces of ``piece`` values (a multiple of ``hop``), so that none is gathered whole.
+    A piece has the windows whose centres lie in it and all values that they cover, so values near a cut go
+    to both sides; zeros stand only before a stream's first value and after its last. Frames are numbered
+    over the stream.
+    """
+    half, i = n_fft // 2, F.col(order)
+    parts = F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((i + hop - half) / piece)), F.floor((i + half) / piece))
+    dealt = df.select(key, i.alias("at"), F.col(value).alias("value"), F.explode(parts).alias("part"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"].cast("double"))
+    pieces = dealt.groupBy(key, "part").agg(in_order.alias("samples")).join(df.groupBy(key).agg((F.max(i) + 1).alias("n")), key)
+    begin = F.col("part") * piece
+    zeros = lambda n: F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), F.least(n, F.lit(half))).cast("int"))
+    whole = F.concat(zeros(half - begin), "samples", zeros(begin + piece - hop + half - F.col("n")))
+    # the values after a stream's last centre are in a next piece that has no centre of its own
+    signals = pieces.filter(begin <= F.col("n")).select(key, "part", whole.alias("samples"))
+    return log_mel(signals, [key, "part"], "samples", rate, n_fft, hop, n_mels, pad=False).withColumn("frame", (F.col("part") * (piece // hop) + F.col("frame")).cast("int"))

@@ -460,10 +460,8 @@ def q41_pad_batch(spark, d):
 
 @query()
 def q56_mel_spectrogram(spark, d):
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("frame_no", "value"))), lambda x: x["value"])
-    # a signal is at most 512 frames, so that no stream is gathered whole
-    signals = b.frames(spark, d).groupBy("stream_id", F.floor(F.col("frame_no") / 512).alias("part")).agg(ordered.alias("samples"))
-    return features.log_mel(signals, ["stream_id", "part"], "samples", 16_000, n_fft=32, hop=16, n_mels=8).select("stream_id", "part", "frame", F.floor(F.aggregate("mel", F.lit(0.0), lambda a, x: a + x) * 1000).cast("long").alias("mel_milli"))
+    mel = features.log_mel_of_streams(b.frames(spark, d), "stream_id", "frame_no", "value", 16_000, n_fft=32, hop=16, n_mels=8, piece=512)
+    return mel.select("stream_id", "part", "frame", F.floor(F.aggregate("mel", F.lit(0.0), lambda a, x: a + x) * 1000).cast("long").alias("mel_milli"))
 
 
 # --- reports

@@ -26,6 +26,17 @@ def test_page(spark):
     assert all(r.n_chars == len(r.text) for r in out)
 
 
+def test_mixed_layouts_copies_and_odd_class_names(spark):
+    plain = lambda i: f"<div class='nav'>Top</div><div class='text'><p>Plain text {i} of this page</p></div><div class='strip'>Same line</div>"
+    main = "<article><p>Main text</p></article><div class='strip'>Same line</div>"
+    pages = [("//a.example/x", main), *(("//a.example/x", plain(i)) for i in range(4)), (None, main), (None, "<div class='text'><p>No host</p></div>")]
+    pages += [("//copies.example/", plain(9))] * 3 + [("//odd.example/", f"<div class='{c}'>Odd {k}</div>") for k, c in enumerate(["w-1/2", "md:w-2/3", "a\\b", 'q"r'])]
+    rows = [(i, u, h) for i, (u, h) in enumerate(pages)]
+    found = {r.page_id: r.text for r in wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    wanted = ["Main text", *(f"Plain text {i} of this page" for i in range(4)), "Main text", "No host", *["Plain text 9 of this page\n\nSame line"] * 3, *(f"Odd {k}" for k in range(4))]
+    assert [found[i] for i in range(len(rows))] == wanted
+
+
 def test_empty_table(spark):
     assert wrappers.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 

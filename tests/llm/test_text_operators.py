@@ -93,29 +93,98 @@ def pieces():
     return segmentation.Pieces(tokenizers.path("piece_bpe_32k.model"))
 
 
-@pytest.mark.parametrize("text", ["hello world", "the thing", "  a  b", "é漢x", "xxxxxxx", "ab ab ab", "", "a\x00b\n\t c", "🙂 ok"])
-def test_n_best_is_exact(pieces, text):
-    chunk = pieces.normalised(text)
-    arcs, _ = pieces._arcs(chunk)
-    ways: list[list[float]] = [[0.0]]
+@pytest.fixture(scope="module")
+def lattice():
+    """The model's pieces with scores, and its byte pieces, straight from the library."""
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_file=tokenizers.path("piece_bpe_32k.model"))
+    every = range(p.get_piece_size())
+    own = {p.id_to_piece(i): (p.get_score(i), i) for i in every if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))}
+    lowest = min(s for s, _ in own.values() if s > -1e8)
+    return p, {k: (max(s, lowest), i) for k, (s, i) in own.items()}, {int(p.id_to_piece(i)[3:5], 16): i for i in every if p.is_byte(i)}, lowest
+
+
+def brute_ways(lattice, text: str, best: int) -> list[tuple[float, tuple]]:
+    """The best ways through the whole text's lattice, place by place, with no cut and no search."""
+    p, own, of_byte, lowest = lattice
+    chunk, longest = p.normalize(text) if text else "", max(map(len, own))
+    ways: list[list[tuple]] = [[(0.0, ())]]
     for j in range(1, len(chunk) + 1):
-        ways.append(sorted((s + w for _, i, s, _ in arcs[j] for w in ways[i]), reverse=True)[:8])
-    found = pieces.n_best(text)
-    assert np.allclose([s for s, _ in found], ways[-1][: len(found)])
-    assert len(found) == min(4, len(ways[-1]))
+        here = []
+        for i in range(max(0, j - longest), j):
+            if chunk[i:j] in own:
+                s, ids = own[chunk[i:j]][0], (own[chunk[i:j]][1],)
+            elif i == j - 1:
+                s, ids = lowest - 10, tuple(of_byte[b] for b in chunk[i].encode())
+            else:
+                continue
+            here += [(w + s, (way, ids)) for w, way in ways[i]]
+        ways.append(sorted(here, key=lambda x: -x[0])[:best])
+
+    def unrolled(way):
+        out = []
+        while way:
+            way, ids = way
+            out[:0] = ids
+        return tuple(out)
+
+    return [(s, unrolled(w)) for s, w in ways[-1]]
+
+
+@pytest.mark.parametrize("text", ["hello world", "the thing", "  a  b", "é漢x", "xxxxxxx", "ab ab ab", "", "a\x00b\n\t c", "🙂 ok", "q\u0300z 漢字かな", "internationalisation " * 3, "w" * 70])
+def test_n_best_is_exact(pieces, lattice, text):
+    wanted, found = brute_ways(lattice, text, 12), pieces.n_best(text)
+    assert np.allclose([s for s, _ in found], [s for s, _ in wanted[: len(found)]])
+    assert len(found) == min(4, len(wanted))
+    assert len({tuple(i) for _, i in found}) == len(found)
+    scores = {i: s for s, i in wanted}
+    if len(wanted) == 12 and wanted[-1][0] < found[-1][0]:  # all ways that tie with the last one are known
+        assert all(np.isclose(scores[tuple(i)], s) for s, i in found)
     assert all(pieces.decode(i) == text for _, i in found)
     assert pieces.decode(found[0][1]) == pieces.processor.decode(found[0][1])
 
 
+def test_n_best_of_whole_documents(spark, lattice, docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect() if len(r.text or "") < 4000][:60]
+    out = segmentation.encode_best(spark.createDataFrame(rows, "doc_id long, text string"), tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
+    found = {r.doc_id: r for r in out.collect()}
+    for i, text in rows:
+        wanted = brute_ways(lattice, text, 4)
+        assert np.allclose(found[i].best_scores, [s for s, _ in wanted])
+        assert len({tuple(w) for w in found[i].best_ids}) == len(wanted)
+        p, own, *_ = lattice
+        by_id = {k: s for s, k in own.values()}
+        for s, ids in zip(found[i].best_scores, found[i].best_ids, strict=True):
+            if all(k in by_id for k in ids):
+                assert np.isclose(sum(by_id[k] for k in ids), s)
+            assert p.decode(ids) == text
+        assert found[i].ids == found[i].best_ids[0] and found[i].n_ids == len(found[i].ids)
+
+
 def test_pieces_in_spark(hard, empty):
     path = tokenizers.path("piece_bpe_32k.model")
-    out = segmentation.encode_best(hard, path, ["doc_id"])
-    back = segmentation.decode_ids(out, path, ["doc_id", "round_trip"]).collect()
-    assert all(r.round_trip for r in back)
+    clash = hard.withColumn("ids", F.lit("x")).withColumn("decoded", F.lit(1))
+    out = segmentation.encode_best(clash, path, clash.columns)
+    back = segmentation.decode_ids(out, path, ["doc_id", "round_trip", "decoded", "text"]).collect()
+    assert all(r.round_trip and r.decoded == (r.text or "") for r in back)
     assert sorted(r.decoded for r in back) == sorted(t or "" for _, t in texts_of(hard))
+    same = [r for r in out.collect() if r.text == HARD[8]]
+    assert len(same) == 2 and same[0].best_ids == same[1].best_ids
+    assert [(r.ids, r.best_scores) for r in out.filter("text is null or text = ''").collect()] == [([], [0.0])] * 2
     assert segmentation.encode_best(empty, path, ["doc_id"]).count() == 0
 
 
+def test_memory_of_pieces_is_bounded(pieces, monkeypatch):
+    for name in ("KEPT_PARTS", "KEPT_IDS", "KEPT_WAYS"):
+        monkeypatch.setattr(segmentation, name, 50)
+    words = ["".join(random.Random(k).choices("abcdefghij", k=9)) for k in range(400)]
+    alone = [pieces.n_best(w) for w in words]
+    assert len(pieces.rows) < 120 and len(pieces.ways) <= 50
+    n, scores, ways = pieces.n_best_of(words)
+    assert list(zip(scores, ways.to_pylist(), strict=True)) == [w for found in alone for w in found]
+
+
 # --- 4
 
 

@@ -39,10 +39,9 @@ def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each text, the scores of its four best segmentations, and the text decoded again."""
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = segmentation.encode_best(docs, path, ["doc_id"])
-    return segmentation.decode_ids(encoded, path, ["doc_id", "ids", "n_ids", "best_scores", "round_trip"])
+    """Piece ids of each text, the scores of its four best segmentations, whether all four decode to it, and the text decoded from the ids."""
+    encoded = segmentation.encode_best(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
+    return encoded.select("doc_id", "ids", "n_ids", "best_scores", "round_trip", "decoded")
 
 
 STAGES = [

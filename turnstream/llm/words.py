@@ -1,9 +1,10 @@
 """Words and hashes of words over Arrow batches, in numpy.
 
-A word is a maximal run of bytes other than space and 0x09-0x0D in the UTF-8 text. Hashes are
-polynomial prefix sums modulo 2**64 (the bases are odd, so powers have inverses), which gives the
-hash of any word, or of any range of words, from two array entries. The same text gives the same
-hash on every executor.
+A word is a maximal run of bytes other than space and 0x09-0x0D in the UTF-8 text. Its hash is the sum of
+a random number for each byte at its place in the word. The hash of a range of words is made of two blocks
+of a power of two words that cover it, and a block's of its halves, mixed at each step. So no pattern of
+repeated words makes sums cancel, as it does in polynomials modulo 2**64. The same text gives the same hash
+on every executor.
 """
 
 from __future__ import annotations
@@ -29,44 +30,30 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+PLACES = 64  # places of a word with random numbers of their own; those of later places are mixed from them
+
+
 def _bytes_table(seed: int, lower: bool) -> np.ndarray:
-    t = mix(np.arange(1, 257, dtype=np.uint64), _SALTS[seed])
+    t = mix(np.arange(1, 256 * PLACES + 1, dtype=np.uint64), _SALTS[seed]).reshape(PLACES, 256)
     if lower:
-        t[65:91] = t[97:123]
-    return t
+        t[:, 65:91] = t[:, 97:123]
+    return t.reshape(-1)
 
 
 _TABLES = {(s, lo): _bytes_table(s, lo) for s in (0, 1) for lo in (False, True)}
 
 
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, as long as asked for."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse, self.n = base, pow(base, -1, 1 << 64), 0
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if self.n < n:
-            self.n = max(n, 2 * self.n, 1 << 16)
-            self.up, self.down = (self._run(b) for b in (self.base, self.inverse))
-        return self.up[:n], self.down[:n]
-
-    def _run(self, base: int) -> np.ndarray:
-        x = np.full(self.n, base, dtype=np.uint64)
-        x[0] = 1
-        return np.multiply.accumulate(x)
-
-
-_BYTE_POWERS = (Powers(0x5851F42D4C957F2D), Powers(0x2545F4914F6CDD1D))
-_WORD_POWERS = (Powers(0xDA942042E4DD58B5), Powers(0xAEF17502108EF2D9))
-
-
 def sums(values: np.ndarray) -> np.ndarray:
     out = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(values, out=out[1:])
     return out
 
 
+def joined(a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
+    """The hash of two hashes in this order."""
+    return mix((a ^ (a >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25) + b, salt)
+
+
 class Words:
     """The words of some texts that lie behind each other in one buffer.
 
@@ -89,9 +76,15 @@ class Words:
         return len(self.start)
 
     def hashes(self, lower: bool = False, seed: int = 0) -> np.ndarray:
-        up, down = _BYTE_POWERS[seed].upto(len(self.raw) + 1)
-        c = sums(_TABLES[seed, lower][self.raw] * up[: len(self.raw)])
-        return mix((c[self.end] - c[self.start]) * down[self.start], _SALTS[seed])
+        n = len(self.raw)
+        move = np.zeros(n, dtype=np.int32 if n < 1 << 31 else np.int64)
+        move[self.start] = np.diff(self.start, prepend=0)
+        place = np.arange(n, dtype=move.dtype) - np.cumsum(move, dtype=move.dtype)
+        values = _TABLES[seed, lower][((place & (PLACES - 1)) << 8) | self.raw]
+        far = np.flatnonzero(place >= PLACES)
+        values[far] = mix(values[far] + (place[far] >> 6).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), _SALTS[seed])
+        c = sums(values)
+        return mix(c[self.end] - c[self.start], _SALTS[seed])
 
     def text(self, i: int, j: int) -> list[bytes]:
         raw = self.raw
@@ -103,17 +96,28 @@ class Words:
 
 
 class Ranges:
-    """Hashes of ranges [i, j) of words."""
+    """Hashes of ranges [i, j) of words: of the two blocks that cover it, and of its length."""
 
     def __init__(self, word_hashes: np.ndarray, seed: int = 0):
-        self.seed = seed
-        up, self.down = _WORD_POWERS[seed].upto(len(word_hashes) + 1)
-        self.c = sums(word_hashes * up[: len(word_hashes)])
+        self.salt, self.blocks = _SALTS[seed], [word_hashes]
+
+    def _block(self, k: int) -> np.ndarray:
+        """Hashes of 2**k words from each place on."""
+        while len(self.blocks) <= k:
+            half, below = 1 << (len(self.blocks) - 1), self.blocks[-1]
+            self.blocks.append(joined(below[:-half], below[half:], self.salt) if len(below) > half else below[:0])
+        return self.blocks[k]
 
     def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        # the length goes in: a range never equals a shorter one by chance of zeros
-        n = (np.asarray(j) - np.asarray(i)).astype(np.uint64)
-        return mix((self.c[j] - self.c[i]) * self.down[i] + n, _SALTS[self.seed])
+        i, j = np.asarray(i), np.asarray(j)
+        n = (j - i).astype(np.uint64)
+        size = np.frexp(np.maximum(n, 1).astype(float))[1] - 1
+        out = mix(n, self.salt)
+        for k in np.unique(size).tolist():
+            at = np.flatnonzero((size == k) & (n > 0))
+            block = self._block(k)
+            out[at] = joined(joined(block[i[at]], block[j[at] - (1 << k)], self.salt), n[at], self.salt)
+        return out
 
 
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

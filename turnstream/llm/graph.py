@@ -40,6 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        at = materialise(_small_star(_large_star(at)), "edges")
+        at = materialise(_small_star(_large_star(at)), "edges", instead_of=at)
     least = at.select(F.col("b").alias("node")).distinct()
     return at.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(least.select("node", F.col("node").alias("component")))

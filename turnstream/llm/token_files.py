@@ -15,6 +15,7 @@ Tasks write files with pyarrow.fs, so that the folder can be on any store that p
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -37,6 +38,8 @@ FILE_IDS = 1 << 26
 CACHED_WORDS = 600_000
 ENCODED_BYTES = 4_000_000
 INDEX_TYPE = np.dtype([("doc_id", "<i8"), ("frame", "<u4"), ("at", "<u4"), ("n", "<u4")])
+#: fixed value: the splitting rule that drops white space, parts letters from other signs and has no look-around
+WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LOADED: dict = {}
 
 
@@ -128,13 +131,33 @@ class TokenFileReader:
 # --- encoding
 
 
+def _splits_into_words(file: dict) -> bool:
+    """Whether a tokenizer's file has the steps that WordEncoder's short cuts hold for, and no others."""
+    steps = lambda x, of: x[of] if x and x["type"] == "Sequence" else [x]
+    normal = [(s or {}).get("type") for s in steps(file.get("normalizer"), "normalizers")]
+    cut = steps(file.get("pre_tokenizer"), "pretokenizers")
+    replaced = [s for s in steps(file.get("normalizer"), "normalizers") if (s or {}).get("type") == "Replace"]
+    added = [a for a in file.get("added_tokens") or [] if any(c.isspace() for c in a["content"]) or a.get("lstrip") or a.get("rstrip") or a.get("normalized")]
+    return (
+        set(normal) <= {"NFC", "Replace", "Lowercase"}
+        and "Lowercase" in normal
+        and all(s["pattern"] == {"Regex": r"\s+"} and s["content"] == " " for s in replaced)
+        and [(s or {}).get("type") for s in cut] == ["Split", "ByteLevel"]
+        and (cut[0]["pattern"], cut[0]["behavior"], cut[0]["invert"]) == ({"Regex": WORD_RULE}, "Removed", True)
+        and not cut[1]["add_prefix_space"]
+        and not cut[1]["use_regex"]
+        and not added
+    )
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer that never joins across ASCII white space.
 
-    Its normaliser and its splitting rule treat white space as a border, so a text's ids are those of its
+    Where its normaliser and its splitting rule treat white space as a border, a text's ids are those of its
     pieces between white space, in order; each distinct piece is encoded once and remembered. The rule also
     has a border between a letter and the full stops or commas behind it, and its normaliser lower-cases,
-    so pieces of ASCII letters that differ in these alone are encoded as one.
+    so pieces of ASCII letters that differ in these alone are encoded as one. All this is read from the
+    file: with any other normaliser or rule, whole texts are encoded.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
@@ -142,8 +165,12 @@ class WordEncoder:
 
         self.tokenizer, self.cached = Tokenizer.from_file(path), cached
         self.known: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            self.by_words = _splits_into_words(json.load(f))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_words:
+            return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
         pieces = [t.split() for t in texts]  # of bytes: at ASCII white space only
         known, new = self.known, set()
         for p in pieces:

@@ -1,12 +1,11 @@
 """Near-duplicates by word shingles: b-bit MinHash, a multi-index Hamming join, exact confirmation.
 
-Signature: ``CHUNKS`` x ``WIDTH`` MinHash values of 8 bits each. Index: two signatures within
-``RADIUS`` = 2 * CHUNKS - 1 differing values have, by pigeonhole, a chunk with at most one differing
-value; leaving out each value of a chunk in turn enumerates those errors, so such a pair meets under at
-least one of CHUNKS * WIDTH keys, for certain. Signatures that met stay candidates up to ``LOOSE``
-differing values: at a Jaccard similarity of 0.85 a pair meets and stays but for about 1 in 10**5. For
-a lower bound the values are dealt into chunks a second time, in another order (``SECOND``): at 0.80 one
-order alone would miss 1,214 of 6,000,000 simulated pairs, both miss 74, ``LOOSE`` included.
+Signature: MinHash values of 16 bits each, dealt into chunks (``plan``). Candidates are the pairs of
+signatures within RADIUS = 2 * chunks - 1 differing values: by pigeonhole such a pair has a chunk with at
+most one differing value, and leaving out each value of each chunk in turn enumerates those errors, so the
+pair meets under at least one key, for certain. The chunks are chosen by the bound so that a pair at that
+very similarity is within the radius but for about 1 in 10**5 (values differ independently, with the
+probability of one minus the similarity): 10 chunks of 5 for 85 %, 12 of 4 for 80 %, 16 of 3 for 70 %.
 
 Candidates under a key give the edges of a spanning forest, not pairs. A key with more than ``BLOCK``
 signatures is compared block against block, so no task holds it whole. Within the components of
@@ -17,7 +16,7 @@ any task is a forest again. Equal sets count as one node throughout.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,17 +30,25 @@ from .words import Ranges, Words, mix, slices
 
 SHINGLE = 5
 PERCENT = 85
-CHUNKS, WIDTH = 8, 6
-SYMBOLS = CHUNKS * WIDTH
-RADIUS = 2 * CHUNKS - 1
-LOOSE = 22
+SYMBOLS = 50
 BLOCK = 512
 GROUP_NODES, GROUP_SHINGLES = 256, 1_000_000
 PIVOTS = 8
-SECOND = np.arange(SYMBOLS).reshape(CHUNKS, WIDTH).T.reshape(-1)
 _SEEDS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64), 0xA0761D6478BD642F) | np.uint64(1)
 
 
+def plan(percent: int) -> tuple[int, int]:
+    """Chunks, and values in a chunk, for links of at least ``percent``."""
+    if percent < 70:
+        raise ValueError("links of less than 70 % are not guaranteed by any of the plans")
+    return (10, 5) if percent >= 85 else (12, 4) if percent >= 80 else (16, 3)
+
+
+def radius(percent: int) -> int:
+    """Differing values of a signature within which pairs are sure to be candidates, and beyond which they are none."""
+    return 2 * plan(percent)[0] - 1
+
+
 # --- sets and signatures
 
 
@@ -69,39 +76,31 @@ def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
 
 
 def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """MinHash values cut to 8 bits, one row a text; texts without elements get zeros."""
+    """MinHash values cut to 16 bits, one row a text; texts without elements get zeros."""
     full = np.flatnonzero(np.diff(at))
-    out = np.zeros((len(at) - 1, SYMBOLS), dtype=np.uint8)
+    out = np.zeros((len(at) - 1, SYMBOLS), dtype=np.uint16)
     if len(full):
         for k, seed in enumerate(_SEEDS):
             x = h * seed
             x ^= x >> np.uint64(32)
             x *= np.uint64(0xD6E8FEB86659FD93)
             # the smallest value's own high bits are nearly always zero: its bits are mixed before they are cut
-            out[full, k] = (mix(np.minimum.reduceat(x, at[full])) >> np.uint64(56)).astype(np.uint8)
+            out[full, k] = (mix(np.minimum.reduceat(x, at[full])) >> np.uint64(48)).astype(np.uint16)
     return out
 
 
-def chunk_keys(sig: np.ndarray) -> np.ndarray:
+def chunk_keys(sig: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """For each signature and each value of each chunk, a key of the chunk's other values."""
-    n = len(sig)
-    chunks = sig.reshape(n, CHUNKS, WIDTH).astype(np.uint64)
-    keys = np.empty((n, CHUNKS, WIDTH), dtype=np.uint64)
-    for leave in range(WIDTH):
-        packed = np.zeros((n, CHUNKS), dtype=np.uint64)
-        for j in range(WIDTH):
+    chunks, width = plan(percent)
+    n, values = len(sig), sig[:, : chunks * width].reshape(len(sig), chunks, width).astype(np.uint64)
+    keys = np.empty((n, chunks, width), dtype=np.uint64)
+    for leave in range(width):
+        packed = np.zeros((n, chunks), dtype=np.uint64)
+        for j in range(width):
             if j != leave:
-                packed = (packed << np.uint64(8)) | chunks[:, :, j]
-        place = np.arange(CHUNKS, dtype=np.uint64) * np.uint64(WIDTH) + np.uint64(leave)
-        keys[:, :, leave] = packed | (place[None, :] << np.uint64(40))
-    return keys.reshape(n, SYMBOLS)
-
-
-def all_keys(sig: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The keys of each signature, those of the second order too where the bound is below PERCENT."""
-    if percent >= PERCENT:
-        return chunk_keys(sig)
-    return np.hstack([chunk_keys(sig), chunk_keys(sig[:, SECOND]) + (np.uint64(SYMBOLS) << np.uint64(40))])
+                packed = (packed << np.uint64(16)) | values[:, :, j]
+        keys[:, :, leave] = mix(mix(packed) + (np.arange(chunks, dtype=np.uint64) * np.uint64(width) + np.uint64(leave + 1)))
+    return keys.reshape(n, chunks * width)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -147,13 +146,15 @@ def _pairs_of_blocks(rows: DataFrame, key: str, blocks: str, block: str) -> Data
 
 
 def _candidate_edges(nodes: DataFrame, percent: int) -> DataFrame:
-    """nodes: node, signature. Edges of a forest for each key's signatures within LOOSE of each other."""
+    """nodes: node, signature. Edges of a forest for each key's signatures within the radius of each other."""
+    chunks, width = plan(percent)
+    used, most = chunks * width, radius(percent)
     schema = pa.schema([("node", pa.int64()), ("key", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, SYMBOLS)
-            keys = all_keys(sig, percent)
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
+            keys = chunk_keys(sig, percent)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1])), pa.array(keys.reshape(-1).view(np.int64))], schema=schema)
 
     keyed = nodes.mapInArrow(scan, "node long, key long")
@@ -171,12 +172,12 @@ def _candidate_edges(nodes: DataFrame, percent: int) -> DataFrame:
         nodes_, block, sig = nodes_[order], block[order], sig[order]
         n = len(nodes_)
         if n == 2:
-            near = (sig[0] != sig[1]).sum() <= LOOSE
+            near = (sig[0, :used] != sig[1, :used]).sum() <= most
             return (nodes_[1:], nodes_[:1]) if near else (nodes_[:0], nodes_[:0])
         apart = np.zeros((n, n), dtype=np.uint8)
-        for k in range(SYMBOLS):
+        for k in range(used):
             apart += sig[:, k, None] != sig[None, :, k]
-        near = apart <= LOOSE
+        near = apart <= most
         if block.min() != block.max():
             near &= block[:, None] != block[None, :]
         label = _forest(near)
@@ -201,7 +202,7 @@ def _candidate_edges(nodes: DataFrame, percent: int) -> DataFrame:
 
     def groups(table: pa.Table, at: np.ndarray) -> Iterator[pa.RecordBatch]:
         block, nodes_ = table.column("block").to_numpy(), table.column("node").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint8).reshape(-1, SYMBOLS)
+        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
         found = [compare(nodes_[i:j], block[i:j], sig[i:j]) for i, j in zip(at[:-1], at[1:], strict=True) if j - i > 1]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[s] for f in found])) for s in (0, 1)], schema=edge)
@@ -292,7 +293,8 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
     nodes = signed.filter("n_shingles > 0").groupBy(*same).agg(F.min("uid").alias("node"))
     nodes = materialise(nodes.join(signed.select(F.col("uid").alias("node"), "doc_id", "copy", "signature"), "node"), "nodes")
     edges = materialise(_candidate_edges(nodes.select("node", "signature"), percent), "candidates")
-    classes = components(_confirmed(rows, nodes, edges, percent))
+    sizes = nodes.select("node", "n_shingles", "doc_id", "copy")
+    classes = components(confirmed(edges, sizes, lambda members: _elements(rows, members.select("node", "doc_id", "copy")), percent))
     root = nodes.join(classes, "node", "left").select(*same, F.coalesce("component", "node").alias("root"))
     return materialise(signed.join(root, same, "left").select("doc_id", "copy", "n_shingles", "root"), "placed")
 
@@ -300,7 +302,8 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, of each class only the one with the smallest id (then text hash).
 
-    Rows without words are all kept. Of rows with the same id and text, one is kept.
+    Rows without words are all kept. Of rows with the same id and text, one is kept. Columns of any names
+    pass through. A null id counts as -2**63, null text as empty.
     """
     placed = _placed(docs, id_col, text_col, percent).filter("root is not null")
     least = placed.groupBy("root").agg(F.min("doc_id").alias("doc_id"))
@@ -309,20 +312,23 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
     wordless = ~text.rlike(r"[^\x20\x09-\x0D]")
-    keyed = docs.filter(~wordless).withColumns({"kept_id": key, "kept_copy": F.xxhash64(text)})
-    one = keyed.join(chosen, ["kept_id", "kept_copy"], "left_semi").dropDuplicates(["kept_id", "kept_copy"])
-    return one.select(*docs.columns).unionByName(docs.filter(wordless))
+    whole = docs.filter(~wordless).select(key.alias("kept_id"), F.xxhash64(text).alias("kept_copy"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    one = whole.join(chosen, ["kept_id", "kept_copy"], "left_semi").dropDuplicates(["kept_id", "kept_copy"])
+    return one.select("row.*").unionByName(docs.filter(wordless))
 
 
-def _confirmed(rows: DataFrame, nodes: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
-    """Edges of a forest over confirmed links, for candidates' components of any size."""
+def confirmed(edges: DataFrame, sizes: DataFrame, elements: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Edges of a forest over confirmed links, for candidates' components of any size.
+
+    edges: a, b, candidates that connect each pair that may be linked. sizes: node, n_shingles and what
+    ``elements`` needs, which gives node, elements (ascending 64-bit hashes as bytes) for rows of sizes.
+    """
     near = components(edges)
     meets = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("meets"))
-    members = nodes.select("node", "doc_id", "copy", "n_shingles").join(near, "node").join(meets, "node")
+    members = sizes.join(near, "node").join(meets, "node")
     size = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / GROUP_NODES), F.ceil(F.sum("n_shingles") / GROUP_SHINGLES)).cast("int").alias("blocks"))
     members = members.join(size, "component")
-    sets = _elements(rows, members.select("node", "doc_id", "copy"))
-    members = materialise(members.drop("doc_id", "copy").join(sets, "node"), "members")
+    members = materialise(members.select("component", "node", "meets", "blocks", "n_shingles").join(elements(members), "node"), "members")
     small = members.filter("blocks = 1").select("component", "node", "elements").groupBy("component").applyInPandas(lambda pdf: _within(pdf, percent), EDGE)
     large = members.filter("blocks > 1").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # the best-connected members of each large component, against all of it, block by block

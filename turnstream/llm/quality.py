@@ -1,12 +1,17 @@
 """Text quality by positive-unlabelled learning.
 
 Trusted positives are labelled rows with label 1 that are not held out; all texts together are the
-unlabelled sample. With the logistic loss l and the class prior p, the unbiased risk of a linear score is
-p*E_pos[l(+z)] + (E_all[l(-z)] - p*E_pos[l(-z)]); the bracket, the risk on negatives, must not be below
-zero, so a step that takes it there is refused and shortened (the non-negative estimator). Newton steps
-over all rows: each gathers sums of the size of the feature vector squared, nothing by row. The prior is
-estimated from the labelled rows that are not held out, smoothed, or given. Features come from the text
-alone.
+unlabelled sample. No other label is read. With the logistic loss l and the class prior p, the unbiased risk
+of a linear score is p*E_pos[l(+z)] + (E_all[l(-z)] - p*E_pos[l(-z)]); the bracket, the risk on negatives,
+must not be below zero, so a step that takes it there is refused and shortened (the non-negative
+estimator). Newton steps over all rows: each gathers sums of the size of the feature vector squared, one
+array a task, added up in two levels. At the minimum the mean score is the prior, so scores need no scale
+from labels. Features come from the text alone.
+
+The prior, if none is given, is estimated from the same two samples: for a first model, of one half of the
+positives and the prior FIRST_PRIOR, the least ratio of the share of all texts to the share of the other
+half's positives above a threshold (``estimate_prior``). Where texts above it are all good, that ratio is
+the prior.
 """
 
 from __future__ import annotations
@@ -20,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import materialise, remove
 from .words import Words, slices
 
 STEPS = 25
 RIDGE = 1e-3
 CUT = 0.7
 BINS = 50
+FIRST_PRIOR, FIRST_STEPS, LEAST_MASS, LEAST_POSITIVES = 0.5, 8, 0.5, 20
 LEAST_PRIOR, MOST_PRIOR = 0.05, 0.98
 
 _CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "stop": b".", "comma": b",", "bang": b"!?", "symbol": b"#$%&*@^~|\\<>{}[]=+_", "line": b"\n"}
@@ -135,12 +141,15 @@ def _sums(table: DataFrame, weights: np.ndarray | None, scale: tuple) -> dict[st
             out[d + d * d : d + d * d + d] += x[good].sum(0)
             out[-5] += len(x)
             out[-4] += good.sum()
-        yield pa.RecordBatch.from_arrays([pa.array([i for i in range(len(out))], pa.int32()), pa.array(out)], names=["k", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float64()))], names=["v"])
 
-    parts = table.mapInArrow(scan, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()  # one row for each sum
-    v = np.zeros(d + d * d + d + 5)
-    for r in parts:
-        v[r["k"]] = r["v"]
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = sum((b.column(0).flatten().to_numpy().reshape(b.num_rows, -1).sum(0) for b in batches if b.num_rows), np.zeros(d + d * d + d + 5))
+        yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float64()))], names=["v"])
+
+    parts = table.mapInArrow(scan, "v array<double>")
+    few = max(1, math.isqrt(table.rdd.getNumPartitions()))
+    v = np.sum([r["v"] for r in parts.repartition(few).mapInArrow(add, "v array<double>").collect()], axis=0)  # the square root of the number of tasks
     return {"g": v[:d], "h": v[d : d + d * d].reshape(d, d), "pos": v[d + d * d : -5], "n": v[-5], "n_pos": v[-4], "all": v[-3], "pos_neg": v[-2], "z": v[-1]}
 
 
@@ -159,7 +168,7 @@ def fit(table: DataFrame, prior: float, steps: int = STEPS, ridge: float = RIDGE
     inverse = np.where(spread > 1e-6, 1 / np.maximum(spread, 1e-6), 0)
     constant = len(SHARES) * (1 + len(KNOTS))  # the feature that is always one
     mean[constant], inverse[constant] = 0, 1
-    penalty = np.full(d, ridge)
+    penalty = np.full(d, ridge + 1 / first["n_pos"])  # few positives allow no large weights
     penalty[constant] = 1e-9
     w = np.zeros(d)
     w[constant] = odds
@@ -192,59 +201,75 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float | None = None) -> dict:
-    """A model from all texts and the labels that are not held out.
+def feature_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Written table, one row a document: row_id, features, positive.
 
-    labels: doc_id, quality; a row counts as positive if any of its labels is 1 and none is 0. Null ids
-    and null labels teach nothing. The prior is (positives + 1) / (labelled + 2), within bounds.
+    labels: doc_id, quality; a row is a trusted positive if it is not held out and all its labels are 1.
+    Null ids and null labels teach nothing.
     """
-    known = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("q")).filter("label_id is not null and q is not null").filter(~held_out("label_id"))
-    known = known.groupBy("label_id").agg(F.min("q").alias("q"))
-    count = known.agg(F.count("*").alias("n"), F.sum("q").alias("good")).first()
+    known = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("q")).filter("label_id is not null and q is not null").filter(~held_out("label_id"))
+    trusted = known.groupBy("label_id").agg(F.min("q").alias("q")).filter("q = 1").select("label_id", F.lit(True).alias("positive"))
+    rows = with_features(docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("row_text")), "row_text", ["row_id"])
+    return materialise(rows.join(trusted, F.col("row_id") == F.col("label_id"), "left").select("row_id", "features", F.coalesce("positive", F.lit(False)).alias("positive")), "features")
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float | None = None) -> dict:
+    """A model from all texts and the trusted positives among the labels."""
+    table = feature_table(docs, labels, id_col, text_col)
+    model = train_on(table, prior)
+    remove(table)
+    return model
+
+
+def train_on(table: DataFrame, prior: float | None = None) -> dict:
     if prior is None:
-        prior = ((count["good"] or 0) + 1) / (count["n"] + 2)
+        taught = F.col("positive") & (F.pmod(F.xxhash64("row_id"), F.lit(2)) == 0)
+        first = fit(table.select("features", taught.alias("positive")), FIRST_PRIOR, FIRST_STEPS)
+        prior = estimate_prior(table.filter(~taught).select("features", "positive"), first)
     prior = min(MOST_PRIOR, max(LEAST_PRIOR, prior))
-    rows = with_features(docs, text_col, [id_col])
-    table = rows.join(known, F.col(id_col) == F.col("label_id"), "left").select("features", F.coalesce(F.col("q") == 1, F.lit(False)).alias("positive"), "q")
-    table = materialise(table, "features")
-    model = fit(table.select("features", "positive"), prior)
-    return model | calibrate(table.filter("q is not null").select("features", "q"), model) | {"prior": prior}
+    return fit(table.select("features", "positive"), prior) | {"prior": prior}
+
+
+def linear(x: np.ndarray, model: dict) -> np.ndarray:
+    return (x.astype(float) - model["mean"]) * model["inverse"] @ model["w"] + model["bias"]
+
 
+def estimate_prior(table: DataFrame, model: dict) -> float:
+    """Least ratio of the share of all rows to the share of positives at or above a score.
 
-def calibrate(labelled: DataFrame, model: dict) -> dict:
-    """Slope and offset of the logistic curve from the linear score to the labels; none without both labels."""
+    Of each ratio the upper end of its standard error counts, since the least of noisy ratios would be too low,
+    and only scores that at least LEAST_MASS of the positives, and LEAST_POSITIVES, reach. Without positives the
+    prior is FIRST_PRIOR.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column("features").flatten().to_numpy().reshape(-1, N_FEATURES).astype(float)
-            z = (x - model["mean"]) * model["inverse"] @ model["w"]
-            yield pa.RecordBatch.from_arrays([pa.array(np.round(np.clip(z, -20, 20) * BINS).astype(np.int32)), batch.column("q")], names=["bin", "q"])
-
-    bins = labelled.mapInArrow(scan, "bin int, q int").groupBy("bin", "q").count().collect()  # at most 80 * BINS + 2 rows
-    good, bad = (sum(r["count"] for r in bins if r["q"] == q) for q in (1, 0))
-    if not good or not bad:
-        return {"slope": 1.0, "offset": 0.0}
-    z, n = np.array([r["bin"] / BINS for r in bins]), np.array([r["count"] for r in bins], dtype=float)
-    target = np.array([(good + 1) / (good + 2) if r["q"] else 1 / (bad + 2) for r in bins])
-    x, w = np.stack([z, np.ones(len(z))], axis=1), np.array([1.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (n * (p - target)) + 1e-3 * (w - [1, 0])
-        w = w - 0.7 * np.linalg.solve(x.T @ (x * (n * p * (1 - p))[:, None]) + 1e-3 * np.eye(2), gradient)
-    return {"slope": float(w[0]), "offset": float(w[1])} if w[0] > 0 else {"slope": 1.0, "offset": 0.0}
+            z = linear(batch.column("features").flatten().to_numpy().reshape(-1, N_FEATURES), model)
+            yield pa.RecordBatch.from_arrays([pa.array(np.round(np.clip(z, -20, 20) * BINS).astype(np.int32)), batch.column("positive")], names=["bin", "positive"])
+
+    bins = table.mapInArrow(scan, "bin int, positive boolean").groupBy("bin").agg(F.count("*").alias("n"), F.count_if("positive").alias("good")).orderBy(F.desc("bin")).collect()  # at most 40 * BINS + 1 rows
+    every, good = np.cumsum([r["n"] for r in bins]), np.cumsum([r["good"] for r in bins])
+    if not len(bins) or not good[-1]:
+        return FIRST_PRIOR
+    enough = good >= min(good[-1], max(LEAST_MASS * good[-1], LEAST_POSITIVES))
+    share = good[enough] / good[-1]
+    return float(np.min((every[enough] + 1) / (every[-1] + 2) / share * (1 + np.sqrt((1 - share) / good[enough]))))
+
+
+def score_of(x: np.ndarray, model: dict) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(linear(x, model), -50, 50)))
 
 
 def scored(docs: DataFrame, model: dict, names: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The named columns and the score of each row's whole text."""
-    w, mean, inverse, bias = model["w"], model["mean"], model["inverse"], model["bias"]
-    rows = docs.select(*names, F.coalesce(F.col(text_col), F.lit("")).alias("quality_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col(text_col), F.lit("")).alias("quality_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + f", `{score_col}` double"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, words in slices(batch, "quality_text"):
-                z = ((features(words).astype(float) - mean) * inverse @ w + bias) * model["slope"] + model["offset"]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], names=[*names, score_col])
+            texts = pa.RecordBatch.from_arrays([*batch.columns[:-1], batch.columns[-1]], names=[f"c{k}" for k in range(batch.num_columns - 1)] + ["quality_text"])
+            for part, words in slices(texts, "quality_text"):
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score_of(features(words), model))], names=[*names, score_col])
 
     return rows.mapInArrow(scan, schema)
 
@@ -253,11 +278,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """Per row: doc_id, held_out, score (0 to 1), predicted (score >= cut).
 
     Rows stand alone: equal texts have equal scores, null text that of the empty text, a null id is never
-    held out. Labels enter through training only. An empty table gives no rows.
+    held out. Labels enter through training only. An empty table gives no rows. Other columns are not read;
+    very long texts count whole.
     """
-    model = train(docs, labels, id_col, text_col)
-    out = scored(docs, model, [id_col], text_col)
-    return out.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+    table = feature_table(docs, labels, id_col, text_col)
+    model = train_on(table)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("features").flatten().to_numpy().reshape(-1, N_FEATURES)
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(score_of(x, model))], names=["doc_id", "score"])
+
+    out = table.select("row_id", "features").mapInArrow(scan, "doc_id long, score double")
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:

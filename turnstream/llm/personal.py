@@ -2,11 +2,11 @@
 
 DataFrame functions only. Bootstrapping: whole matches of the fixed patterns, runs of digits with spaces
 and signs between them, and other tokens with a digit, an @ or an (at) are instances; the word before an
-instance is its lexical pattern (what another instance before it looks like, if that comes directly
-before). Instances that the fixed patterns know are seeds. The pattern-instance graph, one edge for each
-distinct pair with its count, is scored in turns: a pattern's score for a kind is the mean score of its
-distinct instances, an instance's score the best of its patterns. Patterns with enough distinct seeds and
-a high score name the unseen instances in their place that begin as the kind's shape allows.
+instance and the word behind it are its two lexical patterns (what another instance looks like, if that
+is right beside it). Instances that the fixed patterns know are seeds. The pattern-instance graph, one edge
+for each distinct pair with its count, is scored in turns: a pattern's score for a kind is the mean score of
+its distinct instances, an instance's score the best of its patterns. Patterns with enough distinct seeds
+and a high score name the unseen instances in their place that begin as the kind's shape allows.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ _RUN = r"(?<!\S)[+(]*+[0-9](?:[\x20().\/-]*+[0-9]){6,18}\)?(?![^\s,.;])"
 INSTANCE = rf"[{MASKS}]{REST}*+|{_RUN}|(?<!\S)(?:(?!{_AT})[^\s{MASKS}])++{_AT}[^\s{MASKS}]*+|(?<!\S)[^\s0-9@{MASKS}]*+[0-9@][^\s{MASKS}]*+"
 #: the last word of what stands before an instance; lone signs between the two do not count
 BEFORE = rf"(?<!\S)(\S++)(?:\s++[^\s\p{{L}}\p{{N}}{MASKS}]*+)?$"
+#: the first word of what stands behind one
+BEHIND = rf"^(?:[^\s\p{{L}}\p{{N}}{MASKS}]*+\s++)*+(\S++)(?!\S)"
 ROUNDS = 3
 LEAST_SEEDS = 5
 LEAST_SCORE = 0.8
@@ -90,34 +92,39 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def _instances(hidden: Column) -> Column:
-    """Places of a masked text's instances, and of each the word before it, lower-cased."""
-    # an instance right before another stands as its mask, or as its last token with all digits alike
-    like = lambda m: F.regexp_replace(F.regexp_replace(F.regexp_extract(m["match"], r"\S+$", 0), REST, ""), "[0-9]", "0")
-    last = lambda found, i: F.when(i > 0, like(F.get(found, i - 1))).otherwise("")
-    word = lambda found, m, i: F.lower(F.regexp_extract(F.concat(last(found, i), m["gap"]), BEFORE, 1))
-    each = lambda found: F.transform(found, lambda m, i: F.struct(word(found, m, i).alias("pattern"), m["match"].alias("match"), m["start"].alias("start"), m["end"].alias("end")))
+    """Places of a masked text's instances, and of each its patterns: "word _" before it and "_ word" behind it, lower-cased."""
+    # an instance right beside another stands as its mask, or as its token with all digits alike
+    alike = lambda token: F.regexp_replace(F.regexp_replace(token, REST, ""), "[0-9]", "0")
+    last = lambda found, i: F.when(i > 0, alike(F.regexp_extract(F.get(found, i - 1)["match"], r"\S+$", 0))).otherwise("")
+    following = lambda found, i: F.coalesce(alike(F.regexp_extract(F.get(found, i + 1)["match"], r"^\S+", 0)), F.lit(""))
+    before = lambda found, m, i: F.lower(F.regexp_extract(F.concat(last(found, i), m["gap"]), BEFORE, 1))
+    gap = lambda found, m, i: F.coalesce(F.get(found, i + 1)["gap"], F.substring(hidden, m["end"] + 1, F.length(hidden)))
+    behind = lambda found, m, i: F.lower(F.regexp_extract(F.concat(gap(found, m, i), following(found, i)), BEHIND, 1))
+    words = lambda found, m, i: F.filter(F.array(F.concat(before(found, m, i), F.lit(" _")), F.concat(F.lit("_ "), behind(found, m, i))), lambda p: F.length(p) > 2)
+    each = lambda found: F.transform(found, lambda m, i: F.struct(words(found, m, i).alias("patterns"), m["match"].alias("match"), m["start"].alias("start"), m["end"].alias("end")))
     return let(located(hidden, INSTANCE), each)
 
 
 def _contexts(rows: DataFrame) -> DataFrame:
-    """One row for each instance and kind it is a seed of: row key, place, token, the word before it, the kind or null."""
-    each = rows.select("row_key", "base_spans", F.explode("instances").alias("m")).filter("m.pattern <> ''")
+    """One row for each instance, pattern of it, and kind it is a seed of (null: none): row key, place, token, pattern, kind."""
+    each = rows.select("row_key", "base_spans", F.explode("instances").alias("m"))
     over = F.filter("base_spans", lambda s: (s["start"] < F.col("m.end")) & (s["end"] > F.col("m.start")))
     kinds = F.when(F.col("m.seed"), F.array_distinct(F.transform(over, lambda s: s["kind"])))
-    return each.select("row_key", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.match").alias("token"), F.col("m.pattern").alias("pattern"), F.explode_outer(kinds).alias("kind"))
+    alone = each.select("row_key", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.match").alias("token"), F.col("m.patterns").alias("patterns"), F.explode_outer(kinds).alias("kind"))
+    return alone.withColumn("pattern", F.explode("patterns")).drop("patterns")
 
 
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """edges: pattern, token, kind (null if unknown), one row each. Returns pattern, kind, score, seeds."""
-    seeds = edges.filter("kind is not null").select("token", "kind").distinct().withColumn("score", F.lit(1.0))
+    seeds = edges.filter("kind is not null").select("token", "kind").distinct().select("*", F.lit(1.0).alias("score"), F.lit(True).alias("seed"))
     pairs = edges.select("pattern", "token").distinct()
     size = pairs.groupBy("pattern").agg(F.count("*").alias("n"))
     known, patterns = seeds, None
     for _ in range(rounds):
-        votes = pairs.join(known, "token").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count_if(F.col("score") == 1.0).alias("seeds"))
+        votes = pairs.join(known, "token").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count_if("seed").alias("seeds"))
         patterns = votes.join(size, "pattern").select("pattern", "kind", (F.col("mass") / F.col("n")).alias("score"), "seeds").filter(F.col("seeds") > 0)
         patterns = materialise(patterns, "patterns")
-        found = pairs.join(patterns.filter(F.col("score") >= LEAST_SCORE / 2), "pattern").groupBy("token", "kind").agg(F.max("score").alias("score"))
+        found = pairs.join(patterns.filter(F.col("score") >= LEAST_SCORE / 2), "pattern").groupBy("token", "kind").agg(F.max("score").alias("score")).withColumn("seed", F.lit(False))
         known = seeds.unionByName(found.join(seeds.select("token", "kind"), ["token", "kind"], "left_anti"))
     return patterns
 
@@ -126,17 +133,18 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Rows with ``base_spans`` and ``pii_spans`` (all spans) added, arrays of (kind, start, end).
 
     Every row stands for itself, repeated rows and null ids included; null or empty text has no spans.
-    Spans are code points, end exclusive, by kind as listed, then start. Further columns pass through;
-    columns named base_spans, pii_spans, instances, masked_text or row_key are replaced.
+    Spans are code points, end exclusive, by kind as listed, then start. Further columns of any name pass
+    through; columns named base_spans or pii_spans are replaced. Very long texts are read whole.
     """
-    kept = [c for c in docs.columns if c not in ("base_spans", "pii_spans", "instances", "masked_text", "row_key")]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    none = F.array().cast("array<struct<pattern:string,match:string,start:int,end:int>>")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("base_spans", "pii_spans")]
+    own = docs.select(F.struct(*kept).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.col("text")
+    none = F.array().cast("array<struct<patterns:array<string>,match:string,start:int,end:int>>")
     found = F.when(text.rlike(r"[0-9@]|(?i:[(\[]at[)\]])"), _instances(F.col("masked_text"))).otherwise(none)
     seed = lambda m: F.substring(m["match"], 1, 1).isin(*MASKS)
     token = lambda m: F.when(seed(m), F.substring(text, m["start"] + 1, m["end"] - m["start"])).otherwise(m["match"])
-    named = lambda m: F.struct(m["pattern"].alias("pattern"), token(m).alias("match"), m["start"].alias("start"), m["end"].alias("end"), seed(m).alias("seed"))
-    rows = docs.withColumn("base_spans", base_spans(text)).withColumn("masked_text", masked(text, F.col("base_spans"))).withColumn("instances", F.transform(found, named)).select(*kept, "base_spans", "instances")
+    named = lambda m: F.struct(m["patterns"].alias("patterns"), token(m).alias("match"), m["start"].alias("start"), m["end"].alias("end"), seed(m).alias("seed"))
+    rows = own.withColumn("base_spans", base_spans(text)).withColumn("masked_text", masked(text, F.col("base_spans"))).withColumn("instances", F.transform(found, named)).select("row", "base_spans", "instances")
     rows = materialise(rows.withColumn("row_key", F.monotonically_increasing_id()), "personal")
     each = _contexts(rows.select("row_key", "base_spans", "instances"))
     edges = each.groupBy("pattern", "token", "kind").agg(F.count("*").alias("n"))
@@ -149,7 +157,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     new = unseen.select("row_key", F.struct("kind", "start", (F.col("start") + F.col("n")).alias("end")).alias("span"))
     new = materialise(new.groupBy("row_key").agg(F.collect_set("span").alias("more")), "unseen")
     spans = F.concat("base_spans", F.coalesce("more", F.array().cast(f"array<{SPAN}>")))
-    return rows.drop("instances").join(new, "row_key", "left").select(*kept, "base_spans", by_kind(spans, KINDS).alias("pii_spans"))
+    return rows.drop("instances").join(new, "row_key", "left").select("row.*", "base_spans", by_kind(spans, KINDS).alias("pii_spans"))
 
 
 def redact(text: Column, spans: Column) -> Column:

@@ -8,7 +8,7 @@ from .personal import op8_personal_data
 from .quality import op7_quality_classifier
 from .secrets import op10_secret_scan
 from .segmentation import op3_sentencepiece
-from .spots import op9_spot_fingerprints
+from .spots import near_spot_classes, op9_spot_fingerprints
 from .substrings import op2_substring_dedup
 from .token_files import op4_token_files
 from .wrappers import op1_html_extraction
@@ -26,6 +26,7 @@ QUERIES = {
         op8_personal_data,
         op9_spot_fingerprints,
         op10_secret_scan,
+        near_spot_classes,
     )
 }
 _WORDS = r"list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"

@@ -2,7 +2,8 @@
 
 An anchor is a common word; its spot is the anchor with the chain of the next ``CHAIN`` content words
 (words that are no anchors) of the text. A fingerprint is the set of a text's distinct spots, written as
-ascending 32-bit hashes in hexadecimal. Likeness is the Jaccard index of two sets.
+ascending 32-bit hashes in hexadecimal. Likeness is the Jaccard index of two sets. ``near_classes`` joins all
+fingerprints by likeness; ``compare_with_next`` compares fixed neighbours.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import components
+from .near_duplicates import confirmed
 from .store import materialise
 from .words import Words, mix, slices, string_bytes
 
@@ -91,26 +94,42 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, "doc_id long, fingerprint string, n_spots int")
 
 
-def near_fingerprints(prints: DataFrame, least: float = 0.8) -> DataFrame:
-    """Pairs of different fingerprints with a likeness of at least ``least``: a, b, likeness (a < b).
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """Per row: doc_id, n_spots, class_id: the smallest doc_id reachable over links of fingerprints.
 
-    Equal fingerprints count once. Sets are partitioned by length: a set of n spots is compared only with
-    sets of least*n to n. Within that, a pair must share one of the first (1-least)*n+1 spots, rarest
-    first; for each such pair the full sets are compared.
+    Fingerprints with a likeness of at least ``percent`` are linked; equal ones are one. Sets are partitioned
+    by length, in steps of the least likeness: a set is compared within its own part and with the next
+    shorter one. Of a set of n spots, two linked sets share one of the first n - ceil(percent * n) + 1, rarest
+    first, so these alone are keys. What meets under a key is tied to the key's first set, which gives
+    candidates; their components are confirmed on full sets, in blocks, and no key's pairs are written out.
+    Texts without words have the empty fingerprint and are linked with nothing. A null id stays null and
+    counts as the smallest; rows with equal ids are rows of their own. Other columns are not read.
     """
-    one = prints.filter("n_spots > 0").select("fingerprint", "n_spots").distinct()
-    spots = F.transform(F.sequence(F.lit(0), F.col("n_spots") - 1), lambda i: F.substring(F.col("fingerprint"), i * 8 + 1, F.lit(8)))
-    one = materialise(one.withColumn("spots", spots), "prints")
-    times = one.select(F.explode("spots").alias("spot")).groupBy("spot").agg(F.count("*").alias("times"))
-    ranked = one.select("fingerprint", "n_spots", F.explode("spots").alias("spot")).join(times, "spot")
-    rank = F.row_number().over(Window.partitionBy("fingerprint").orderBy("times", "spot"))
-    prefix = ranked.withColumn("rank", rank).filter(F.col("rank") <= F.col("n_spots") - F.ceil(F.col("n_spots") * least) + 1).filter("times > 1")
-    a = prefix.select("spot", F.col("fingerprint").alias("a"), F.col("n_spots").alias("n_a"))
-    b = prefix.select("spot", F.col("fingerprint").alias("b"), F.col("n_spots").alias("n_b"))
-    pairs = a.join(b, "spot").filter((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))).select("a", "b").distinct()
-    full = pairs.join(one.select(F.col("fingerprint").alias("a"), F.col("spots").alias("in_a")), "a").join(one.select(F.col("fingerprint").alias("b"), F.col("spots").alias("in_b")), "b")
-    common = F.size(F.array_intersect("in_a", "in_b"))
-    return full.select("a", "b", (common / (F.size("in_a") + F.size("in_b") - common)).alias("likeness")).filter(F.col("likeness") >= least)
+    prints = materialise(fingerprints(docs, id_col, text_col), "prints")
+    sets = prints.filter("n_spots > 0").select("fingerprint", "n_spots").distinct()
+    nodes = materialise(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    spots = F.transform(F.sequence(F.lit(0), F.col("n_spots") - 1), lambda i: F.conv(F.substring("fingerprint", i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
+    each = nodes.select("node", "n_spots", F.explode(spots).alias("spot"))
+    times = each.groupBy("spot").agg(F.count("*").alias("times"))
+    ranked = each.join(times, "spot").groupBy("node", "n_spots").agg(F.array_sort(F.collect_list(F.struct("times", "spot"))).alias("spots"))
+    first = F.slice("spots", 1, (F.col("n_spots") - F.ceil(F.col("n_spots") * percent / 100) + 1).cast("int"))
+    shared = ranked.select("node", "n_spots", F.explode(first).alias("s")).filter("s.times > 1").select("node", "n_spots", "s.spot")
+    part = F.floor(F.log(F.col("n_spots").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
+    keyed = shared.withColumn("part", part).select("node", "spot", F.explode(F.array(F.struct(F.col("part"), F.lit(True).alias("own")), F.struct((F.col("part") + 1).alias("part"), F.lit(False).alias("own")))).alias("k")).select("node", "spot", "k.part", "k.own")
+    heads = keyed.groupBy("spot", "part").agg(F.min(F.when(F.col("own"), F.col("node"))).alias("head"), F.count("*").alias("n")).filter("head is not null and n > 1")
+    edges = materialise(keyed.join(heads, ["spot", "part"]).filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "candidates")
+
+    def as_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(bytes.fromhex(f), ">u4").astype(np.uint64).tobytes() for f in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "elements"])
+
+    sizes = nodes.select("node", F.col("n_spots").alias("n_shingles"), "fingerprint")
+    links = confirmed(edges, sizes, lambda members: members.select("node", "fingerprint").mapInArrow(as_elements, "node long, elements binary"), percent)
+    named = nodes.join(components(links), "node", "left").select("fingerprint", F.coalesce("component", "node").alias("root"))
+    placed = materialise(prints.join(named, "fingerprint", "left").select("doc_id", "n_spots", "root"), "placed")
+    least = placed.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"].alias("class_id"), F.lit(True).alias("known"))
+    return placed.join(least, "root", "left").select("doc_id", "n_spots", F.when(F.col("known"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
 # --- the query: a document, its edited text and the next document
@@ -154,7 +173,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The edited text has its last floor(n/2) code points replaced by the first as many of the next text.
     Equal ids are ordered by text; null ids come last; null text counts as empty; a single row is its own
-    next. Rows are dealt by ranges of ids, and each range also gets a copy of the row that follows its last
+    next. Two texts without words are alike. Very long texts are compared whole. Other columns are not read. Rows are dealt by ranges of ids, and each range also gets a copy of the row that follows its last
     one: texts are shuffled once. What reaches the driver is one id for each range.
     """
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -189,6 +208,11 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return dealt.mapInArrow(scan, _OUT)
 
 
+def near_spot_classes(spark, sf_dir: str) -> DataFrame:
+    """Query: the classes of near fingerprints of all documents."""
+    return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def op9_spot_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Query: all documents compared with their edited texts and their next documents."""
     return compare_with_next(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -325,13 +325,26 @@ def test_pipeline_keeps_one_from_four_fifths_on(spark):
 def test_index_guarantee():
     """Signatures within the radius meet under a key."""
     r = np.random.default_rng(2)
-    a = r.integers(0, 256, (300, nd.SYMBOLS), dtype=np.uint8)
-    b = a.copy()
-    for row in b:
-        at = r.choice(nd.SYMBOLS, nd.RADIUS, replace=False)
-        row[at] += 1
-    ka, kb = nd.chunk_keys(a), nd.chunk_keys(b)
-    assert all(set(x) & set(y) for x, y in zip(ka.tolist(), kb.tolist(), strict=True))
+    for percent in (85, 80, 70):
+        chunks, width = nd.plan(percent)
+        a = r.integers(0, 1 << 16, (300, nd.SYMBOLS), dtype=np.uint16)
+        b = a.copy()
+        for row in b:
+            row[r.choice(chunks * width, nd.radius(percent), replace=False)] += 1
+        ka, kb = nd.chunk_keys(a, percent), nd.chunk_keys(b, percent)
+        assert all(set(x) & set(y) for x, y in zip(ka.tolist(), kb.tolist(), strict=True))
+        # at the bound itself a pair is beyond the radius for about 1 in 10**5
+        n, p = chunks * width, 1 - percent / 100
+        assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(nd.radius(percent) + 1, n + 1)) < 3e-5
+    with pytest.raises(ValueError, match="70 %"):
+        nd.plan(60)
+
+
+def test_keep_one_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c", 7, 8), (2, "a b c", 9, 9), (3, "", 1, 1)], "doc_id long, text string, kept_id int, kept_copy int")
+    kept = nd.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect())) == [(1, "a b c", 7, 8), (3, "", 1, 1)]
 
 
 def test_components(spark):
@@ -361,6 +374,70 @@ def test_leaks_reach_recall(spark, docs):
     assert len(found & set(truth)) >= 0.98 * len(truth)
 
 
+@pytest.mark.parametrize("share", [0.1, 0.2, 0.3, 0.4])
+def test_recall_by_length_and_share(share):
+    """Items of 3 to 60 words after floor(share * n) random edits, in texts of other words."""
+    from turnstream.llm.words import Words, string_bytes
+
+    r, word = random.Random(7), lambda k: f"{k}{r.randrange(10**6)}"
+    for n in (3, 4, 5, 6, 8, 10, 13, 20, 30, 45, 60):
+        items, texts = [], []
+        for _ in range(80):
+            w = [word("w") for _ in range(n)]
+            items.append(" ".join(w))
+            for _ in range(int(share * n + 1e-9)):
+                at = r.randrange(len(w))
+                w[at : at + r.choice([0, 1, 1])] = r.choice([[], [word("x")]])
+            texts.append(" ".join([*(word("a") for _ in range(25)), *w, *(word("b") for _ in range(25))]))
+        raw, offsets = string_bytes(pa.array(texts, pa.large_string()))
+        found = {(t, i) for t, i, *_ in dc._leaks(Words(raw, offsets), dc.Items(list(range(80)), items, share))}
+        assert sum((k, k) in found for k in range(80)) >= 0.95 * 80, n
+        assert all(t == i for t, i in found)
+
+
+def test_leaks_equal_brute_force(spark):
+    """All documents against all items: those that the exact distance finds, and no others."""
+    d = data("sf0.001")
+    docs, bench = (spark.read.parquet(f"{d}/{t}.parquet").collect() for t in ("documents", "benchmark"))
+    low = lambda t: [w.translate(LOWER) for w in WORDS.findall(t or "")]
+    number: dict[str, int] = {}
+    as_ids = lambda words: np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int64)
+    texts, items = [(r.doc_id, as_ids(low(r.text))) for r in docs], [(r.item_id, as_ids(low(r.text))) for r in bench]
+    wanted = set()
+    for i, item in items:
+        e = int(0.2 * len(item) + 1e-9)
+        for k, text in texts:
+            if not len(item) or np.isin(item, text).sum() < len(item) - e:
+                continue
+            row, place = np.zeros(len(text) + 1, np.int64), np.arange(len(text) + 1)
+            for x in item:
+                best = row + 1
+                best[1:] = np.minimum(best[1:], row[:-1] + (text != x))
+                row = np.minimum.accumulate(best - place) + place
+            if row.min() <= e:
+                wanted.add((k, i, int(row.min())))
+    found = {(r.doc_id, r.item_id, r.distance) for r in dc.find_leaks(*(spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "benchmark"))).collect()}
+    assert found == wanted
+
+
+def test_many_items_with_one_common_gram(spark, monkeypatch):
+    monkeypatch.setattr(dc, "HITS_AT_ONCE", 50)
+    monkeypatch.setattr(dc, "WORDS_AT_ONCE", 64)
+    from turnstream.llm.words import Words, string_bytes
+
+    items = [f"in the year of {k} it was so" for k in range(300)] + ["a " * 40]
+    raw, offsets = string_bytes(pa.array(["x in the year of 77 it was so y " * 3, "in the year of", None, "a " * 45], pa.large_string()))
+    found = {(t, i) for t, i, d, *_ in dc._leaks(Words(raw, offsets), dc.Items(list(range(301)), items)) if d == 0}
+    assert found == {(0, 77), (3, 300)}
+
+
+def test_leaks_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "x one two three four y", 3, "c"), (2, "z", 4, "d")], "doc_id long, text string, item_id int, distance string")
+    bench = spark.createDataFrame([(9, "one two three four", 1)], "item_id long, text string, doc_id int")
+    assert [(r.doc_id, r.item_id, r.word_start, r.word_end) for r in dc.find_leaks(df, bench).collect()] == [(1, 9, 1, 5)]
+    assert [tuple(r) for r in dc.without_leaks(df, bench).collect()] == [(2, "z", 4, "d")]
+
+
 def test_leaks_edges(spark, hard, empty):
     bench = spark.createDataFrame([(1, "one two three four"), (2, None), (3, ""), (None, "a"), (4, "zz")], "item_id long, text string")
     found = {(r.doc_id, r.item_id, r.distance) for r in dc.find_leaks(hard, bench).collect()}
@@ -408,6 +485,54 @@ def test_quality_on_held_out_rows(spark):
     assert (held.predicted == held.quality).mean() > 0.9
 
 
+def test_quality_reads_no_negative_labels(spark):
+    d = data("sf0.001")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
+    scores = lambda x: {r.doc_id: round(r.score, 9) for r in quality.score_quality(docs, x).collect()}
+    assert scores(labels) == scores(labels.filter("quality = 1"))
+
+
+def test_quality_minimises_the_risk(spark):
+    """The same risk by plain gradient descent on the collected features is no lower, and the mean score is the prior."""
+    d = data("sf0.001")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    table = quality.feature_table(docs, labels)
+    model, prior = quality.train_on(table, 0.8), 0.8
+    pdf = table.toPandas()
+    x = (np.array(pdf.features.tolist(), dtype=float) - model["mean"]) * model["inverse"]
+    good = x[pdf.positive.to_numpy()]
+    constant = len(quality.SHARES) * (1 + len(quality.KNOTS))
+    penalty = np.full(x.shape[1], quality.RIDGE + 1 / len(good))
+    penalty[constant] = 1e-9
+
+    def risk(w):
+        z, zp = x @ w, good @ w
+        negative = np.logaddexp(0, z).mean() - prior * np.logaddexp(0, zp).mean()
+        return prior * np.logaddexp(0, -zp).mean() + max(0.0, negative) + 0.5 * (penalty * w * w).sum(), negative
+
+    w = np.zeros(x.shape[1])
+    for _ in range(4000):
+        z = x @ w
+        step = (x * (1 / (1 + np.exp(-z)))[:, None]).mean(0) - prior * good.mean(0) + penalty * w
+        tried = w - 0.05 * step
+        if risk(tried)[1] < 0:
+            break
+        w = tried
+    assert risk(model["w"])[0] <= risk(w)[0] + 1e-3
+    assert risk(model["w"])[1] >= -1e-9
+
+
+def test_quality_clashing_columns(spark, hard):
+    df = hard.withColumnsRenamed({"spans": "features", "n_shingles": "positive"}).withColumn("score", F.lit(3))
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, text int")
+    out = quality.score_quality(df, labels)
+    assert out.count() == hard.count() and out.columns == ["doc_id", "held_out", "score", "predicted"]
+    again = quality.scored(df, quality.train(df, labels), df.columns, score_col="own")
+    assert again.columns == [*df.columns, "own"] and again.count() == hard.count()
+    same = [r.score for r in out.filter("doc_id in (8, 9)").collect()]
+    assert same[0] == same[1]
+
+
 def test_quality_edges(spark, hard, empty):
     labels = spark.createDataFrame([(0, 1), (1, 0), (None, 1), (5, None), (8, 1), (8, 0)], "doc_id long, quality int")
     rows = quality.score_quality(hard, labels).collect()
@@ -484,6 +609,30 @@ def test_contexts_find_identifiers_with_spaces(spark):
     assert found[92] == [("email", 51, 62)]
 
 
+def test_words_behind_name_unseen_identifiers(spark):
+    rows = [(i, f"w{i} kim{i}@x.example.com via mail, w{i} +1 (743) 555-{i:04d} by telephone") for i in range(20)]
+    more = {99: ("ask kim(at)host.com via nobody", [("email", 4, 19)]), 98: ("at 743 555 3824 by train", [("phone", 3, 15)]), 97: ("at 743 555 3824 in town", [])}
+    rows += [(i, t) for i, (t, _) in more.items()]
+    found = {r.doc_id: [tuple(s) for s in r.pii_spans] for r in personal.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: found[i] for i in more} == {i: s for i, (_, s) in more.items()}
+
+
+def test_only_distinct_seeds_count(spark):
+    """Many mentions of four seeds are four seeds; instances that a pattern found are none."""
+    rows = [("p _", f"t{i}", "email") for i in range(4)] * 9 + [("q _", f"t{i}", "email") for i in range(5)] + [("p _", "new", None), ("q _", "new", None)]
+    scored = {r.pattern: r for r in personal.score_patterns(spark.createDataFrame(rows, "pattern string, token string, kind string")).collect()}
+    assert (scored["p _"].seeds, scored["q _"].seeds) == (4, 5)
+    assert scored["q _"].score > 0.9
+
+
+def test_personal_columns_of_any_name(spark):
+    rows = [(1, "a@b.cc", 5, "x", 2, "m", 7, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_key int, instances string, row int, masked_text string, base_spans int, start string")
+    r = personal.find_personal_data(df).first()
+    assert (r.row_key, r.instances, r.row, r.masked_text, r.start) == (5, "x", 2, "m", "y")
+    assert [tuple(s) for s in r.base_spans] == [("email", 0, 6)]
+
+
 def test_redact(spark):
     spans = F.expr("array(named_struct('kind','email','start',9,'end',25), named_struct('kind','ip','start',12,'end',14))")
     df = spark.createDataFrame([("see mail odd-99@localhost!",), (None,)], "t string")
@@ -500,10 +649,19 @@ def test_entropy_and_allow_list(spark):
     assert math.isclose(window, brute)
 
 
+def test_allow_list_must_explain_the_candidate(spark):
+    key = "zX9kLm2Qp7RtV4wYb8NcJ3hG"
+    found = [f"{key}example", f"{key[:12]}xxxxxx{key[12:]}", f"{key}0123456789"]
+    rows = [*found, "xxxxxxxxxxxxxxxxxxxxxxxxAb3dE", "exampleExample1example2example", "0123456789abcdefABCDEF0123456789"]
+    out = {r.doc_id: r.secret_spans for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [[tuple(s) for s in out[i]] for i in range(3)] == [[("entropy", 0, len(t))] for t in found]
+    assert not any(out[i] for i in range(3, len(rows)))
+
+
 def test_secrets_behind_names_and_of_every_class(spark):
     values = ["3FA9BC0417DE52A86C9B1F7E", "QZ5M2XKT7RBW3NYD6HVC4JLP", "k7m2q9x4v8n1z5b3t6w0p2rd", "zX9kLm2Qp7RtV4wYb8NcJ3hG", "zX9kLm2Qp7RtV4wYb8NcJ3h="]
     names = ["SIGNING_KEY=", "example_app=", "id: ", 'x = "']
-    more = ["docs/2024/Some-Page/Title", "Example_token_zX9kLm2Qp7RtV4wYb8NcJ3hG", "example_app=internationalizations"]
+    more = ["docs/2024/Some-Page/Title", "Example_token_of_your_Placeholder_3", "example_app=internationalizations"]
     rows = [(n, v) for n in names for v in values] + [("sk-", values[2])]
     df = spark.createDataFrame([(i, f"{n}{v}\n end") for i, (n, v) in enumerate(rows)] + [(99 + i, t) for i, t in enumerate(more)], "doc_id long, text string")
     found = {r.doc_id: [tuple(s) for s in r.secret_spans] for r in secrets.find_secrets(df).collect()}
@@ -542,17 +700,109 @@ def test_equal_texts_have_equal_prints(spark, hard):
     assert len({r.fingerprint for r in found}) == 1
 
 
-def test_near_fingerprints_match_brute_force(spark, docs):
-    prints = spots.fingerprints(docs)
-    found = {(r.a, r.b) for r in spots.near_fingerprints(prints, 0.6).collect()}
-    sets = {r.fingerprint: {r.fingerprint[i : i + 8] for i in range(0, len(r.fingerprint), 8)} for r in prints.collect() if r.fingerprint}
-    wanted = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
-    assert found == wanted
+def plain_spots(text: str) -> set:
+    """Spots as words: an anchor and the two content words behind it; all words if there is none."""
+    words = [w.translate(LOWER) for w in WORDS.findall(text or "")]
+    found = set()
+    for k, w in enumerate(words):
+        if w in spots.ANCHORS:
+            chain = [v for v in words[k + 1 :] if v not in spots.ANCHORS][:2]
+            if len(chain) == 2:
+                found.add((w, *chain))
+    return found or ({tuple(words)} if words else set())
+
+
+def index(a: set, b: set) -> float:
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("which", ["few", "hard"])
+def test_likeness_matches_brute_force(docs, hard, which):
+    df = docs.filter("length(text) < 3000").limit(80) if which == "few" else hard
+    rows = sorted(texts_of(df), key=lambda x: (x[0] is None, -(x[0] or 0), x[1] or ""))
+    wanted = []
+    for k, (i, t) in enumerate(rows):
+        t, after = t or "", rows[(k + 1) % len(rows)][1] or ""
+        n = len(t) // 2
+        own, edited = plain_spots(t), plain_spots(t[: len(t) - n] + after[:n])
+        wanted.append((str(i), len(own), len(edited), round(index(own, edited), 9), round(index(own, plain_spots(after)), 9)))
+    found = spots.compare_with_next(df).collect()
+    assert sorted((str(r.doc_id), len(r.fingerprint) // 8, len(r.edited_fingerprint) // 8, round(r.near_edited, 9), round(r.near_next, 9)) for r in found) == sorted(wanted)
+
+
+def near_classes_brute(rows: list[tuple], percent: int) -> list[tuple]:
+    sets = [plain_spots(t) for _, t in rows]
+    at = list(range(len(rows)))
+
+    def root(k):
+        while at[k] != k:
+            k = at[k]
+        return k
+
+    for k in range(len(rows)):
+        for m in range(k):
+            if sets[k] and sets[m] and 100 * len(sets[k] & sets[m]) >= percent * len(sets[k] | sets[m]):
+                at[root(k)] = root(m)
+    least: dict = {}
+    for k, (i, _) in enumerate(rows):
+        least.setdefault(root(k), []).append(i)
+    smallest = {k: None if None in v else min(v) for k, v in least.items()}
+    return sorted((str(i), len(sets[k]), str(smallest[root(k)])) for k, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize(("which", "percent"), [("docs", 80), ("docs", 60), ("hard", 80), ("empty", 80), ("copies", 80)])
+def test_near_classes_match_brute_force(spark, request, monkeypatch, which, percent):
+    if which == "copies":  # a group larger than a block
+        monkeypatch.setattr(nd, "GROUP_NODES", 10)
+        r = random.Random(9)
+        base = [w for k in range(60) for w in ("the", f"a{k}", f"b{k}")]
+        change = lambda: [w if r.random() > 0.06 else f"c{r.randrange(999)}" for w in base]
+        df = spark.createDataFrame([(k, " ".join(change())) for k in range(60)], "doc_id long, text string")
+    else:
+        df = request.getfixturevalue(which)
+    found = spots.near_classes(df, percent=percent).collect()
+    assert sorted((str(x.doc_id), x.n_spots, str(x.class_id)) for x in found) == near_classes_brute(texts_of(df), percent)
 
 
 # --- kernels
 
 
+def test_hashes_of_patterned_words():
+    """Thue-Morse words and word sequences, whose polynomials modulo 2**64 agree, have different hashes."""
+    from turnstream.llm.words import Ranges, Words, string_bytes
+
+    bits = "a"
+    for _ in range(11):
+        bits += bits.translate({97: 98, 98: 97})
+    other = bits.translate({97: 98, 98: 97})
+    for texts in ([bits, other], [" ".join(bits), " ".join(other)], ["x" * 70, "x" * 69 + "y"], ["ab cd", "cd ab"]):
+        raw, offsets = string_bytes(pa.array(texts, pa.large_string()))
+        for seed in (0, 1):
+            w = Words(raw, offsets)
+            got = Ranges(w.hashes(seed=seed), seed)(w.first[:-1], w.first[1:])
+            assert got[0] != got[1]
+            again = Words(*string_bytes(pa.array(["pad " + texts[0], texts[1]], pa.large_string())))
+            assert Ranges(again.hashes(seed=seed), seed)(again.first[:-1] + [1, 0], again.first[1:]).tolist() == got.tolist()
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import json
+
+    path = tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    assert token_files._splits_into_words(file)
+    file["normalizer"]["normalizers"].pop()  # cased
+    assert not token_files._splits_into_words(file)
+    encode = token_files.WordEncoder(tokenizers.path("byte_bpe_50k.json"))
+    assert not encode.by_words
+    texts = ["Hello  world.", "A\nb", ""]
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode([t.encode() for t in texts])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_words_of_a_batch():
     from turnstream.llm.words import Ranges, slices
 

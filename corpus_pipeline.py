@@ -14,8 +14,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of at least 0.7, by a model of this very table and its labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels)
-    scored = quality.scored(docs, model, docs.columns, score_col="stage_quality_score")
-    return scored.filter(F.col("stage_quality_score") >= quality.CUT).drop("stage_quality_score")
+    score = "score" + "_" * max(map(len, docs.columns))  # no column's name
+    return quality.scored(docs, model, docs.columns, score_col=score).filter(F.col(score) >= quality.CUT).drop(score)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +30,12 @@ def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with [kind] in place of each piece of personal data, and their new lengths."""
-    found = personal.find_personal_data(docs)
-    text = personal.redact(F.col("text"), F.col("pii_spans"))
-    out = found.withColumn("text", text)
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
+    found = personal.find_personal_data(rows).select("document", personal.redact(F.col("text"), F.col("pii_spans")).alias("redacted"))
+    changed = {"text": F.col("redacted")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.length("redacted").cast(docs.schema["n_chars"].dataType)
+    return found.select(*[changed.get(c, F.col("document")[c]).alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

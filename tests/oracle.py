@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -16,7 +17,7 @@ def duck(sf_dir: str):
 
 def rows(pdf) -> list[tuple]:
     pdf = pdf[sorted(pdf.columns)]
-    return sorted(tuple(None if v is None or v != v else v.item() if hasattr(v, "item") else v for v in r) for r in pdf.itertuples(index=False))
+    return [tuple(None if v is None or v is pd.NA or v != v else v.item() if hasattr(v, "item") else v for v in r) for r in pdf.itertuples(index=False)]
 
 
 def differences(spark, sf_dir: str, query, sql: str) -> str:

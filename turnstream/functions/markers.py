@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnstream.functions.scalars import py_round2
+
 # The marker formats.
 SEGMENT = r"(?:<\|speaker:(\d+)\|>)?<\|(\d+\.\d+)\|>(.*?)<\|(\d+\.\d+)\|>"
 MARKER = r"<\|-?\d+\.?\d*\|>"
@@ -52,3 +54,14 @@ def shifted(text: Column, offset: Column) -> Column:
     moved = F.transform(times, lambda m: F.format_string("<|%.2f|>", (F.round(F.regexp_replace(m, r"[<|>]", "").cast("double") * 100) + offset) / 100))
     texts = F.split(text, MARKER, -1)
     return F.concat(F.array_join(F.flatten(F.zip_with(F.slice(texts, 1, F.size(times)), moved, lambda t, m: F.array(t, m))), ""), F.element_at(texts, -1))
+
+
+def shifted_segments(df: DataFrame, start: str, end: str, text: str, offset: Column) -> DataFrame:
+    """Segments moved by ``offset`` seconds and rounded to two places; a missing time is 0.0, empty texts are dropped."""
+    moved = lambda c: py_round2(F.coalesce(F.col(c), F.lit(0.0)) + offset)
+    return df.withColumns({start: moved(start), end: moved(end), text: stripped(F.coalesce(F.col(text), F.lit("")))}).filter(F.col(text) != "")
+
+
+def short_time(seconds: Column) -> Column:
+    """Two places without the last zero: 5.0, 3.5, 12.34."""
+    return F.regexp_replace(F.format_string("%.2f", seconds), "0$", "")

@@ -103,3 +103,24 @@ def convolved(n: Column) -> Column:
     for kernel, stride in CONVOLUTIONS:
         n = F.floor((n - kernel) / stride) + 1
     return F.greatest(n, F.lit(0))
+
+
+def emission_window(samples: Column, window: int, context: int) -> Column:
+    """The first window of a signal with context at both sides: zeros before it, zeros up to whole windows behind it."""
+    n = F.size(samples)
+    extension = (F.ceil(n / window) * window - n).cast("int")
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k)
+    return F.slice(F.concat(zeros(F.lit(context)), samples, zeros(extension + context)), 1, window + 2 * context)
+
+
+def trimmed_frames(frames: Column, n_samples: Column, window: int, rate: int, context_frames: int, frames_a_second: int) -> Column:
+    """A window's frames without those of the context (all but one at the end) and of the extension."""
+    own = F.slice(frames, context_frames + 1, F.greatest(F.size(frames) - 2 * context_frames + 1, F.lit(0)))
+    more = F.floor((F.ceil(n_samples / window) * window - n_samples) / rate * frames_a_second).cast("int")
+    return F.slice(own, 1, F.greatest(F.size(own) - more, F.lit(0)))
+
+
+def zipped(a: Column, b: Column) -> Column:
+    """Pairs by place: array<struct<place, a, b>>, as long as the shorter side."""
+    n = F.least(F.size(a), F.size(b))
+    return F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: F.struct(x.alias("a"), y.alias("b")))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .folds import Fold, fold
 
@@ -157,3 +158,15 @@ def agglomerative_labels(embeddings: DataFrame, key: str, threshold: float = 0.2
         return pd.DataFrame({key: pdf[key], "chunk_idx": pdf["chunk_idx"], "speaker": labels})
 
     return embeddings.select(key, "chunk_idx", "v").groupBy(key).applyInPandas(one, f"{key} long, chunk_idx long, speaker int")
+
+
+def top_k(scores: Column, k: int) -> Column:
+    """Places of the k highest scores, highest first, of equal ones the first."""
+    ranked = F.array_sort(F.transform(scores, lambda x, i: F.struct((-x).alias("back"), i.alias("i"))))
+    return F.transform(F.slice(ranked, 1, k), lambda r: r["i"])
+
+
+def top_over(scores: Column, threshold: float) -> Column:
+    """The place of the highest score of at least ``threshold``; null if there is none."""
+    best = F.get(top_k(scores, 1), F.lit(0))
+    return F.when(F.get(scores, best) >= threshold, best)

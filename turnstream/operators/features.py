@@ -25,12 +25,47 @@ def splice(df: DataFrame, key: str, order: str, value: str, out: str, k: int) ->
 
 
 def normalized(df: DataFrame, keys: list[str], value: str, out: str, eps: float = 1e-5) -> DataFrame:
-    """(x - mean) / (sample deviation + eps) over all rows of the keys; one row alone is an error in the
-    reference and null here. Means come from a partial aggregation, not from windows over hot keys."""
+    """(x - mean) / (sample deviation + eps) over all rows of the keys: those of a signal and feature, or of a
+    signal for one mean of all its features. One row alone is null. Means come from a partial aggregation, not from windows over hot keys."""
     stats = df.groupBy(*keys).agg(F.avg(value).alias("mean_of_key"), F.stddev_samp(value).alias("sd_of_key"))
     return df.join(stats, keys).withColumn(out, (F.col(value) - F.col("mean_of_key")) / (F.col("sd_of_key") + eps)).drop("mean_of_key", "sd_of_key")
 
 
+def normalized_fixed(df: DataFrame, value: str, out: str, mean: Column, deviation: Column) -> DataFrame:
+    return df.withColumn(out, (F.col(value) - mean) / deviation)
+
+
+def masked_statistics(df: DataFrame, keys: list[str], value: str, weight: str, eps: float = 1e-10) -> DataFrame:
+    """keys, mean, deviation: sum(w * x) and the root of sum(w * (x - mean)**2), at least eps; weights as they are."""
+    mean = df.groupBy(*keys).agg(F.sum(F.col(weight) * F.col(value)).alias("mean"))
+    apart = F.col(weight) * (F.col(value) - F.col("mean")) * (F.col(value) - F.col("mean"))
+    return df.join(mean, keys).groupBy(*keys).agg(F.max("mean").alias("mean"), F.sqrt(F.greatest(F.sum(apart), F.lit(eps))).alias("deviation"))
+
+
+def pooled(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, most, average: pooling over time."""
+    return df.groupBy(*keys).agg(F.max(value).alias("most"), F.avg(value).alias("average"))
+
+
+def span_sum(scores: Column, start: Column, end: Column) -> Column:
+    """The sum of scores[start:end]."""
+    return F.aggregate(F.slice(scores, start + 1, F.greatest(end - start, F.lit(0))), F.lit(0.0), lambda a, x: a + x)
+
+
+def padded_square(values: Column, rows: int, columns: int, fill: Column, front: bool = False) -> Column:
+    """An array of arrays padded to rows x columns, behind or in front."""
+    wide = F.transform(values, lambda r: padded(r, F.lit(columns), fill, front))
+    return padded(wide, F.lit(rows), F.array_repeat(fill, columns), front)
+
+
+def loudness_share(samples: Column, low: float = -20.0, high: float = 80.0) -> Column:
+    """The level of peak-normalised samples in decibels, from 0 at ``low`` to 1 at ``high``: a mean square without the
+    ear's weighting, which needs a library that is not here."""
+    top = F.array_max(F.transform(samples, lambda x: F.abs(x)))
+    square = F.aggregate(samples, F.lit(0.0), lambda a, x: a + (x / top) * (x / top)) / F.size(samples)
+    return F.when(top > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (10 * F.log10(square) - low) / (high - low)))).otherwise(0.0)
+
+
 def statistics_pool(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean and sample deviation (variance at least 1e-10) over time."""
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.sqrt(F.greatest(F.coalesce(F.var_samp(value), F.lit(0.0)), F.lit(1e-10))).alias("deviation"))
@@ -51,7 +86,7 @@ def mel_filters(n_mels: int, n_fft: int, rate: int) -> np.ndarray:
     return np.maximum(0, np.minimum(up, down)) * (2 / (edges[2:] - edges[:-2]))[:, None]
 
 
-def log_mel(signals: DataFrame, keep: list[str], samples: str, rate: int, n_fft: int = 512, hop: int = 160, n_mels: int = 80, pad: bool = True) -> DataFrame:
+def log_mel(signals: DataFrame, keep: list[str], samples: str, rate: int, n_fft: int = 512, hop: int = 160, n_mels: int = 80, pad: bool = True, guard: float = 2.0**-24) -> DataFrame:
     """keep, frame, mel: log mel energies of each window of an array of samples, centred and zero-padded if pad."""
     ddl = ", ".join(f"`{c}` {signals.schema[c].dataType.simpleString()}" for c in keep) + ", frame int, mel array<double>"
 
@@ -61,13 +96,49 @@ def log_mel(signals: DataFrame, keep: list[str], samples: str, rate: int, n_fft:
             for i, x in enumerate(batch.column(samples).to_pylist()):
                 x = np.pad(np.asarray(x or [], dtype=np.float64), n_fft // 2 if pad else 0)
                 frames = np.lib.stride_tricks.sliding_window_view(x, n_fft)[::hop] * window
-                mel = np.log((np.abs(np.fft.rfft(frames, axis=1)) ** 2) @ filters.T + 2.0**-24)
+                with np.errstate(divide="ignore"):
+                    mel = np.log((np.abs(np.fft.rfft(frames, axis=1)) ** 2) @ filters.T + guard)
                 rows = pa.array(np.full(len(mel), i))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in keep), pa.array(np.arange(len(mel), dtype=np.int32)), pa.array(list(mel), pa.list_(pa.float64()))], names=[*keep, "frame", "mel"])
 
     return signals.select(*keep, samples).mapInArrow(scan, ddl)
 
 
+def mfcc(signals: DataFrame, keep: list[str], samples: str, rate: int, n_mfcc: int = 13, log: bool = False, **mel) -> DataFrame:
+    """keep, frame, mfcc: the orthonormal cosine transform (type 2) of mel energies, in decibels or as logarithms.
+
+    Decibels are 10 * log10, at least 1e-10, and no more than 80 below the signal's loudest.
+    """
+    rows = log_mel(signals, keep, samples, rate, guard=0.0, **mel)
+    n_mels = mel.get("n_mels", 80)
+    k, m = np.arange(n_mfcc)[:, None], np.arange(n_mels)
+    basis = np.cos(np.pi / n_mels * (m + 0.5) * k) * np.sqrt(2 / n_mels)
+    basis[0] /= np.sqrt(2)
+    energy = F.transform("mel", lambda x: F.exp(x))
+    if log:
+        level = F.transform(energy, lambda x: F.log(x + 1e-6))
+    else:
+        rows = rows.withColumn("db", F.transform(energy, lambda x: 10 * F.log10(F.greatest(x, F.lit(1e-10)))))
+        top = rows.groupBy(*keep).agg(F.max(F.array_max("db")).alias("top"))
+        rows = rows.join(top, keep)
+        level = F.transform("db", lambda x: F.greatest(x, F.col("top") - 80))
+    row = lambda weights: F.aggregate(F.zip_with("level", F.lit([float(w) for w in weights]), lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+    return rows.withColumn("level", level).select(*keep, "frame", F.array(*[row(b) for b in basis]).alias("mfcc"))
+
+
+def log_mel_clamped(signals: DataFrame, keep: list[str], samples: str, rate: int, guard: float = 2.0**-24, factor: float = 0.97, **mel) -> DataFrame:
+    """keep, frame, mel: the second front end: pre-emphasis first, energies at least ``guard`` before the logarithm, by
+    feature less its mean over its deviation (divisor n - 1, variance at least the guard, plus 1e-5)."""
+    x = F.col(samples)
+    emphasised = F.transform(x, lambda v, i: F.when(i > 0, v - factor * F.get(x, i - 1)).otherwise(v))
+    rows = log_mel(signals.withColumn(samples, emphasised), keep, samples, rate, guard=0.0, **mel)
+    each = rows.select(*keep, "frame", F.posexplode("mel").alias("feature", "x")).withColumn("x", F.log(F.greatest(F.exp("x"), F.lit(guard))))
+    stats = each.groupBy(*keep, "feature").agg(F.avg("x").alias("m"), F.sqrt(F.greatest(F.coalesce(F.var_samp("x"), F.lit(0.0)), F.lit(guard))).alias("sd"))
+    z = each.join(stats, [*keep, "feature"]).withColumn("z", (F.col("x") - F.col("m")) / (F.col("sd") + 1e-5))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("feature", "z"))), lambda v: v["z"])
+    return z.groupBy(*keep, "frame").agg(in_order.alias("mel"))
+
+
 def log_mel_of_streams(df: DataFrame, key: str, order: str, value: str, rate: int, n_fft: int, hop: int, n_mels: int, piece: int) -> DataFrame:
     """key, part, frame, mel: log mel energies of whole streams, whose values are numbered from 0 by ``order``.
 

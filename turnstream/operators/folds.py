@@ -152,3 +152,25 @@ class Smoothing(Fold):
             self.at = v if self.at is None else self.at + self.factor * (v - self.at)
             out.append((item, self.at))
         return out
+
+
+class Quota(Fold):
+    """A counter that a request reads, and writes with its tokens added, unless the counter is over the limit.
+
+    A missing counter reads as -1; it is missing before the first write and ``ttl`` after the last one.
+    Rows: item, what was read, whether the request was refused.
+    """
+
+    def __init__(self, limit: int, ttl: int):
+        self.limit, self.ttl, self.value, self.written = limit, ttl, -1, None
+
+    def take(self, columns: dict[str, np.ndarray]) -> list[tuple]:
+        out = []
+        for item, at, tokens in zip(columns["item"].tolist(), columns["at"].tolist(), columns["tokens"].tolist(), strict=True):
+            if self.written is None or at - self.written >= self.ttl:
+                self.value = -1
+            refused = self.value > self.limit
+            out.append((item, self.value, refused))
+            if not refused:
+                self.value, self.written = self.value + tokens, at
+        return out

@@ -65,3 +65,29 @@ def clamp_gaps(segments: DataFrame, key: str, order: str, threshold: int) -> Dat
 def bucket_for(value: Column, buckets: list[int]) -> Column:
     """The smallest bucket that holds the value; the value itself beyond the last."""
     return F.coalesce(F.array_min(F.filter(F.lit(buckets), lambda b: b >= value)).cast("long"), value)
+
+
+def points(s: Column, e: Column, t: Column) -> dict[str, Column]:
+    """Duration, middle (doubled, so that it stays whole), whether an interval is more than empty, and whether it holds a time."""
+    return {"duration": e - s, "middle_x2": s + e, "filled": e > s, "overlaps": (s <= t) & (t <= e)}
+
+
+def merge_speakers(segments: DataFrame, speaker_data: DataFrame | None, mode: str, key: str, segment_id: str, chunks: DataFrame | None = None) -> DataFrame:
+    """segments (key, segment_id, s, e, ...) with ``speaker``, by mode.
+
+    online: chunks (key, chunk_idx, s, e) and speaker_data (key, chunk_idx, speaker); a missing end is the
+    start. offline: speaker_data (key, pos, s, e, speaker label); a missing start or end is 0. A segment that
+    overlaps nothing, and a chunk without an assignment, speak as 0. Any other mode leaves segments as they are.
+    """
+    if mode == "online" and chunks is not None:
+        rows = segments.withColumn("s", F.coalesce("s", F.lit(0))).withColumn("e", F.coalesce("e", "s"))
+        order = F.row_number().over(Window.partitionBy(key).orderBy("s", "chunk_idx"))
+        ranges = chunks.select(key, order.alias("pos"), "s", "e", F.col("chunk_idx").alias("speaker"))
+        best = best_overlap(rows, ranges, key, segment_id).withColumnRenamed("speaker", "chunk_idx")
+        best = best.join(speaker_data.select(key, "chunk_idx", F.col("speaker").cast("int").alias("speaker")), [key, "chunk_idx"], "left")
+    elif mode == "offline":
+        rows = segments.withColumn("s", F.coalesce("s", F.lit(0))).withColumn("e", F.coalesce("e", F.lit(0)))
+        best = best_overlap(rows, speaker_data, key, segment_id).withColumn("speaker", speaker_number(F.col("speaker")))
+    else:
+        return segments
+    return segments.join(best.select(key, segment_id, F.coalesce("speaker", F.lit(0)).alias("speaker")), [key, segment_id])

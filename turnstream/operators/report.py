@@ -37,3 +37,31 @@ def first_of(df: DataFrame, key: str, order: str, value: str, where: Column) ->
 def first_k(df: DataFrame, key: str, order: str, k: int) -> DataFrame:
     """The first k rows of each key."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col("rank") <= k)
+
+
+def milli(value: Column) -> Column:
+    """Thousandths, rounded half up: what reports show with three places."""
+    return F.floor(value * 1000 + 0.5).cast("long")
+
+
+def with_rates(statistics: DataFrame, n_all: Column, audio: Column) -> DataFrame:
+    """Adds to order_statistics what a report shows besides: success, average, real-time factors, throughput.
+
+    Values are in the unit of ``audio`` (the length of one request's audio), which a real-time factor divides
+    by; the wall time is the longest request. All in thousandths.
+    """
+    n, wall, average = F.col("n").cast("double"), F.col("most").cast("double"), F.col("total").cast("double") / F.col("n")
+    factors = {f"rtf_{c}": milli(F.col(c).cast("double") / audio) for c in ("least", "most", "p90", "p95", "p99")}
+    rest = {"success_milli": milli(n / n_all), "avg_milli": milli(average), "rtf_avg": milli(average / audio), "per_wall": milli(n / wall), "audio_per_wall": milli(n * audio / wall)}
+    return statistics.withColumns({**factors, **rest})
+
+
+def elapsed_by(df: DataFrame, key: str, value: str) -> DataFrame:
+    """key, n, least, most, avg_milli: how long requests of each status took."""
+    return df.groupBy(key).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), milli(F.sum(value).cast("double") / F.count("*")).alias("avg_milli"))
+
+
+def speed_up(df: DataFrame, key: str, base: str, value: str, audio: Column) -> DataFrame:
+    """key, avg_milli, least, rtf_micro, speed_up_milli: a benchmark's methods (one row each) against ``base``."""
+    own = df.groupBy(key).agg(F.avg(value).alias("a"), F.min(value).alias("least"))
+    return own.withColumn("base", F.max(F.when(F.col(key) == base, F.col("a"))).over(Window.partitionBy(F.lit(0)))).select(key, milli(F.col("a")).alias("avg_milli"), "least", F.floor(F.col("a") / audio * 1_000_000 + 0.5).cast("long").alias("rtf_micro"), milli(F.col("base") / F.col("a")).alias("speed_up_milli"))

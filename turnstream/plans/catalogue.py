@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,19 +9,9 @@ from turnstream.functions import markers, normalize, scalars
 from turnstream.operators import align, cluster, features, folds, intervals, report
 from turnstream.plans import bindings as b
 from turnstream.plans.bindings import table, with_
+from turnstream.plans.registry import QUERIES, SQL, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+__all__ = ["QUERIES", "SQL", "flagship"]
 
 
 # --- frames and segmentation
@@ -264,18 +252,15 @@ def q23_strip_special_tokens(spark, d):
     return b.segments(spark, d).select("conv_id", "turn", F.md5(markers.without_special_tokens(noisy)).alias("text_md5"))
 
 
-def _re2(characters: str) -> str:
-    return normalize._class(characters).replace("'", "''")
-
-
 def _normalize_sql(text: str) -> str:
     """text_normalize for RE2, which has no look-around: digit words are dropped from the list of words."""
-    out = f"regexp_replace(lower(coalesce({text}, '')), '\\([^)]*[0-9][^)]*\\)', ' ', 'g')"
-    for old, new in normalize.MAPPING:
-        new = new.replace("$", "\\").replace("'", "''")
-        out = f"regexp_replace({out}, '{old}', '{new}', 'g')"
-    out = f"regexp_replace({out}, '{_re2(normalize.PUNCTUATION + normalize.SWALLOWED)}', ' ', 'g')"
-    out = f"regexp_replace({out}, '{normalize._class(normalize.DELETED)}', '', 'g')"
+    quoted = lambda x: x.replace("'", "''")
+    out = f"regexp_replace(lower(coalesce({text}, '')), '\\([^)]*\\p{{Nd}}[^)]*\\)', ' ', 'g')"
+    for old in normalize.WRITTEN_OUT:
+        out = f"replace({out}, '{old}', '')"
+    out = f"regexp_replace({out}, '(\\S+)[{normalize.QUOTES}](\\S+)', '\\1''\\2', 'g')"
+    old, new = normalize.characters()
+    out = f"translate({out}, '{quoted(old)}', '{new}')"
     words = f"list_filter(string_split_regex({out}, '\\s+'), lambda w: w <> '')"
     alone = f"regexp_matches({out}, '^[{normalize.DIGITS}]+$')"
     return f"case when {alone} then {out} else list_aggregate(list_filter({words}, lambda w: not regexp_full_match(w, '[{normalize.DIGITS}]+')), 'string_agg', ' ') end"
@@ -287,12 +272,12 @@ def q24_text_normalize(spark, d):
 
 
 _WORDS = "list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '')"
-_ROMAN = f"list_transform({_WORDS}, lambda w: trim(regexp_replace(regexp_replace(array_to_string(string_split(w, ''), ' '), '[^a-z'' ]', ' ', 'g'), ' +', ' ', 'g')))"
+_ROMAN = f"list_transform({_WORDS.replace('coalesce(text', 'coalesce(strip_accents(text)')}, lambda w: trim(regexp_replace(regexp_replace(array_to_string(string_split(w, ''), ' '), '[^a-z'' ]', ' ', 'g'), ' +', ' ', 'g')))"
 
 
 @query(f"select doc_id, len({_WORDS}) as n_tokens, md5(coalesce(array_to_string({_ROMAN}, '|'), '')) as tokens_md5 from documents")
 def q25_uroman_tokens(spark, d):
-    words = normalize.words_of(F.lower(F.coalesce("text", F.lit(""))))
+    words = normalize.words_of(F.lower(scalars.without_accents(F.coalesce("text", F.lit("")))))
     return table(spark, d, "documents").select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.md5(F.array_join(normalize.uroman_tokens(words), "|")).alias("tokens_md5"))
 
 
@@ -563,9 +548,11 @@ select doc_id, k as window_no, greatest(0, k * 20 - 20) as start_word, least(len
 def q55_speech_token_windows(spark, d):
     words = normalize.words_of(F.lower(F.coalesce("text", F.lit(""))))
     rows = table(spark, d, "documents").select("doc_id", words.alias("a")).filter(F.size("a") > 0)
-    rows = rows.select("doc_id", "a", F.explode(F.sequence(F.lit(0), F.floor((F.size("a") - 1) / 20).cast("int"))).alias("k"))
-    start, end = F.greatest(F.lit(0), F.col("k") * 20 - 20), F.least(F.size("a"), (F.col("k") + 1) * 20)
-    return rows.select("doc_id", F.col("k").cast("long").alias("window_no"), start.cast("long").alias("start_word"), end.cast("long").alias("end_word"), F.md5(F.array_join(F.slice("a", start + 1, end - start), " ")).alias("words_md5"))
+    # windows are cut before they become rows, so no row holds the whole array beside its window
+    start, end = (lambda k: F.greatest(F.lit(0), k * 20 - 20)), (lambda a, k: F.least(F.size(a), (k + 1) * 20))
+    window = lambda k: F.struct(k.alias("k"), start(k).alias("start"), end(F.col("a"), k).alias("end"), F.md5(F.array_join(F.slice("a", start(k) + 1, end(F.col("a"), k) - start(k)), " ")).alias("md5"))
+    rows = rows.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("a") - 1) / 20).cast("int")), window)).alias("w"))
+    return rows.select("doc_id", F.col("w.k").cast("long").alias("window_no"), F.col("w.start").cast("long").alias("start_word"), F.col("w.end").cast("long").alias("end_word"), F.col("w.md5").alias("words_md5"))
 
 
 # --- scalars
@@ -616,3 +603,6 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     one = F.struct("turn", (F.col("s") / 100).alias("start"), (F.col("e") / 100).alias("end"), F.col("t").alias("text"), "speaker")
     segments = F.array_sort(F.collect_list(one)).alias("segments")
     return rows.groupBy("conv_id").agg((F.max_by("e", "turn") / 100).alias("duration"), _joined(" ").alias("text"), segments)
+
+
+from turnstream.plans import requests, signals  # noqa: E402, F401  they register their queries

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import io
 import wave
 from collections.abc import Iterator
@@ -84,8 +85,38 @@ def frames_of(recordings: DataFrame, key: str, samples: str, size: int = 512) ->
     """key, frame_no, samples, whole: frames of ``size`` samples; the last may be shorter."""
     n = F.size(samples)
     starts = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
-    each = recordings.select(key, samples, F.explode(starts).alias("frame_no"))
-    return each.select(key, "frame_no", F.slice(samples, F.col("frame_no") * size + 1, F.lit(size)).alias("samples")).withColumn("whole", F.size("samples") == size)
+    # frames are cut before they become rows, so no row holds the whole recording beside its frame
+    cut = F.transform(starts, lambda k: F.struct(k.alias("frame_no"), F.slice(samples, k * size + 1, F.lit(size)).alias("samples")))
+    return recordings.select(key, F.explode(cut).alias("f")).select(key, "f.frame_no", "f.samples").withColumn("whole", F.size("samples") == size)
+
+
+@pandas_udf(BinaryType())
+def from_base64(payload: pd.Series) -> pd.Series:
+    """Bytes of base64 text; text that is none is null."""
+
+    def one(x: str | None) -> bytes | None:
+        try:
+            return None if x is None else base64.b64decode(x, validate=True)
+        except ValueError:
+            return None
+
+    return payload.map(one)
+
+
+@pandas_udf(BinaryType())
+def pcm_stream(samples: pd.Series) -> pd.Series:
+    """16-bit samples as a mono WAV stream at 24 kHz."""
+
+    def one(x) -> bytes | None:
+        if x is None:
+            return None
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1), w.setsampwidth(2), w.setframerate(24_000)
+            w.writeframes(np.asarray(x, dtype="<i2").tobytes())
+        return out.getvalue()
+
+    return samples.map(one)
 
 
 def event_lines(lines: DataFrame, text: str, schema: str) -> DataFrame:

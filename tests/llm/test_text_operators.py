@@ -77,6 +77,17 @@ def test_substrings(which, request):
     assert sorted(map(tuple, found)) == sorted(wanted)
 
 
+def test_substrings_of_patterned_words(spark):
+    """Two long words that polynomials modulo 2**64 cannot tell apart: texts that differ in them repeat nowhere."""
+    bits = "a"
+    for _ in range(10):
+        bits += bits.translate({97: 98, 98: 97})
+    other, around = bits.translate({97: 98, 98: 97}), [f"w{k}" for k in range(34)]
+    rows = [(k, " ".join([*around[:17], x, *around[17:]])) for k, x in enumerate((bits, other))] + [(2, "\n".join([*around, "end"])), (3, "  ".join([*around, "end"]))]
+    found = {r.doc_id: r.n_removed for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {0: 0, 1: 0, 2: 35, 3: 35}
+
+
 def test_substrings_small_alphabet(spark):
     r = random.Random(5)
     rows = [(i, " ".join(r.choice("ab") for _ in range(r.randrange(0, 30)))) for i in range(60)]

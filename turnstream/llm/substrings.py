@@ -11,13 +11,15 @@ window's start to the last window's end. A path is one row, however many windows
    around such edges the paths are opened into their windows, which are counted one by one.
 4. Repeated windows are joined back to their source coordinates and merged into spans of words.
 
-Equal rows are found by 64-bit hashes; a second independent hash of each path or window is compared as
-well, and a hash under which two contents meet is taken by both hashes together.
+Equal rows are found by 64-bit hashes and verified on their words: at its source coordinates each path and
+each opened window also gives the BLAKE2b digest of its very words (``proof``), and only rows that agree on
+both are the same passage.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -44,13 +46,28 @@ def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def _hashed(words: Words) -> tuple[Ranges, Ranges]:
-    return Ranges(words.hashes(), 0), Ranges(words.hashes(seed=1), 1)
+class Digests:
+    """Digests of ranges [i, j) of words: of the words themselves, a space between each two."""
 
+    def __init__(self, words: Words):
+        sizes = words.end - words.start
+        self.at = np.concatenate([[0], np.cumsum(sizes + 1)])
+        joined = np.full(int(self.at[-1]), 32, dtype=np.uint8)
+        for k in range(0, len(sizes), 1 << 16):  # a part at a time, as the places of bytes take eight times their room
+            n, start, at = sizes[k : k + (1 << 16)], words.start[k : k + (1 << 16)], self.at[:-1][k : k + (1 << 16)]
+            byte = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            joined[np.repeat(at, n) + byte] = words.raw[np.repeat(start, n) + byte]
+        self.joined = memoryview(joined)
 
-def _paths(words: Words, window: int, k: int) -> dict[str, np.ndarray]:
-    """The paths of all texts in a slice: text number, first window, number of windows, hashes."""
-    n, (a, b) = len(words), _hashed(words)
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        joined = self.joined
+        spans = zip(self.at[i].tolist(), (self.at[j] - 1).tolist(), strict=True)
+        return np.frombuffer(b"".join([blake2b(joined[a:b], digest_size=8).digest() for a, b in spans]), dtype=np.int64)
+
+
+def _paths(words: Words, window: int, k: int, whole_paths: bool = True) -> dict[str, np.ndarray]:
+    """The paths of all texts in a slice: text number, first window, number of windows, edge; their hash and digest."""
+    n, a = len(words), Ranges(words.hashes())
     none = np.zeros(0, np.int64)
     if n < window:
         return {x: none for x in ("text", "lo", "n", "edge", "path", "proof")}
@@ -69,7 +86,8 @@ def _paths(words: Words, window: int, k: int) -> dict[str, np.ndarray]:
     lo, hi = first, stop
     end = hi + window
     as_long = lambda x: x.view(np.int64)
-    return {"text": text[lo], "lo": lo - words.first[text[lo]], "n": hi - lo + 1, "edge": as_long(edges[least[lo]]), "path": as_long(a(lo, end)), "proof": as_long(b(lo, end))}
+    found = {"text": text[lo], "lo": lo - words.first[text[lo]], "n": hi - lo + 1, "edge": as_long(edges[least[lo]])}
+    return found | {"path": as_long(a(lo, end)), "proof": Digests(words)(lo, end)} if whole_paths else found
 
 
 _PATH_SCHEMA = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("edge", pa.int64()), ("path", pa.int64()), ("proof", pa.int64())])
@@ -99,7 +117,7 @@ def _all_edges(rows: DataFrame, window: int, k: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_paths(words, window, k)["edge"] for _, words in slices(batch, "text")]
+            found = [_paths(words, window, k, whole_paths=False)["edge"] for _, words in slices(batch, "text")]
             edge, n = np.unique(np.concatenate(found or [np.zeros(0, np.int64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(edge), pa.array(n)], schema=schema)
 
@@ -114,12 +132,12 @@ def _opened(texts: DataFrame, paths: DataFrame, window: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, words in slices(batch, "text"):
-                a, b = _hashed(words)
+                a, b = Ranges(words.hashes()), Digests(words)
                 for i, spans in enumerate(part.column("paths").to_pylist()):
                     at = np.unique(np.concatenate([np.arange(s["lo"], s["lo"] + s["n"]) for s in spans]))
                     w = at + words.first[i]
                     keys = [pa.array(np.full(len(at), part.column(c)[i].as_py(), dtype=np.int64)) for c in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([*keys, pa.array(at.astype(np.int32)), pa.array(a(w, w + window).view(np.int64)), pa.array(b(w, w + window).view(np.int64))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(at.astype(np.int32)), pa.array(a(w, w + window).view(np.int64)), pa.array(b(w, w + window))], schema=schema)
 
     joined = texts.join(wanted, ["doc_id", "copy"]).select("doc_id", "copy", "text", "paths")
     return joined.mapInArrow(scan, "doc_id long, copy long, at int, hash long, proof long")

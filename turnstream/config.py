@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The defaults.
 SAMPLE_RATE = 16_000
 FRAME_SAMPLES = 512
 MAX_CHUNK_SECONDS = 25

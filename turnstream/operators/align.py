@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnstream.config import checked
+
+MOST_FRAMES = 1_700  # of an utterance: 30 seconds and the context, at 50 frames a second
 CONVOLUTIONS = [(10, 5), (3, 2), (3, 2), (3, 2), (3, 2), (2, 2), (2, 2)]  # fixed values: kernel and stride of each layer
 
 
@@ -38,7 +41,12 @@ def best_path(scores: np.ndarray, emission: np.ndarray, tokens: np.ndarray, blan
 
 
 def _grouped(emissions: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
-    """key, frames (array of emission rows in order), tokens (array of ids in order)."""
+    """key, frames (array of emission rows in order), tokens (array of ids in order).
+
+    The query fails if an utterance has more than MOST_FRAMES frames, before any is gathered.
+    """
+    size = emissions.groupBy(key).agg(F.count("*").alias("frames_of_key"))
+    emissions = checked(emissions.join(size, key), F.col("frames_of_key") <= MOST_FRAMES, f"an utterance has more than {MOST_FRAMES} frames")
     ordered = lambda c, v: F.transform(F.array_sort(F.collect_list(F.struct(c, v))), lambda x: x[v])
     return emissions.groupBy(key).agg(ordered("t", "logp").alias("frames")).join(tokens.groupBy(key).agg(ordered("j", "token_id").alias("tokens")), key)
 

@@ -6,9 +6,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnstream.config import checked
+
 from .folds import Fold, fold
 
 EPS = 1e-8
+MOST_IN_RECORDING = 4000  # chunks of one offline clustering: a day of audio at the usual chunk length
 
 
 def _cosine(centers: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -148,9 +151,16 @@ def agglomerate(x: np.ndarray, threshold: float, least: int, most: int) -> list[
 
 
 def agglomerative_labels(embeddings: DataFrame, key: str, threshold: float = 0.25, least: int = 1, most: int = 20) -> DataFrame:
-    """key, chunk_idx, speaker: offline clustering of one recording, whose embeddings are one group."""
+    """key, chunk_idx, speaker: offline clustering of one recording, whose embeddings are one group.
+
+    Centroid linkage needs all pairs, so the query fails if a recording has more than MOST_IN_RECORDING chunks,
+    before any is gathered; online labels have no such bound.
+    """
     import pandas as pd
 
+    size = embeddings.groupBy(key).agg(F.count("*").alias("chunks_of_key"))
+    embeddings = checked(embeddings.join(size, key), F.col("chunks_of_key") <= MOST_IN_RECORDING, f"a recording has more than {MOST_IN_RECORDING} chunks")
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk_idx")
         x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["v"]])

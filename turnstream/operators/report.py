@@ -10,16 +10,22 @@ def cents(value: Column) -> Column:
     return F.floor(value * 100 + 0.5).cast("long")
 
 
-def order_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def order_statistics(df: DataFrame, keys: list[str], value: str, buckets: int = 1000) -> DataFrame:
     """keys, n, least, most, total, p50, p90, p95, p99 of an integer column.
 
     A percentile q is the int(q*n)-th smallest value if there are at least 10, 20, 100 values for 0.90,
-    0.95, 0.99, else the largest; p50 is the lower median. Values are counted first, so that what is
-    ordered for a key is its distinct values, streamed by a window.
+    0.95, 0.99, else the largest; p50 is the lower median. Equal values are counted first; the distinct ones
+    of a key are dealt into ``buckets`` of equal width between its least and most, and what is ordered in one
+    task is a bucket: the buckets' sums, at most ``buckets`` rows a key, say how many values lie before it.
     """
     counted = df.groupBy(*keys, value).agg(F.count("*").alias("times"))
+    ends = counted.groupBy(*keys).agg(F.min(value).alias("lo_of_key"), F.max(value).alias("hi_of_key"))
+    place = F.floor((F.col(value) - F.col("lo_of_key")).cast("double") * buckets / (F.col("hi_of_key") - F.col("lo_of_key") + 1))
+    dealt = counted.join(ends, keys).withColumn("bucket", place).drop("lo_of_key", "hi_of_key")
+    sums = dealt.groupBy(*keys, "bucket").agg(F.sum("times").alias("held"))
     w = Window.partitionBy(*keys)
-    run = counted.withColumn("upto", F.sum("times").over(w.orderBy(value))).withColumn("n", F.sum("times").over(w))
+    before = sums.select(*keys, "bucket", (F.sum("held").over(w.orderBy("bucket")) - F.col("held")).alias("before"), F.sum("held").over(w).alias("n"))
+    run = dealt.join(before, [*keys, "bucket"]).withColumn("upto", F.col("before") + F.sum("times").over(Window.partitionBy(*keys, "bucket").orderBy(value)))
 
     def at(q: float, least: int) -> Column:
         place = F.when(F.col("n") >= least, F.greatest(F.floor(F.lit(q) * F.col("n")), F.lit(1))).otherwise(F.col("n"))

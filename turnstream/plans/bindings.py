@@ -36,13 +36,18 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", "role", text.alias("t"), (end - dur).alias("s"), end.alias("e"))
 
 
-def turns(spark: SparkSession, d: str) -> DataFrame:
-    """conv_id, pos, s, e, speaker: shifted segments with the role as speaker; every fifth is missing."""
+def shifted(spark: SparkSession, d: str) -> DataFrame:
+    """conv_id, pos, s, e, speaker: segments shifted and stretched, with the role as speaker."""
     t = F.col("turn")
     s = F.col("s") - 60 + (t * 37) % 120
     e = F.col("e") - 60 + (t * 53) % 120 - F.when(t % 3 == 0, 300).otherwise(0)
     speaker = F.when(F.col("role") == "user", "SPEAKER_00").when(F.col("role") == "assistant", "SPEAKER_01").otherwise("SPEAKER_02")
-    return segments(spark, d).filter(t % 5 != 4).select("conv_id", t.alias("pos"), s.alias("s"), e.alias("e"), speaker.alias("speaker"))
+    return segments(spark, d).select("conv_id", t.alias("pos"), s.alias("s"), e.alias("e"), speaker.alias("speaker"))
+
+
+def turns(spark: SparkSession, d: str) -> DataFrame:
+    """The shifted segments as a diarizer's turns; every fifth is missing, so that some segments meet none."""
+    return shifted(spark, d).filter(F.col("pos") % 5 != 4)
 
 
 def chunk_embeddings(spark: SparkSession, d: str) -> DataFrame:
@@ -62,12 +67,14 @@ CTE = {
     "frames": f"frames as (select user_id as stream_id, row_number() over (partition by user_id order by ts, event_id) - 1 as frame_no, value > 30 as is_speech, {FRAME} as n_samples, value from events)",
     "seg": """seg as (select conv_id, turn, role, t, e - dur as s, e from (select *, cast(sum(dur + gap) over (partition by conv_id order by turn rows unbounded preceding) as bigint) as e
  from (select conv_id, turn, role, coalesce(replace(text, chr(10), ' '), '') as t, 100 + (length(coalesce(text, '')) * 6) % 700 as dur, (conv_id * 7 + turn * 13) % 50 as gap from conversations)))""",
-    "turns": """turns as (select conv_id, turn as pos, s - 60 + (turn * 37) % 120 as s, e - 60 + (turn * 53) % 120 - case when turn % 3 = 0 then 300 else 0 end as e,
- case role when 'user' then 'SPEAKER_00' when 'assistant' then 'SPEAKER_01' else 'SPEAKER_02' end as speaker from seg where turn % 5 <> 4)""",
+    "shifted": """shifted as (select conv_id, turn as pos, s - 60 + (turn * 37) % 120 as s, e - 60 + (turn * 53) % 120 - case when turn % 3 = 0 then 300 else 0 end as e,
+ case role when 'user' then 'SPEAKER_00' when 'assistant' then 'SPEAKER_01' else 'SPEAKER_02' end as speaker from seg)""",
+    "turns": "turns as (select * from shifted where pos % 5 <> 4)",
     "emb": f"emb as (select vec_id // {RECORDING} as rec, vec_id % {RECORDING} as chunk_idx, 4000 + (vec_id * 997) % 20000 as n_samples, embedding::double[] as v, label from embeddings)",
     "em": f"em as (select vec_id // {UTTERANCE} as utt, vec_id % {UTTERANCE} as t, embedding::double[] as e, label from embeddings)",
 }
 
 
 def with_(*names: str, recursive: bool = False) -> str:
+    names = [n for x in names for n in (["shifted", x] if x == "turns" else [x])]
     return "with " + ("recursive " if recursive else "") + ",\n".join(CTE[n] for n in names)

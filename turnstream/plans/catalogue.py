@@ -170,9 +170,9 @@ def q15_anti_skipped(spark, d):
     return rows.select("rec", "chunk_idx").join(rows.filter("n_samples >= 8000").select("rec", "chunk_idx"), ["rec", "chunk_idx"], "left_anti")
 
 
-@query(f"{with_('seg', 'turns')} select g.conv_id, g.turn, cast(greatest(g.s, t.s) < least(g.e, t.e) as int) as intersects, case when greatest(g.s, t.s) < least(g.e, t.e) then greatest(g.s, t.s) else 0 end as cut_start, case when greatest(g.s, t.s) < least(g.e, t.e) then least(g.e, t.e) else 0 end as cut_end, least(g.s, t.s) as span_start, greatest(g.e, t.e) as span_end, greatest(0, greatest(g.s, t.s) - least(g.e, t.e)) as gap, cast(g.s <= t.s and t.e <= g.e as int) as contains from seg g join turns t on t.conv_id = g.conv_id and t.pos = g.turn")
+@query(f"{with_('seg', 'shifted')} select g.conv_id, g.turn, cast(greatest(g.s, t.s) < least(g.e, t.e) as int) as intersects, case when greatest(g.s, t.s) < least(g.e, t.e) then greatest(g.s, t.s) else 0 end as cut_start, case when greatest(g.s, t.s) < least(g.e, t.e) then least(g.e, t.e) else 0 end as cut_end, least(g.s, t.s) as span_start, greatest(g.e, t.e) as span_end, greatest(0, greatest(g.s, t.s) - least(g.e, t.e)) as gap, cast(g.s <= t.s and t.e <= g.e as int) as contains from seg g join shifted t on t.conv_id = g.conv_id and t.pos = g.turn")
 def q49_interval_algebra(spark, d):
-    t = b.turns(spark, d).select("conv_id", F.col("pos").alias("turn"), F.col("s").alias("ts"), F.col("e").alias("te"))
+    t = b.shifted(spark, d).select("conv_id", F.col("pos").alias("turn"), F.col("s").alias("ts"), F.col("e").alias("te"))
     a = intervals.algebra(F.col("s"), F.col("e"), F.col("ts"), F.col("te"))
     columns = [(c.cast("int") if n in ("intersects", "contains") else c).alias(n) for n, c in a.items()]
     return b.segments(spark, d).join(t, ["conv_id", "turn"]).select("conv_id", "turn", *columns)
@@ -199,9 +199,9 @@ def q16_combine_text(spark, d):
     return b.segments(spark, d).groupBy("conv_id").agg(F.md5(_joined("")).alias("combined_md5"), F.md5(_joined(" ")).alias("spaced_md5"))
 
 
-@query("select source, min_by(lang, doc_id) filter (where lang is not null and doc_id % 3 <> 0) as language from documents group by source")
+@query("select source, min_by(lang, doc_id) filter (where lang is not null) as language from documents group by source")
 def q17_first_language(spark, d):
-    return report.first_of(table(spark, d, "documents").select("source", "doc_id", F.col("lang").alias("language")), "source", "doc_id", "language", F.col("language").isNotNull() & (F.col("doc_id") % 3 != 0))
+    return report.first_of(table(spark, d, "documents").select("source", "doc_id", F.col("lang").alias("language")), "source", "doc_id", "language", F.col("language").isNotNull())
 
 
 @query(f"{with_('seg')} select conv_id, 'unknown' as language, max_by(e, turn) as duration_cs, count(*) as n_segments, md5(string_agg(t, ' ' order by turn)) as text_md5 from seg group by conv_id")
@@ -561,10 +561,10 @@ def q55_speech_token_windows(spark, d):
 _CLOCK = "printf('%s%02d:%02d:%02d.%03d', case when m < 0 then '-' else ' ' end, cast(abs(m) // 3600000 as int), cast(abs(m) // 60000 % 60 as int), cast(abs(m) // 1000 % 60 as int), cast(abs(m) % 1000 as int))"
 
 
-@query(f"{with_('seg', 'turns')}, x as (select conv_id, pos, s * 10 as m, e - s as width from turns) select conv_id, pos, {_CLOCK} as clock, cast(floor(greatest(0.0::double, least(1.0::double, (width - 100.0::double) / 500.0::double)) * 1000 + 0.5) as bigint) as share_milli from x")
+@query(f"{with_('seg', 'shifted')}, x as (select conv_id, pos, s * 10 as m, e - s as width from shifted) select conv_id, pos, {_CLOCK} as clock, cast(floor(greatest(0.0::double, least(1.0::double, (width - 100.0::double) / 500.0::double)) * 1000 + 0.5) as bigint) as share_milli from x")
 def q57_scalar_formats(spark, d):
     share = scalars.clamped_share((F.col("e") - F.col("s")).cast("double"), 100.0, 600.0)
-    return b.turns(spark, d).select("conv_id", "pos", scalars.clock(F.col("s") * 10).alias("clock"), F.floor(share * 1000 + 0.5).cast("long").alias("share_milli"))
+    return b.shifted(spark, d).select("conv_id", "pos", scalars.clock(F.col("s") * 10).alias("clock"), F.floor(share * 1000 + 0.5).cast("long").alias("share_milli"))
 
 
 @query("""with p as (select event_type, max(abs(value)) as top from events group by event_type), x as (select event_id, cast(trunc(value / top * 32768) as bigint) + 32768 as n from events join p using (event_type))

@@ -324,12 +324,30 @@ def q29_streaming_kmeans_cosine(spark, d):
     return _labels(b.chunk_embeddings(spark, d), lambda: cluster.OnlineMeans(0.5, 5))
 
 
-@query()
+def _relabelled(act: str, pick: str) -> str:
+    """CTE walk(rec, i, centers, sizes, label) of Euclidean means whose labels are those after the change; ``pick`` gives or goes."""
+    distances = lambda c: f"list_transform({c}, lambda c: list_distance(c, v))"
+    return f"""ordered as (select rec, chunk_idx as i, v from emb), walk as (select rec, i, [v] as centers, [1] as sizes, 0 as label from ordered where i = 0
+union all select rec, i, nc, ns, cast(list_position(nd, list_min(nd)) - 1 as int) from (select *, {distances('nc')} as nd from (select rec, i, v,
+ case act when 'move' then list_transform(centers, lambda c, k: case when k = near then list_transform(c, lambda x, j: (x * sizes[near] + v[j]) / (sizes[near] + 1)) else c end) when 'add' then list_append(centers, v)
+  when 'give' then list_transform(centers, lambda c, k: case when k = pick then list_transform(c, lambda x, j: (x * sizes[pick] - v[j]) / (sizes[pick] - 1)) else c end)
+  when 'drop' then list_filter(centers, lambda c, k: k <> pick) else list_transform(centers, lambda c, k: case when k = pick then v else c end) end as nc,
+ case act when 'move' then list_transform(sizes, lambda n, k: case when k = near then n + 1 else n end) when 'add' then list_append(sizes, 1)
+  when 'give' then list_transform(sizes, lambda n, k: case when k = pick then n - 1 else n end) when 'drop' then list_filter(sizes, lambda n, k: k <> pick) else sizes end as ns
+ from (select *, case when list_min(ds) <= 6 then 'move' {act} end as act from (select *, list_position(ds, list_min(ds)) as near, {pick} as pick
+ from (select w.rec, s.i, s.v, w.centers, w.sizes, list_transform(w.centers, lambda c: list_distance(c, s.v)) as ds from walk w join ordered s on s.rec = w.rec and s.i = w.i + 1))))))"""
+
+
+_BOUNDED = _relabelled("when len(centers) < 5 then 'add' when sizes[pick] > 1 then 'give' when len(centers) > 1 then 'drop' else 'swap'", "list_position(ds, list_max(ds))")
+_UNBOUNDED = _relabelled("when sizes[pick] > 1 then 'give' else 'add'", "list_position(sizes, list_min(sizes))")
+
+
+@query(f"{with_('emb', recursive=True)}, {_BOUNDED} select rec, i as chunk_idx, label as speaker from walk")
 def q30_streaming_kmeans_euclid(spark, d):
     return _labels(b.chunk_embeddings(spark, d), lambda: cluster.OnlineMeans(6.0, 5, "euclidean", relabel=True))
 
 
-@query()
+@query(f"{with_('emb', recursive=True)}, {_UNBOUNDED} select rec, i as chunk_idx, label as speaker from walk")
 def q31_kmeans_unbounded(spark, d):
     return _labels(b.chunk_embeddings(spark, d), lambda: cluster.UnboundedMeans(6.0))
 
@@ -339,7 +357,11 @@ def q33_agglomerative(spark, d):
     return cluster.agglomerative_labels(b.chunk_embeddings(spark, d), "rec", 0.6, 1, 8)
 
 
-@query()
+@query(f"""{with_('emb', recursive=True)}, ordered as (select rec, chunk_idx as i, v from emb), walk as (select rec, i, [v] as centers, 0 as label from ordered where i = 0
+union all select rec, i, case when list_max(ss) >= 0.75 then list_transform(centers, lambda c, k: case when k = near then list_transform(c, lambda x, j: (x + v[j]) / 2) else c end) else list_append(centers, v) end,
+ cast(case when list_max(ss) >= 0.75 then near - 1 else len(centers) end as int) from (select *, list_position(ss, list_max(ss)) as near
+ from (select w.rec, s.i, s.v, w.centers, list_transform(w.centers, lambda c: (1 + list_cosine_similarity(c, s.v)) / 2) as ss from walk w join ordered s on s.rec = w.rec and s.i = w.i + 1)))
+select rec, i as chunk_idx, label as speaker from walk""")
 def q32_speaker_similarity(spark, d):
     return _labels(b.chunk_embeddings(spark, d), lambda: cluster.SimilarSpeakers(0.75))
 

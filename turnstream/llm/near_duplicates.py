@@ -328,24 +328,26 @@ def confirmed(edges: DataFrame, sizes: DataFrame, elements: Callable[[DataFrame]
     members = sizes.join(near, "node").join(meets, "node")
     size = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / GROUP_NODES), F.ceil(F.sum("n_shingles") / GROUP_SHINGLES)).cast("int").alias("blocks"))
     members = members.join(size, "component")
-    members = materialise(members.select("component", "node", "meets", "blocks", "n_shingles").join(elements(members), "node"), "members")
-    small = members.filter("blocks = 1").select("component", "node", "elements").groupBy("component").applyInPandas(lambda pdf: _within(pdf, percent), EDGE)
+    # sets are dealt by node and by block only: what is dealt by component are numbers
+    sets = materialise(elements(members), "sets")
+    members = materialise(members.select("component", "node", "meets", "blocks", "n_shingles"), "members")
+    small = members.filter("blocks = 1").select("component", "node").join(sets, "node").groupBy("component").applyInPandas(lambda pdf: _within(pdf, percent), EDGE)
     large = members.filter("blocks > 1").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # the best-connected members of each large component, against all of it, block by block
     pivots = _best(large)
-    sides = large.select("component", "block", "node", "elements", F.lit(0).alias("side"))
-    to_all = pivots.select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "elements", F.lit(1).alias("side"))
-    star = sides.join(pivots.select("component", "node"), ["component", "node"], "left_anti").unionByName(to_all)
+    sides = large.select("component", "block", "node", F.lit(0).alias("side"))
+    to_all = pivots.select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", F.lit(1).alias("side"))
+    star = sides.join(pivots.select("node"), "node", "left_anti").unionByName(to_all).join(sets, "node")
     starred = materialise(star.groupBy("component", "block").applyInPandas(lambda pdf: _across(pdf, percent), EDGE), "starred")
     # what the largest class so far left out, against all, block by block
-    tied = large.select("component", "node", "blocks", "elements").join(components(starred).withColumnRenamed("component", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    tied = large.select("component", "node", "n_shingles").join(components(starred).withColumnRenamed("component", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
     counts = tied.groupBy("component", "class").agg(F.count("*").alias("n")).groupBy("component").agg(F.max(F.struct("n", "class"))["class"].alias("main"))
     tied = tied.join(counts, "component").withColumn("stray", F.col("class") != F.col("main"))
-    apart = tied.groupBy("component").agg(*(F.greatest(F.ceil(F.count_if(c) / (GROUP_NODES // 2)), F.ceil(F.sum(F.when(c, F.length("elements")).otherwise(0)) / (4 * GROUP_SHINGLES))).cast("int").alias(n) for c, n in ((F.col("stray"), "strays"), (~F.col("stray"), "mains"))))
+    apart = tied.groupBy("component").agg(*(F.greatest(F.ceil(F.count_if(c) / (GROUP_NODES // 2)), F.ceil(2 * F.sum(F.when(c, F.col("n_shingles")).otherwise(0)) / GROUP_SHINGLES)).cast("int").alias(n) for c, n in ((F.col("stray"), "strays"), (~F.col("stray"), "mains"))))
     dealt = tied.join(apart.filter("strays > 0"), "component").withColumn("block", F.when(F.col("stray"), F.pmod(F.xxhash64("node"), F.col("strays"))).otherwise(F.col("strays") + F.pmod(F.xxhash64("node"), F.col("mains"))).cast("int"))
     others = F.when(F.col("stray"), F.sequence(F.lit(0), F.col("strays") + F.col("mains") - 1)).otherwise(F.sequence(F.lit(0), F.col("strays") - 1))
-    pairs = dealt.select("component", "node", "elements", "block", F.explode(others).alias("other")).select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "elements", F.col("block").alias("side"))
-    crossed = pairs.groupBy("component", "low", "high").applyInPandas(lambda pdf: _blocks(pdf, percent), EDGE)
+    pairs = dealt.select("component", "node", "block", F.explode(others).alias("other")).select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", F.col("block").alias("side"))
+    crossed = pairs.join(sets, "node").groupBy("component", "low", "high").applyInPandas(lambda pdf: _blocks(pdf, percent), EDGE)
     return materialise(small.unionByName(starred).unionByName(crossed), "links")
 
 
@@ -355,9 +357,9 @@ def _blocks(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 def _best(large: DataFrame) -> DataFrame:
     """PIVOTS members of each component: members are dealt into as many parts, of each the one that met most."""
-    ranked = large.select("component", "node", "meets")
-    top = ranked.groupBy("component", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("part")).agg(F.max(F.struct("meets", "node"))["node"].alias("node"))
-    return large.join(top.select("component", "node"), ["component", "node"])
+    ranked = F.struct("meets", "node")
+    top = large.groupBy("component", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("part")).agg(F.max(ranked)["node"].alias("node"), F.max("blocks").alias("blocks"))
+    return top.select("component", "node", "blocks")
 
 
 def op5_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

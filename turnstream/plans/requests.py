@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnstream import config
 from turnstream.functions import markers, normalize, prompts
 from turnstream.operators import folds, intervals, report
 from turnstream.plans import bindings as b
 from turnstream.plans.bindings import table, with_
 from turnstream.plans.registry import query
+from turnstream.sources import audio
 
 _STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 _BEST = """best as (select g.conv_id, g.turn, t.speaker, row_number() over (partition by g.conv_id, g.turn order by case when t.pos is null then null else least(g.e, t.e) - greatest(g.s, t.s) end desc nulls last, t.pos) as k
@@ -302,3 +304,22 @@ def q82_alignment_report(spark, d):
     every = Window.partitionBy(F.lit(0))  # of one row a language
     audio = F.sum("total").over(every).cast("double") / F.sum("requests").over(every)
     return by_lang.select("lang", "requests", "n_words", "wall", report.milli(F.col("wall").cast("double") / audio).alias("rtf_most"), report.milli(F.col("total").cast("double") / F.col("wall")).alias("aligned_per_wall"))
+
+
+# --- checks of requests, and lines of events
+
+
+@query("""select vec_id, cast(vec_id % 12 / 10.0::double > 0 and vec_id % 12 / 10.0::double < 1 and vec_id % 103 > 1 and vec_id % 103 < 100 and vec_id % 5 >= 1 and vec_id % 7 >= 1 and vec_id % 11 / 10.0::double > 0 and vec_id % 11 / 10.0::double < 1 as int) as valid from embeddings""")
+def q99_valid_parameters(spark, d):
+    """Similarity, speakers, silence, trigger and rejection ratio of a request within their ranges."""
+    i = F.col("vec_id")
+    return table(spark, d, "embeddings").select("vec_id", config.valid_parameters(i % 12 / 10, i % 103, i % 5, i % 7, i % 11 / 10).cast("int").alias("valid"))
+
+
+@query("select event_id, event_type as type, cast(floor(value * 100 + 0.5) as bigint) as cents from events where event_id % 4 <> 0")
+def q100_event_lines(spark, d):
+    """Lines of an event stream: data lines are read back, the closing line, comments and others are not."""
+    body = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"), F.col("value")))
+    line = F.when(F.col("event_id") % 8 == 0, "data: [DONE]").when(F.col("event_id") % 4 == 0, F.concat(F.lit(": "), body)).otherwise(F.concat(F.lit("data: "), body))
+    lines = audio.event_lines(table(spark, d, "events").select(line.alias("line")), "line", "id long, type string, value double")
+    return lines.select(F.col("event.id").alias("event_id"), F.col("event.type").alias("type"), report.cents(F.col("event.value")).alias("cents"))

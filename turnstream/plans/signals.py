@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnstream.functions import normalize
+from turnstream.functions import normalize, scalars
 from turnstream.operators import align, cluster, features, intervals
 from turnstream.plans import bindings as b
 from turnstream.plans.bindings import table, with_
@@ -150,3 +150,23 @@ def q96_chunks_with_results(spark, d):
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col(c).alias("x")))), lambda r: r["x"])
     rows = b.segments(spark, d).groupBy("conv_id").agg(ordered("t").alias("results"), ordered("s").alias("chunks"))
     return rows.select("conv_id", F.posexplode(align.zipped(F.col("results"), F.col("chunks"))).alias("place", "p")).select("conv_id", "place", F.md5("p.a").alias("text_md5"), F.col("p.b").alias("start_cs"))
+
+
+@query(f"""{with_('em')}, x as (select utt, t, list_transform(e, lambda x: x - list_max(e) - ln(list_sum(list_transform(e, lambda y: exp(y - list_max(e)))))) as l from em)
+ select utt, cast(t as int) as t, len(l) + 1 as width, cast(floor(l[1] * 1000 + 0.5) as bigint) as first_milli, cast(floor(list_min(l) * 1000 + 0.5) as bigint) as least_milli from x""")
+def q97_log_softmax_star(spark, d):
+    rows, _ = b.emissions(spark, d)
+    soft = rows.select("utt", "t", align.log_softmax_star(F.col("logp")).alias("l"))
+    return soft.select("utt", "t", F.size("l").cast("long").alias("width"), _milli(F.get("l", F.lit(0))).alias("first_milli"), _milli(F.array_min("l")).alias("least_milli"))
+
+
+@query(f"""{with_('em')}, u as (select utt, list(e[1] / 2 order by t) as a from em group by utt),
+ w as (select utt, list_transform(a, lambda x, i: cast(trunc(greatest(-1.0::double, least(1.0::double, x)) * case when len(a) > 5 and i > len(a) - 5 then (len(a) - i) / 4.0::double else 1 end * 32767) as int)) as s, a from u)
+ select utt, list_sum(s)::bigint as total, s[len(s)] as last, cast(floor(list_sum(list_transform(a, lambda x: pow(10.0::double, least(x, 5.0::double)))) * 1000 + 0.5) as bigint) as power_milli from w""")
+def q98_wire_samples(spark, d):
+    """Samples clipped, faded out over the last five and written as 16 bits; and powers of ten of logarithms."""
+    u = _signals(spark, d).select("utt", F.transform("samples", lambda x: x / 2).alias("a"))
+    s = scalars.faded_int16(F.col("a"), 5)
+    add = lambda a, zero: F.aggregate(a, zero, lambda t, x: t + x)
+    powers = F.transform("a", lambda x: scalars.from_log(x))
+    return u.withColumn("s", s).select("utt", add(F.col("s"), F.lit(0).cast("int")).cast("long").alias("total"), F.element_at("s", -1).alias("last"), _milli(add(powers, F.lit(0.0))).alias("power_milli"))

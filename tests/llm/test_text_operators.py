@@ -88,6 +88,17 @@ def test_substrings_of_patterned_words(spark):
     assert found == {0: 0, 1: 0, 2: 35, 3: 35}
 
 
+def test_long_passages_compact(spark):
+    """Copies of 2,000 words are one row each; a third text that turns off within them makes branches, not losses."""
+    words = [f"w{k}" for k in range(2000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words))]
+    found = substrings.repeated_windows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.lo, r.n) for r in found) == [(1, 0, 1966), (2, 0, 1966)]
+    rows += [(3, " ".join(["x", *words[300:900], "y", *words[1500:1600], *words[:40]]))]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("n_words", "n_removed", F.sha2("kept_text", 256)).collect()
+    assert sorted(map(tuple, got)) == sorted(repeats([t for _, t in rows], 35))
+
+
 def test_substrings_small_alphabet(spark):
     r = random.Random(5)
     rows = [(i, " ".join(r.choice("ab") for _ in range(r.randrange(0, 30)))) for i in range(60)]

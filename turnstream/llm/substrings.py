@@ -1,15 +1,18 @@
 """Long repeated passages: a De Bruijn graph of token k-mers, compacted, with source coordinates.
 
-Edges are token k-mers. Of the k-mers in each window of ``window`` words the one with the smallest hash is
-the window's edge (the leftmost of equal ones), so equal windows, wherever they are, have the same edge
-at the same place. Consecutive windows with one edge form a path around it: the words from the first
-window's start to the last window's end. A path is one row, however many windows it holds.
+The graph is sampled. Of the k-mers in each window of ``window`` words the one with the smallest hash is the
+window's edge (the leftmost of equal ones), so equal windows, wherever they are, have the same edge at the
+same place. Consecutive windows with one edge form its path: the words from the first window's start to the
+last window's end. A path is one row, however many windows it holds, and knows the edge that follows.
 
 1. Edges that occur once cannot lie in a repeated window and go.
-2. A path that occurs again as a whole repeats in all its windows: it is nonbranching, and stays compact.
-3. An edge with several different paths branches there. Only the paths that occur once need a look:
-   around such edges the paths are opened into their windows, which are counted one by one.
-4. Repeated windows are joined back to their source coordinates and merged into spans of words.
+2. Paths are counted. An edge that has the same path wherever it occurs, is followed by the same edge
+   wherever it occurs, and occurs as often as that one, has one way in and one way out: the two are
+   contracted. Joins double the reach of each contracted path until all chains are whole (``compacted``),
+   and only their first edges are looked up again: a long passage is one row a copy.
+3. An edge with several different paths branches. Paths that occur again repeat in all their windows; around
+   edges that have a path seen once, paths are opened into their windows, which are counted one by one.
+4. Repeated paths and windows are joined back to their source coordinates and merged into spans of words.
 
 Equal rows are found by 64-bit hashes and verified on their words: at its source coordinates each path and
 each opened window also gives the BLAKE2b digest of its very words (``proof``), and only rows that agree on
@@ -70,7 +73,7 @@ def _paths(words: Words, window: int, k: int, whole_paths: bool = True) -> dict[
     n, a = len(words), Ranges(words.hashes())
     none = np.zeros(0, np.int64)
     if n < window:
-        return {x: none for x in ("text", "lo", "n", "edge", "path", "proof")}
+        return {x: none for x in ("text", "lo", "n", "edge", "path", "proof", "next")} | {"followed": none.astype(bool)}
     starts = np.arange(n - window + 1)
     ends = words.ends_of_text()[: len(starts)]
     kmers = np.arange(n - k + 1)
@@ -87,10 +90,14 @@ def _paths(words: Words, window: int, k: int, whole_paths: bool = True) -> dict[
     end = hi + window
     as_long = lambda x: x.view(np.int64)
     found = {"text": text[lo], "lo": lo - words.first[text[lo]], "n": hi - lo + 1, "edge": as_long(edges[least[lo]])}
-    return found | {"path": as_long(a(lo, end)), "proof": Digests(words)(lo, end)} if whole_paths else found
+    if not whole_paths:
+        return found
+    followed = np.zeros(len(lo), dtype=bool)
+    followed[:-1] = (lo[1:] == hi[:-1] + 1) & (text[lo[1:]] == text[lo[:-1]])
+    return found | {"path": as_long(a(lo, end)), "proof": Digests(words)(lo, end), "followed": followed, "next": np.roll(found["edge"], -1)}
 
 
-_PATH_SCHEMA = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("edge", pa.int64()), ("path", pa.int64()), ("proof", pa.int64())])
+_PATH_SCHEMA = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("edge", pa.int64()), ("path", pa.int64()), ("proof", pa.int64()), ("next", pa.int64())])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -105,10 +112,10 @@ def _all_paths(rows: DataFrame, window: int, k: int) -> DataFrame:
             for part, words in slices(batch, "text"):
                 p = _paths(words, window, k)
                 keys = [part.column(c).take(pa.array(p["text"])) for c in (0, 1)]
-                rest = [pa.array(p[c].astype(np.int32)) for c in ("lo", "n")] + [pa.array(p[c]) for c in ("edge", "path", "proof")]
+                rest = [pa.array(p[c].astype(np.int32)) for c in ("lo", "n")] + [pa.array(p[c]) for c in ("edge", "path", "proof")] + [pa.array(p["next"], mask=~p["followed"])]
                 yield pa.RecordBatch.from_arrays(keys + rest, schema=_PATH_SCHEMA)
 
-    return rows.mapInArrow(scan, "doc_id long, copy long, lo int, n int, edge long, path long, proof long")
+    return rows.mapInArrow(scan, "doc_id long, copy long, lo int, n int, edge long, path long, proof long, next long")
 
 
 def _all_edges(rows: DataFrame, window: int, k: int) -> DataFrame:
@@ -152,17 +159,38 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = _keyed(docs, id_col, text_col)
     repeated = _all_edges(rows, window, k).groupBy("edge").agg(F.sum("n").alias("times")).filter("times > 1").select("edge")
     paths = materialise(_all_paths(rows, window, k).join(repeated, "edge"), "paths")
-    alike = paths.groupBy("edge", "path", "proof").agg(F.count("*").alias("times"))
-    alike = materialise(alike, "alike")
-    # an edge with another path, and with a path that was seen once, branches
-    branching = alike.groupBy("edge").agg(F.count("*").alias("paths"), F.min("times").alias("least")).filter("paths > 1 and least = 1").select("edge")
-    compact = paths.join(alike.filter("times > 1"), ["edge", "path", "proof"]).select("doc_id", "copy", "lo", "n")
+    follow = (F.count("*").alias("times"), F.min("n").alias("n"), F.min("next").alias("next"), F.max("next").alias("other"), F.count("next").alias("followed"))
+    alike = materialise(paths.groupBy("edge", "path", "proof").agg(*follow), "alike")
+    degree = alike.groupBy("edge").agg(F.count("*").alias("paths"), F.min("times").alias("least"))
+    branching = degree.filter("paths > 1 and least = 1").select("edge")
+    straight = alike.join(degree.filter("paths = 1 and least > 1").select("edge"), "edge").withColumn("next", F.when((F.col("next") == F.col("other")) & (F.col("followed") == F.col("times")), F.col("next")))
+    several = alike.join(degree.filter("paths > 1").select("edge"), "edge").filter("times > 1").select("edge", "path", "proof", "n")
+    spans = compacted(straight).unionByName(several)
+    compact = paths.select("doc_id", "copy", "lo", "edge", "path", "proof").join(spans, ["edge", "path", "proof"]).select("doc_id", "copy", "lo", "n")
     windows = materialise(_opened(rows, paths.join(branching, "edge"), window), "windows")
     again = windows.groupBy("hash", "proof").agg(F.count("*").alias("times")).filter("times > 1").select("hash", "proof")
     open_ = windows.join(again, ["hash", "proof"]).select("doc_id", "copy", F.col("at").alias("lo"), F.lit(1).alias("n"))
     return materialise(compact.unionByName(open_), "repeated")
 
 
+def compacted(straight: DataFrame) -> DataFrame:
+    """First edges of the contracted chains: edge, path, proof, n (windows of the whole chain).
+
+    straight: edge, path, proof, n, times, next (null where no single edge follows), one row an edge. An edge
+    and its next one are contracted if they occur equally often: then all occurrences of either are next to
+    one of the other. Each round doubles how far a row reaches; chains have an end, as texts have.
+    """
+    edges = materialise(straight.select("edge", "path", "proof", "n", "times", "next"), "straight")
+    links = edges.select("edge", "next", "times").join(edges.select(F.col("edge").alias("next"), "times"), ["next", "times"]).select("edge", "next")
+    links = materialise(links, "links")
+    at = materialise(edges.select("edge", "n").join(links, "edge", "left"), "chains")
+    while not at.filter("next is not null").isEmpty():
+        step = at.select(F.col("edge").alias("next"), F.col("n").alias("more"), F.col("next").alias("further"))
+        at = materialise(at.join(step, "next", "left").select("edge", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.col("further").alias("next")), "chains", instead_of=at)
+    first = edges.join(links.select(F.col("next").alias("edge")), "edge", "left_anti").select("edge", "path", "proof")
+    return first.join(at.select("edge", "n"), "edge").select("edge", "path", "proof", "n")
+
+
 def spans_of_words(docs: DataFrame, ranges: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's text with its repeated ranges: doc_id, text, spans (array of (lo, n), null if none)."""
     by_text = ranges.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("lo", "n")).alias("spans"))

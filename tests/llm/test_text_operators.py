@@ -772,7 +772,7 @@ def near_classes_brute(rows: list[tuple], percent: int) -> list[tuple]:
     return sorted((str(i), len(sets[k]), str(smallest[root(k)])) for k, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize(("which", "percent"), [("docs", 80), ("docs", 60), ("hard", 80), ("empty", 80), ("copies", 80)])
+@pytest.mark.parametrize(("which", "percent"), [("docs", 80), ("hard", 80), ("empty", 80), ("copies", 80)])
 def test_near_classes_match_brute_force(spark, request, monkeypatch, which, percent):
     if which == "copies":  # a group larger than a block
         monkeypatch.setattr(nd, "GROUP_NODES", 10)

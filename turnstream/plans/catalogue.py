@@ -10,6 +10,7 @@ from turnstream.operators import align, cluster, features, folds, intervals, rep
 from turnstream.plans import bindings as b
 from turnstream.plans.bindings import table, with_
 from turnstream.plans.registry import QUERIES, SQL, query
+from turnstream.sources import audio
 
 __all__ = ["QUERIES", "SQL", "flagship"]
 
@@ -532,6 +533,27 @@ def q48_first_available_host(spark, d):
     return report.first_of(rows, "s_nationkey", "s_suppkey", "host", F.col("s_acctbal") > 0)
 
 
+@query(f"""{with_('frames', recursive=True)}, ema as (select stream_id, frame_no, value as x, value from frames where frame_no = 0 union all
+ select f.stream_id, f.frame_no, e.x + 0.5::double * (f.value - e.x), f.value from ema e join frames f on f.stream_id = e.stream_id and f.frame_no = e.frame_no + 1)
+select stream_id, frame_no, case when value < 30 and x < 32 then 'silent' else 'active' end as token from ema""")
+def q101_live_tokens(spark, d):
+    """A frame is silent only if both its score and the smoothed volume are low."""
+    frames = b.frames(spark, d)
+    values = frames.select("stream_id", F.col("frame_no").alias("item"), "value")
+    smooth = folds.fold(values, ["stream_id"], ["item"], ["value"], lambda: folds.Smoothing(0.5), "frame_no long, x double")
+    quiet = (F.col("value") < 30) & (F.col("x") < 32)
+    return frames.join(smooth, ["stream_id", "frame_no"]).select("stream_id", "frame_no", F.when(quiet, "silent").otherwise("active").alias("token"))
+
+
+@query(f"""{_walk()} select stream_id, chunk_idx, md5(cast(case when silence_ratio > {b.REJECT} then json_object('type', 'silent') else json_object('type', 'transcription', 'start_sample', start_frame * {b.FRAME}, 'end_sample', end_frame * {b.FRAME}) end as varchar)) as message_md5 from chunks""")
+def q102_json_messages(spark, d):
+    """Messages as they leave: JSON objects without the members that are missing."""
+    spoken = F.col("silence_ratio") <= b.REJECT
+    members = [F.when(spoken, "transcription").otherwise("silent").alias("type"), *(F.when(spoken, F.col(f"{c}_frame") * b.FRAME).alias(f"{c}_sample") for c in ("start", "end"))]
+    chunks = _chunks(spark, d)
+    return audio.messages_json(chunks.select("stream_id", "chunk_idx", *members), ["type", "start_sample", "end_sample"], keep=["stream_id", "chunk_idx"]).select("stream_id", "chunk_idx", F.md5("value").alias("message_md5"))
+
+
 _DAY = 86_400_000_000
 
 

@@ -125,6 +125,6 @@ def event_lines(lines: DataFrame, text: str, schema: str) -> DataFrame:
     return lines.filter(F.col(text).startswith("data:")).withColumn("rest", rest).filter("rest <> '[DONE]'").withColumn("event", F.from_json("rest", schema)).drop("rest")
 
 
-def messages_json(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One JSON object a row in ``value``; null members are left out."""
-    return df.select(F.to_json(F.struct(*columns)).alias("value"))
+def messages_json(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
+    """One JSON object of the columns a row in ``value``; null members are left out. Kept columns stay beside it."""
+    return df.select(*(keep or []), F.to_json(F.struct(*columns)).alias("value"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op6_decontamination
 from .near_duplicates import op5_minhash_near_dedup
 from .personal import op8_personal_data
+from .previous_factors import op11_suffix_array_dedup
 from .quality import op7_quality_classifier
 from .secrets import op10_secret_scan
 from .segmentation import op3_sentencepiece
@@ -26,6 +27,7 @@ QUERIES = {
         op8_personal_data,
         op9_spot_fingerprints,
         op10_secret_scan,
+        op11_suffix_array_dedup,
         near_spot_classes,
     )
 }

@@ -4,9 +4,9 @@ A string of ``length`` bytes that also starts in a document with a smaller id is
 by one, which would be fifty times the input. Of the grams of ``gram`` bytes in each string the one with the smallest
 hash is its anchor, so equal strings have equal anchors; consecutive strings with one anchor are a segment.
 
-1. ``shared_anchors``: anchors that lie in two documents at least. A slice of texts sends one row for each anchor that it
-   holds in one document; what it holds in several is known to be shared, and is sent on by document. So a run of equal
-   anchors has at most a row for each slice, however hot the anchor is.
+1. ``shared_anchors``: anchors that lie in two documents at least. Slices of texts send them packed, by ranges of keys; what
+   several documents of a slice hold is known to be shared, is sent once as a mark, and passes by. So an anchor comes
+   at most once from a slice, or once for each place in one document, however hot it is.
 2. ``segments``: the bytes of shared anchors' segments, equal ones of a slice once, with their first document.
 3. ``factored``: all segments of an anchor meet in one task, which sorts their suffixes, takes the longest common prefix of
    neighbours, and from the previous and next suffixes of smaller documents the longest previous factor of each suffix.
@@ -31,6 +31,7 @@ from .words import joined, mix, string_bytes
 LENGTH = 50
 GRAM = 20
 SLICE = 1_000_000  # bytes whose anchors are found together
+BUCKET = 16_000_000  # bytes of text whose anchors are compared together
 MOST_OF_ANCHOR = 20_000  # segments of an anchor in one task
 ROWS_AT_ONCE = 20_000  # segments sorted together, if they have different anchors
 
@@ -98,39 +99,52 @@ def byte_slices(batch: pa.RecordBatch, text: str, most: int = SLICE) -> Iterator
         i = j
 
 
-ONE, SEVERAL, KNOWN = 0, 1, 2
-_DEALT = pa.schema([("deal", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64())])
+_DEALT = pa.schema([("bucket", pa.int64()), ("known", pa.bool_()), ("keys", pa.binary()), ("docs", pa.binary()), ("places", pa.binary())])
+_DEALT_DDL = "bucket long, known boolean, keys binary, docs binary, places binary"
 
 
-def _dealt(batches: Iterator[pa.RecordBatch], length: int, gram: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """Anchors of each slice: ONE document's, a mark that SEVERAL hold one, and the places of those that are KNOWN to be shared."""
-    for batch in batches:
-        for part, raw, offsets in byte_slices(batch, "text", 4 * SLICE):
-            found = []
-            for a, b in _halves(offsets):  # arrays by byte stay small
-                text, lo, n, key = anchors(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, gram)
-                found.append((text + a, (lo << bits) | (n - 1), key))
-            text, at, key = (np.concatenate(x) for x in zip(*found, strict=True))
-            doc = part.column(0).to_numpy(zero_copy_only=False)[text]
-            order = np.lexsort((doc, key))
-            at, key, doc = at[order], key[order], doc[order]
-            begin = np.flatnonzero(np.diff(key, prepend=key[:1] - 1) != 0) if len(key) else np.zeros(0, np.int64)
-            end = np.append(begin[1:], len(key))
-            several = doc[begin] != doc[end - 1]
-            shared = np.repeat(several, end - begin)
-            one, marks = ~shared, key[begin[several]]
-            spread = mix(key.view(np.uint64) ^ mix(doc.view(np.uint64))).view(np.int64)
-            zero = np.zeros(len(marks), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([key[one], marks, spread[shared]])),
-                    pa.array(np.repeat(np.array([ONE, SEVERAL, KNOWN], np.int32), [one.sum(), len(marks), shared.sum()])),
-                    pa.array(np.concatenate([np.zeros(one.sum(), np.int64), zero, key[shared]])),
-                    pa.array(np.concatenate([doc[one], zero, doc[shared]])),
-                    pa.array(np.concatenate([at[one], zero, at[shared]])),
-                ],
-                schema=_DEALT,
-            )
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers with their first bytes together, then their second ones, and so on: what they share is compressed well."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of keys, taken as unsigned."""
+    return (((key.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], length: int, gram: int, bits: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Anchors of each slice, packed by bucket, each at most once unless one document holds it more often.
+
+    What several documents of the slice hold is known to be shared: a place of -1 tells its bucket, and the places
+    themselves go to any bucket.
+    """
+    for number, (part, raw, offsets) in enumerate(x for batch in batches for x in byte_slices(batch, "text", 4 * SLICE)):
+        found = []
+        for a, b in _halves(offsets):  # arrays by byte stay small
+            text, lo, n, key = anchors(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, gram)
+            found.append((text + a, (lo << bits) | (n - 1), key))
+        text, at, key = (np.concatenate(x) for x in zip(*found, strict=True))
+        doc = part.column(0).to_numpy(zero_copy_only=False)[text]
+        order = np.lexsort((doc, key.view(np.uint64)))
+        at, key, doc = at[order], key[order], doc[order]
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        end = np.append(begin[1:], len(key))
+        several = doc[begin] != doc[end - 1] if len(key) else np.zeros(0, bool)
+        shared = np.repeat(several, end - begin)
+        sent = ~shared
+        sent[begin[several]] = True  # one of them as the mark
+        keys, docs, places = key[sent], doc[sent], np.where(shared, -1, at)[sent]
+        of = _bucket(keys, buckets)
+        cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+        rows = [(int(of[a]), False, *(_packed(x[a:b]) for x in (keys, docs, places))) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(of)], strict=True)]
+        if shared.any():
+            rows.append((int(mix(np.array([number, len(raw), int(key[0])], dtype=np.int64).view(np.uint64)).sum() % np.uint64(buckets)), True, *(_packed(x[shared]) for x in (key, doc, at))))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, _DEALT, strict=True)], schema=_DEALT)
 
 
 def _halves(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -145,30 +159,30 @@ def _halves(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 _SHARED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("at", pa.int64())])
 
 
+def _shared_of(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """A bucket's anchors that two documents hold, or that are marked."""
+    order = np.argsort(key, kind="stable")
+    key, doc, at = key[order], doc[order], at[order]
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    shared = (np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin)) | (np.minimum.reduceat(at, begin) < 0)
+    take = np.repeat(shared, np.diff(np.append(begin, len(key)))) & (at >= 0)
+    return pa.RecordBatch.from_arrays([pa.array(doc[take]), pa.array(key[take]), pa.array(at[take])], schema=_SHARED)
+
+
 def _of_several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of ``deal``: the known ones, and those of runs that two documents are in, or a mark."""
-    left = None
-    for batch in _and_none(batches):
-        if batch is not None:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            cols = cols if left is None else [np.concatenate(x) for x in zip(left, cols, strict=True)]
-            deal = cols[0]
-            cut = int(np.searchsorted(deal, deal[-1])) if len(deal) else 0  # the last run may go on
-            left, cols = [c[cut:] for c in cols], [c[:cut] for c in cols]
-        elif left is not None:
-            cols, left = left, None
-        else:
-            return
-        deal, kind, key, doc, at = cols
-        if not len(deal):
+    """Rows in order of bucket: a bucket at a time."""
+    now, held = None, []
+    for row in _and_none(r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+        if row is not None and row[1]:
+            key, doc, at = (_unpacked(x) for x in row[2:])
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(at)], schema=_SHARED)
             continue
-        begin = np.flatnonzero(np.append(True, deal[1:] != deal[:-1]))
-        many = np.append(begin[1:], len(deal)) - begin
-        real = np.where(kind == SEVERAL, -1, 0)  # a mark makes the run shared
-        low, high = np.minimum.reduceat(np.where(kind == ONE, doc, np.iinfo(np.int64).max), begin), np.maximum.reduceat(np.where(kind == ONE, doc, np.iinfo(np.int64).min), begin)
-        shared = np.repeat((low < high) | (np.minimum.reduceat(real, begin) < 0), many)
-        take = (kind == KNOWN) | ((kind == ONE) & shared)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[take]), pa.array(np.where(kind == KNOWN, key, deal)[take]), pa.array(at[take])], schema=_SHARED)
+        if held and (row is None or row[0] != now):
+            yield _shared_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held = []
+        if row is not None:
+            now = row[0]
+            held.append(tuple(_unpacked(x) for x in row[2:]))
 
 
 def _and_none(items: Iterator) -> Iterator:
@@ -179,8 +193,10 @@ def _and_none(items: Iterator) -> Iterator:
 def shared_anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """doc_id, key, at: anchors that also lie in another document; ``at`` is first string * 2**bits + strings - 1."""
     bits = (length - gram).bit_length()
-    dealt = rows.select("doc_id", "text").mapInArrow(lambda b: _dealt(b, length, gram, bits), "deal long, kind int, key long, doc_id long, at long")
-    return dealt.repartition("deal").sortWithinPartitions("deal").mapInArrow(_of_several, "doc_id long, key long, at long")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 16 + size // BUCKET  # what a task holds at once stays the same
+    dealt = rows.select("doc_id", "text").mapInArrow(lambda b: _dealt(b, length, gram, bits, buckets), _DEALT_DDL)
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_of_several, "doc_id long, key long, at long")
 
 
 # --- segments
@@ -374,7 +390,9 @@ def remove_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("gram must be 8 at least, and length - gram 0 to 62")
     bits = (length - gram).bit_length()
     rows = _keyed(docs, id_col, text_col)
-    found = materialise(segments(rows, shared_anchors(rows, length, gram), length, gram), "segments")
+    shared = materialise(shared_anchors(rows, length, gram), "anchors")
+    found = materialise(segments(rows, shared, length, gram), "segments")
+    remove(shared)
     verdicts = factored(found, length, most)
     held = found.select("key", "digest", "doc_id", "copy", "at").join(verdicts, ["key", "digest"])
     gone = F.when(F.col("doc_id") > F.col("first"), F.lit((1 << (length - gram + 1)) - 1)).otherwise(F.col("gone"))

@@ -21,6 +21,7 @@ from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ LENGTH = 50
 GRAM = 20
 SLICE = 1_000_000  # bytes whose anchors are found together
 BUCKET = 16_000_000  # bytes of text whose anchors are compared together
+KNOWN_AT_ONCE = 100_000  # shared anchors in a row
 MOST_OF_ANCHOR = 20_000  # segments of an anchor in one task
 ROWS_AT_ONCE = 20_000  # segments sorted together, if they have different anchors
 
@@ -99,17 +101,18 @@ def byte_slices(batch: pa.RecordBatch, text: str, most: int = SLICE) -> Iterator
         i = j
 
 
-_DEALT = pa.schema([("bucket", pa.int64()), ("known", pa.bool_()), ("keys", pa.binary()), ("docs", pa.binary()), ("places", pa.binary())])
-_DEALT_DDL = "bucket long, known boolean, keys binary, docs binary, places binary"
+_DEALT = pa.schema([("bucket", pa.int64()), ("known", pa.bool_()), ("packed", pa.binary())])
+_DEALT_DDL = "bucket long, known boolean, packed binary"
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Numbers with their first bytes together, then their second ones, and so on: what they share is compressed well."""
-    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of numbers, compressed: their first bytes together, then their second ones, and so on."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.stack(columns).astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
-def _unpacked(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
+def _unpacked(x: bytes, columns: int = 3) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").reshape(columns, -1)
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -141,10 +144,12 @@ def _dealt(batches: Iterator[pa.RecordBatch], length: int, gram: int, bits: int,
         keys, docs, places = key[sent], doc[sent], np.where(shared, -1, at)[sent]
         of = _bucket(keys, buckets)
         cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
-        rows = [(int(of[a]), False, *(_packed(x[a:b]) for x in (keys, docs, places))) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(of)], strict=True)]
-        if shared.any():
-            rows.append((int(mix(np.array([number, len(raw), int(key[0])], dtype=np.int64).view(np.uint64)).sum() % np.uint64(buckets)), True, *(_packed(x[shared]) for x in (key, doc, at))))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, _DEALT, strict=True)], schema=_DEALT)
+        rows = [(int(of[a]), False, _packed(keys[a:b], docs[a:b], places[a:b])) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(of)], strict=True)]
+        key, doc, at = key[shared], doc[shared], at[shared]
+        for a in range(0, len(key), KNOWN_AT_ONCE):
+            of = mix(np.array([number, len(raw), int(key[a])], dtype=np.int64).view(np.uint64)).sum() % np.uint64(buckets)
+            rows.append((int(of), True, _packed(*(x[a : a + KNOWN_AT_ONCE] for x in (key, doc, at)))))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 3, _DEALT, strict=True)], schema=_DEALT)
 
 
 def _halves(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -172,17 +177,18 @@ def _shared_of(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBat
 def _of_several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of bucket: a bucket at a time."""
     now, held = None, []
-    for row in _and_none(r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
-        if row is not None and row[1]:
-            key, doc, at = (_unpacked(x) for x in row[2:])
+    for row in _and_none(r for batch in batches for r in zip(*batch.columns, strict=True)):
+        bucket, known, packed = (None, False, None) if row is None else (x.as_py() for x in row)
+        if known:
+            key, doc, at = _unpacked(packed)
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(at)], schema=_SHARED)
             continue
-        if held and (row is None or row[0] != now):
-            yield _shared_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        if held and bucket != now:
+            yield _shared_of(*np.concatenate(held, axis=1))
             held = []
         if row is not None:
-            now = row[0]
-            held.append(tuple(_unpacked(x) for x in row[2:]))
+            now = bucket
+            held.append(_unpacked(packed))
 
 
 def _and_none(items: Iterator) -> Iterator:
@@ -336,14 +342,17 @@ def factored(found: DataFrame, length: int, most: int = MOST_OF_ANCHOR) -> DataF
     counted by itself, with the smallest document that holds it.
     """
     bearers = found.filter("part is not null").select("key", "digest", "first", "part")
-    hot = bearers.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key")
+    hot = materialise(bearers.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key"), "hot")
     schema = "key long, digest long, first long, gone long"
-    few = bearers.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "digest", "first").mapInArrow(lambda b: _factors(b, length), schema)
+    factors = lambda df: df.repartition("key").sortWithinPartitions("key", "digest", "first").mapInArrow(lambda b: _factors(b, length), schema)
+    if hot.isEmpty():
+        return factors(bearers)
     strings = bearers.join(hot, "key").select("key", "digest", "first", "part").mapInArrow(lambda b: _strings(b, length), "key long, digest long, first long, place int, string binary")
     earliest = strings.groupBy("string").agg(F.min("first").alias("earliest"))
     own = strings.groupBy("key", "digest", "place", "string").agg(F.min("first").alias("first"))
     bit = F.when(F.col("earliest") < F.col("first"), F.expr("shiftleft(1L, place)")).otherwise(F.lit(0).cast("long"))
-    return few.unionByName(own.join(earliest, "string").groupBy("key", "digest").agg(F.min("first").alias("first"), F.bit_or(bit).alias("gone")))
+    counted = own.join(earliest, "string").groupBy("key", "digest").agg(F.min("first").alias("first"), F.bit_or(bit).alias("gone"))
+    return factors(bearers.join(hot, "key", "left_anti")).unionByName(counted)
 
 
 # --- the operator
@@ -391,7 +400,7 @@ def remove_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bits = (length - gram).bit_length()
     rows = _keyed(docs, id_col, text_col)
     shared = materialise(shared_anchors(rows, length, gram), "anchors")
-    found = materialise(segments(rows, shared, length, gram), "segments")
+    found = materialise(segments(rows, shared, length, gram), "segments", codec="zstd")
     remove(shared)
     verdicts = factored(found, length, most)
     held = found.select("key", "digest", "doc_id", "copy", "at").join(verdicts, ["key", "digest"])

@@ -26,14 +26,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/turnstream/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, instead_of: DataFrame | None = None, codec: str | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it back; then removes the one that it replaces.
 
     Later reads depend on the files alone, so a lost executor costs no recomputation of what led to
     them, and the optimizer knows the table's real size when it picks a join.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     if instead_of is not None:

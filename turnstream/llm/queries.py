@@ -7,11 +7,13 @@ from .near_duplicates import op5_minhash_near_dedup
 from .personal import op8_personal_data
 from .previous_factors import op11_suffix_array_dedup
 from .quality import op7_quality_classifier
+from .ranked_search import op13_ranked_search
 from .secrets import op10_secret_scan
 from .segmentation import op3_sentencepiece
 from .spots import near_spot_classes, op9_spot_fingerprints
 from .substrings import op2_substring_dedup
 from .token_files import op4_token_files
+from .tokenizer_alignment import op12_tokenizer_alignment
 from .wrappers import op1_html_extraction
 
 QUERIES = {
@@ -28,11 +30,14 @@ QUERIES = {
         op9_spot_fingerprints,
         op10_secret_scan,
         op11_suffix_array_dedup,
+        op12_tokenizer_alignment,
+        op13_ranked_search,
         near_spot_classes,
     )
 }
 _WORDS = r"list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _TEXT = "coalesce(text, '')"
+_TERMS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
@@ -52,4 +57,13 @@ l as (select a, b from c where 100 * k >= 85 * (na + nb - k)),
 near as (select a, b from l union all select b, a from l),
 reach as (select doc_id as node, doc_id as root from s union select near.b, reach.root from reach join near on near.a = reach.node)
 select s.doc_id, len(sh) as n_shingles, min(root) as component_id, s.doc_id = min(root) as kept from s join reach on reach.node = s.doc_id group by s.doc_id, len(sh)""",
+    "op13_ranked_search": f"""with t as (select doc_id, {_TERMS.format('text')} as a from documents where text is not null),
+d as (select doc_id, len(a) as n, a from t where len(a) > 0),
+c as (select count(*) as n_docs, cast(sum(n) as bigint) as l from d),
+p as (select doc_id, n, term, count(*) as tf from (select doc_id, n, unnest(a) as term from d) group by all),
+i as (select distinct item_id, unnest({_TERMS.format('text')}) as term from benchmark where text is not null),
+w as (select term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) as bigint) as w from p, c where term in (select term from i) group by term, n_docs),
+s as (select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * n_docs) // l))))) as bigint) as score from i join w using (term) join p using (term), c group by item_id, doc_id),
+r as (select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from s where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from r where rank <= 50""",
 }

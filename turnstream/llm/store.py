@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from weakref import WeakKeyDictionary
@@ -51,5 +52,11 @@ def remove(*tables: DataFrame) -> None:
             place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, so that Spark deletes the shuffle files of plans whose tables are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -649,4 +649,4 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("conv_id").agg((F.max_by("e", "turn") / 100).alias("duration"), _joined(" ").alias("text"), segments)
 
 
-from turnstream.plans import requests, signals  # noqa: E402, F401  they register their queries
+from turnstream.plans import requests, signals, streams  # noqa: E402, F401  they register their queries

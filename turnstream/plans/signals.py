@@ -9,6 +9,7 @@ from turnstream.operators import align, cluster, features, intervals
 from turnstream.plans import bindings as b
 from turnstream.plans.bindings import table, with_
 from turnstream.plans.registry import query
+from turnstream.sources import audio
 
 
 def _milli(c):
@@ -170,3 +171,23 @@ def q98_wire_samples(spark, d):
     add = lambda a, zero: F.aggregate(a, zero, lambda t, x: t + x)
     powers = F.transform("a", lambda x: scalars.from_log(x))
     return u.withColumn("s", s).select("utt", add(F.col("s"), F.lit(0).cast("int")).cast("long").alias("total"), F.element_at("s", -1).alias("last"), _milli(add(powers, F.lit(0.0))).alias("power_milli"))
+
+
+# --- resampling
+
+_FROM, _TO, _ZEROS = 3, 2, 4
+_BAND = audio.ROLL_OFF * _TO / _FROM
+_AWAY = f"(n * {_FROM} / {_TO}::double - j)"
+_TAP = f"""case when abs({{0}} * {_BAND} / {_ZEROS}) < 1 then (case when {{0}} = 0 then 1 else sin(pi() * {{0}} * {_BAND}) / (pi() * {{0}} * {_BAND}) end)
+ * (0.42::double + 0.5::double * cos(pi() * {{0}} * {_BAND} / {_ZEROS}) + 0.08::double * cos(2 * pi() * {{0}} * {_BAND} / {_ZEROS})) else 0 end"""
+
+
+@query(f"""{with_('frames')}, u as (select stream_id, count(*) as n_in from frames group by stream_id), o as (select stream_id, n_in, unnest(range((n_in * {_TO} + {_FROM - 1}) // {_FROM})) as n from u),
+ t as (select stream_id, n_in, n, unnest(range(n * {_FROM} // {_TO} - 12, n * {_FROM} // {_TO} + 14)) as j from o), w as (select *, {_TAP.format(_AWAY)} as tap from t)
+ select w.stream_id, w.n as sample_no, cast(floor(sum(tap * coalesce(value, 0)) / sum(tap) * 1000 + 0.5) as bigint) as value_milli from w left join frames f on f.stream_id = w.stream_id and f.frame_no = w.j group by w.stream_id, w.n""")
+def q106_resampled(spark, d):
+    """Each stream's values as a signal at two thirds of its rate."""
+    signal = F.transform(F.array_sort(F.collect_list(F.struct("frame_no", "value"))), lambda r: r["value"])
+    streams = b.frames(spark, d).groupBy("stream_id").agg(signal.alias("x"))
+    out = streams.select("stream_id", F.posexplode(audio.resampled(F.col("x"), _FROM, _TO, _ZEROS)).alias("sample_no", "y"))
+    return out.select("stream_id", F.col("sample_no").cast("long").alias("sample_no"), _milli(F.col("y")).alias("value_milli"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnstream.functions import normalize, scalars
-from turnstream.operators import align, cluster, features, intervals
+from turnstream.operators import align, cluster, features, intervals, sentences
 from turnstream.plans import bindings as b
 from turnstream.plans.bindings import table, with_
 from turnstream.plans.registry import query
@@ -191,3 +191,14 @@ def q106_resampled(spark, d):
     streams = b.frames(spark, d).groupBy("stream_id").agg(signal.alias("x"))
     out = streams.select("stream_id", F.posexplode(audio.resampled(F.col("x"), _FROM, _TO, _ZEROS)).alias("sample_no", "y"))
     return out.select("stream_id", F.col("sample_no").cast("long").alias("sample_no"), _milli(F.col("y")).alias("value_milli"))
+
+
+# --- sentences
+
+
+@query()
+def q107_sentences(spark, d):
+    """Turns cut into sentences by a model of all turns."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    out = sentences.split_sentences(rows, sentences.train(rows), "text", ["conv_id", "turn"])
+    return out.select("conv_id", "turn", F.size("sentences").cast("long").alias("n_sentences"), F.md5(F.array_join("sentences", "|")).alias("sentences_md5"))

@@ -11,7 +11,7 @@ from turnstream.config import checked
 from .folds import Fold, fold
 
 EPS = 1e-8
-MOST_IN_RECORDING = 4000  # chunks of one offline clustering: a day of audio at the usual chunk length
+MOST_IN_RECORDING = 20_000  # chunks of one offline clustering: days of audio at the usual chunk length
 
 
 def _cosine(centers: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -112,19 +112,47 @@ def online_labels(embeddings: DataFrame, keys: list[str], make) -> DataFrame:
 
 
 def _linkage(x: np.ndarray) -> list[tuple[int, int, float]]:
-    """Centroid linkage: (node, node, distance) of each merge; merge k makes node len(x) + k."""
-    centers, sizes, alive = list(x), [1] * len(x), list(range(len(x)))
+    """Centroid linkage: (node, node, distance) of each merge; merge k makes node len(x) + k.
+
+    Each node knows its nearest later node. A merge makes one center, which is measured against all; only nodes whose
+    nearest one is gone look for another. So what is held grows with the points, not with their pairs. Of equally near
+    pairs the first goes first.
+    """
+    n = len(x)
+    centers, sizes = np.zeros((2 * n - 1, x.shape[1])), np.ones(2 * n - 1)
+    centers[:n] = x
+    alive = np.zeros(2 * n - 1, dtype=bool)
+    alive[:n] = True
+    nearest, distance = np.full(2 * n - 1, -1), np.full(2 * n - 1, np.inf)
+
+    def look(i: int, last: int) -> None:
+        later = i + 1 + np.flatnonzero(alive[i + 1 : last])
+        if len(later):
+            d = _euclidean(centers[later], centers[i])
+            k = int(np.argmin(d))
+            nearest[i], distance[i] = later[k], d[k]
+        else:
+            nearest[i], distance[i] = -1, np.inf
+
+    for i in range(n - 1):
+        look(i, n)
     merges = []
-    while len(alive) > 1:
-        c = np.stack([centers[i] for i in alive])
-        d = np.sqrt(np.maximum((c * c).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * c @ c.T, 0))
-        d[np.tril_indices(len(alive))] = np.inf
-        i, j = divmod(int(np.argmin(d)), len(alive))
-        a, b = alive[i], alive[j]
-        merges.append((a, b, float(d[i, j])))
-        centers.append((centers[a] * sizes[a] + centers[b] * sizes[b]) / (sizes[a] + sizes[b]))
-        sizes.append(sizes[a] + sizes[b])
-        alive = [k for k in alive if k not in (a, b)] + [len(centers) - 1]
+    for new in range(n, 2 * n - 1):
+        a = int(np.argmin(distance[:new]))
+        b = int(nearest[a])
+        merges.append((a, b, float(distance[a])))
+        sizes[new] = sizes[a] + sizes[b]
+        centers[new] = (centers[a] * sizes[a] + centers[b] * sizes[b]) / sizes[new]
+        alive[[a, b]], distance[[a, b]] = False, np.inf
+        rest = np.flatnonzero(alive[:new])
+        alive[new] = True
+        if len(rest):
+            d = _euclidean(centers[rest], centers[new])
+            lost = np.isin(nearest[rest], (a, b))
+            nearer = ~lost & (d < distance[rest])
+            nearest[rest[nearer]], distance[rest[nearer]] = new, d[nearer]
+            for i in rest[lost].tolist():
+                look(i, new + 1)
     return merges
 
 
@@ -138,14 +166,14 @@ def agglomerate(x: np.ndarray, threshold: float, least: int, most: int) -> list[
     merges = _linkage(x)
     at = lambda k: merges[-k][2] if k < n else -np.inf
     cut = at(least) if least == most else min(max(threshold, at(most)), at(least))
-    up, top = list(range(n)), [-np.inf] * n
-    members = [[i] for i in range(n)]
-    for a, b, d in merges:
-        members.append(members[a] + members[b])
-        top.append(max(d, top[a], top[b]))
-        if top[-1] <= cut:
-            for i in members[-1]:
-                up[i] = len(members) - 1
+    top = np.full(2 * n - 1, -np.inf)  # the highest merge within a node
+    for k, (a, b, d) in enumerate(merges):
+        top[n + k] = max(d, top[a], top[b])
+    up = np.arange(2 * n - 1)
+    for k in range(n - 2, -1, -1):  # from the last merge on: a node that is low enough gives its name to its parts
+        if top[n + k] <= cut:
+            up[[merges[k][0], merges[k][1]]] = up[n + k]
+    up = up[:n].tolist()
     names: dict[int, int] = {}
     return [names.setdefault(u, len(names)) for u in up]
 
@@ -153,7 +181,7 @@ def agglomerate(x: np.ndarray, threshold: float, least: int, most: int) -> list[
 def agglomerative_labels(embeddings: DataFrame, key: str, threshold: float = 0.25, least: int = 1, most: int = 20) -> DataFrame:
     """key, chunk_idx, speaker: offline clustering of one recording, whose embeddings are one group.
 
-    Centroid linkage needs all pairs, so the query fails if a recording has more than MOST_IN_RECORDING chunks,
+    Centroid linkage measures all pairs, so the query fails if a recording has more than MOST_IN_RECORDING chunks,
     before any is gathered; online labels have no such bound.
     """
     import pandas as pd
@@ -170,6 +198,168 @@ def agglomerative_labels(embeddings: DataFrame, key: str, threshold: float = 0.2
     return embeddings.select(key, "chunk_idx", "v").groupBy(key).applyInPandas(one, f"{key} long, chunk_idx long, speaker int")
 
 
+# --- hidden Markov models
+
+
+MOST_IN_MODEL = 4000  # chunks of one model: every step of every size of the search reads them all in order
+LEAST_VARIANCE, ITERATIONS, TOLERANCE = 1e-2, 100, 1e-2
+_FLOOR = 1e-3
+
+
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    top = np.where(np.isfinite(top), top, 0.0)
+    with np.errstate(divide="ignore"):
+        return np.log(np.exp(x - top).sum(axis=axis)) + np.squeeze(top, axis=axis)
+
+
+def k_means(x: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
+    """Centers: the first point is the one nearest the mean, each further one is the farthest from those before, then means move."""
+    centers = x[[int(np.argmin(_euclidean(x, x.mean(axis=0))))]]
+    while len(centers) < k:
+        far = np.min([_euclidean(x, c) for c in centers], axis=0)
+        centers = np.vstack([centers, x[int(np.argmax(far))]])
+    label = None
+    for _ in range(rounds):
+        new = np.argmin([_euclidean(x, c) for c in centers], axis=0)
+        if label is not None and np.array_equal(new, label):
+            break
+        label = new
+        centers = np.stack([x[label == j].mean(axis=0) if (label == j).any() else centers[j] for j in range(k)])
+    return centers
+
+
+class GaussianStates:
+    """A hidden Markov model whose states are Gaussians with diagonal covariance.
+
+    ``fit`` is Baum-Welch in logarithms. Variances have a prior of the weight of LEAST_VARIANCE, so none falls to nothing;
+    each step raises ``objective``: the log-likelihood less LEAST_VARIANCE / 2 over each variance. It ends when a step
+    raises the log-likelihood by less than TOLERANCE, or after ITERATIONS steps.
+    """
+
+    def __init__(self, x: np.ndarray, k: int):
+        self.means = k_means(x, k)
+        spread = x.var(axis=0, ddof=1) if len(x) > 1 else np.zeros(x.shape[1])
+        self.variances = np.tile(spread + _FLOOR, (k, 1))
+        self.start, self.moves = np.full(k, -np.log(k)), np.full((k, k), -np.log(k))
+        self.history: list[float] = []
+
+    def emissions(self, x: np.ndarray) -> np.ndarray:
+        """Log densities of each point (row) in each state."""
+        out = np.empty((len(x), len(self.means)))
+        for j, (m, v) in enumerate(zip(self.means, self.variances, strict=True)):
+            out[:, j] = -0.5 * (np.log(2 * np.pi * v).sum() + ((x - m) ** 2 / v).sum(axis=1))
+        return out
+
+    def forward(self, e: np.ndarray) -> np.ndarray:
+        out = np.empty_like(e)
+        out[0] = self.start + e[0]
+        for t in range(1, len(e)):
+            out[t] = _log_sum(out[t - 1][:, None] + self.moves, 0) + e[t]
+        return out
+
+    def backward(self, e: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(e)
+        for t in range(len(e) - 2, -1, -1):
+            out[t] = _log_sum(self.moves + e[t + 1] + out[t + 1], 1)
+        return out
+
+    def objective(self, likelihood: float) -> float:
+        return likelihood - float((LEAST_VARIANCE / 2 / self.variances).sum())
+
+    def fit(self, x: np.ndarray) -> GaussianStates:
+        last = -np.inf
+        for _ in range(ITERATIONS):
+            e = self.emissions(x)
+            a, b = self.forward(e), self.backward(e)
+            likelihood = float(_log_sum(a[-1], 0))
+            self.history.append(self.objective(likelihood))
+            if likelihood - last < TOLERANCE:
+                break
+            last = likelihood
+            own = np.exp(a + b - likelihood)
+            with np.errstate(divide="ignore"):
+                self.start = np.log(own[0] / own[0].sum())
+                if len(x) > 1:
+                    pairs = _log_sum(a[:-1, :, None] + self.moves + (e[1:] + b[1:])[:, None, :], 0) - likelihood
+                    total = _log_sum(pairs, 1)
+                    reached = np.isfinite(total)
+                    self.moves[reached] = pairs[reached] - total[reached, None]
+            weight = own.sum(axis=0)
+            held = weight > 1e-300
+            self.means[held] = (own.T @ x)[held] / weight[held, None]
+            for j in np.flatnonzero(held):
+                self.variances[j] = (LEAST_VARIANCE + own[:, j] @ (x - self.means[j]) ** 2) / weight[j]
+        return self
+
+    def path(self, x: np.ndarray) -> np.ndarray:
+        """The likeliest states."""
+        e = self.emissions(x)
+        at, back = self.start + e[0], np.zeros(e.shape, dtype=np.int64)
+        for t in range(1, len(e)):
+            step = at[:, None] + self.moves
+            back[t] = step.argmax(axis=0)
+            at = step.max(axis=0) + e[t]
+        out = np.empty(len(e), dtype=np.int64)
+        out[-1] = int(at.argmax())
+        for t in range(len(e) - 1, 0, -1):
+            out[t - 1] = back[t, out[t]]
+        return out
+
+
+def _pair_distances(x: np.ndarray, cosine: bool) -> np.ndarray:
+    return np.concatenate([(_cosine if cosine else _euclidean)(x[i + 1 :], x[i]) for i in range(len(x) - 1)] or [np.zeros(0)])
+
+
+def markov_labels(x: np.ndarray, least: int, most: int, threshold: float = 0.25, metric: str = "cosine", share: float = 0.05, single: float = 1.15) -> np.ndarray:
+    """States of a model whose number of states is searched for between ``least`` and ``most``.
+
+    One state if the distances of all but ``share`` of the pairs are under ``single``. Else a size is better than those
+    before if its centers' smallest distance is the largest so far, or over the threshold; the search ends after three sizes
+    (fewer if there are fewer) that are no better. A state without points makes its size no better.
+    """
+    if not 0 < least <= most:
+        raise ValueError("least must be at least 1 and at most most")
+    if metric not in ("cosine", "euclidean"):
+        raise ValueError("metric must be cosine or euclidean")
+    points = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), EPS) if metric == "cosine" else x
+    most = min(most, len(x))
+    least = min(least, most)
+    if least == most:
+        return GaussianStates(points, most).fit(points).path(points)
+    if least == 1:
+        if np.quantile(_pair_distances(points, False), 1 - share) < single:
+            return np.zeros(len(x), dtype=np.int64)
+        least, most = 2, max(2, most)
+    best, labels, history, patience = least, None, [-np.inf], min(3, most - least)
+    for k in range(least, most + 1):
+        found = GaussianStates(points, k).fit(points).path(points)
+        full = len(np.unique(found)) == k
+        apart = float(_pair_distances(np.stack([x[found == j].mean(axis=0) for j in range(k)]), metric == "cosine").min()) if full else -np.inf
+        if labels is None or apart > max(history) or apart > threshold:
+            best, labels = k, found
+        elif k == best + patience:
+            break
+        history.append(apart)
+    return labels
+
+
+def markov_speakers(embeddings: DataFrame, key: str, least: int = 1, most: int = 8, threshold: float = 0.25) -> DataFrame:
+    """key, chunk_idx, speaker: a recording's chunks in order as states of a hidden Markov model. A recording is one group;
+    the query fails before any is gathered if one has more than MOST_IN_MODEL chunks."""
+    import pandas as pd
+
+    size = embeddings.groupBy(key).agg(F.count("*").alias("chunks_of_key"))
+    embeddings = checked(embeddings.join(size, key), F.col("chunks_of_key") <= MOST_IN_MODEL, f"a recording has more than {MOST_IN_MODEL} chunks")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk_idx")
+        x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["v"]])
+        return pd.DataFrame({key: pdf[key], "chunk_idx": pdf["chunk_idx"], "speaker": markov_labels(x, least, most, threshold)})
+
+    return embeddings.select(key, "chunk_idx", "v").groupBy(key).applyInPandas(one, f"{key} long, chunk_idx long, speaker long")
+
+
 def top_k(scores: Column, k: int) -> Column:
     """Places of the k highest scores, highest first, of equal ones the first."""
     ranked = F.array_sort(F.transform(scores, lambda x, i: F.struct((-x).alias("back"), i.alias("i"))))

@@ -358,6 +358,12 @@ def q33_agglomerative(spark, d):
     return cluster.agglomerative_labels(b.chunk_embeddings(spark, d), "rec", 0.6, 1, 8)
 
 
+@query()
+def q108_markov_speakers(spark, d):
+    """Chunks of a recording as states of a hidden Markov model, whose size is searched for."""
+    return cluster.markov_speakers(b.chunk_embeddings(spark, d), "rec", 1, 6)
+
+
 @query(f"""{with_('emb', recursive=True)}, ordered as (select rec, chunk_idx as i, v from emb), walk as (select rec, i, [v] as centers, 0 as label from ordered where i = 0
 union all select rec, i, case when list_max(ss) >= 0.75 then list_transform(centers, lambda c, k: case when k = near then list_transform(c, lambda x, j: (x + v[j]) / 2) else c end) else list_append(centers, v) end,
  cast(case when list_max(ss) >= 0.75 then near - 1 else len(centers) end as int) from (select *, list_position(ss, list_max(ss)) as near

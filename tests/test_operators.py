@@ -225,3 +225,16 @@ def test_scalars(spark):
     c = F.col
     r = df.select(scalars.clock(c("m")), scalars.int16_wrapped(c("s")), scalars.py_round2(c("r")), scalars.nfkc(c("t")), scalars.without_accents(c("t")), scalars.spaced_alpha_num(F.lit("ab12c x")), scalars.faded_int16(c("v"), 2), scalars.codec_tokens(F.lit("<|s_12|><|speech_3|>")), scalars.from_log(F.lit(9.0))).first()
     assert list(r) == ["-01:01:01.007", -32768, 2.67, "fi é ab12c x", "ﬁ e ab12c x", "ab 12 C X", [32767, 32767, 0], [12, 3], 1e5]
+
+
+def test_buckets_are_even(spark):
+    """One value far from all others leaves no bucket with more than a hundredth of the distinct values."""
+    from turnstream.operators import report
+
+    df = spark.range(1_000_000).selectExpr("1 as k", "id as v").unionByName(spark.createDataFrame([(1, 10**13), (2, 5), (2, 5), (2, None)], "k int, v long"))
+    counted = df.groupBy("k", "v").agg(F.count("*").alias("times"))
+    sizes = report.in_buckets(counted.filter("k = 1"), ["k"], "v", 400).groupBy("bucket").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 10_000
+    out = {r.k: r for r in report.order_statistics(df, ["k"], "v").collect()}
+    assert (out[1].n, out[1].least, out[1].most, out[1].p50, out[1].p90, out[1].p99) == (1_000_001, 0, 10**13, 500_000, 899_999, 989_999)
+    assert (out[2].least, out[2].p50, out[2].most) == (5, 5, 5)

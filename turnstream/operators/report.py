@@ -5,23 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnstream.sources.shared import written
+
 
 def cents(value: Column) -> Column:
     return F.floor(value * 100 + 0.5).cast("long")
 
 
-def order_statistics(df: DataFrame, keys: list[str], value: str, buckets: int = 1000) -> DataFrame:
+def in_buckets(counted: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:
+    """Distinct values with ``bucket``: the number of their key's cuts below them. Cuts are approximate quantiles of the key's
+    distinct values, so a bucket's share of them stays small however the values are spread. They are written once, as
+    they are not sure to come out the same twice."""
+    shares = [k / buckets for k in range(1, buckets)]
+    cuts = counted.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, shares, 20 * buckets)).alias("cuts_of_key"))
+    dealt = counted.join(written(cuts, "cuts"), keys)
+    return dealt.withColumn("bucket", F.size(F.filter("cuts_of_key", lambda c: c < F.col(value)))).drop("cuts_of_key")
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, buckets: int = 400) -> DataFrame:
     """keys, n, least, most, total, p50, p90, p95, p99 of an integer column.
 
     A percentile q is the int(q*n)-th smallest value if there are at least 10, 20, 100 values for 0.90,
     0.95, 0.99, else the largest; p50 is the lower median. Equal values are counted first; the distinct ones
-    of a key are dealt into ``buckets`` of equal width between its least and most, and what is ordered in one
-    task is a bucket: the buckets' sums, at most ``buckets`` rows a key, say how many values lie before it.
+    of a key are dealt into about ``buckets`` ranges of equal numbers, and what is ordered in one task is a
+    bucket: the buckets' sums, at most ``buckets`` rows a key, say how many values lie before it.
     """
     counted = df.groupBy(*keys, value).agg(F.count("*").alias("times"))
-    ends = counted.groupBy(*keys).agg(F.min(value).alias("lo_of_key"), F.max(value).alias("hi_of_key"))
-    place = F.floor((F.col(value) - F.col("lo_of_key")).cast("double") * buckets / (F.col("hi_of_key") - F.col("lo_of_key") + 1))
-    dealt = counted.join(ends, keys).withColumn("bucket", place).drop("lo_of_key", "hi_of_key")
+    dealt = in_buckets(counted, keys, value, buckets)
     sums = dealt.groupBy(*keys, "bucket").agg(F.sum("times").alias("held"))
     w = Window.partitionBy(*keys)
     before = sums.select(*keys, "bucket", (F.sum("held").over(w.orderBy("bucket")) - F.col("held")).alias("before"), F.sum("held").over(w).alias("n"))

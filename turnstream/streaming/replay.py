@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnstream.sources.shared import new_folder
+
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_FALLBACK: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, a temporary folder, on a local master only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = _FALLBACK.setdefault("folder", "file://" + tempfile.mkdtemp(prefix="turnstream-"))
-    return f"{folder.rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
 @contextmanager
@@ -54,7 +43,7 @@ def replay(inputs: dict[str, tuple[DataFrame, Column]], flow: Callable[[dict[str
     read from a file sink, which holds each row once however often a run is repeated.
     """
     spark = next(iter(inputs.values()))[0].sparkSession
-    folder = shared_folder(spark)
+    folder = new_folder(spark, "streams")
     at = cuts(*next(iter(inputs.values())), batches)
     place = lambda micros: sum((micros > c).cast("int") for c in at) if at else F.lit(0)
     steps = [{name: df.filter(place(micros) == k) for name, (df, micros) in inputs.items()} for k in range(len(at) + 1)]

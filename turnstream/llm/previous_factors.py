@@ -214,7 +214,7 @@ _SEGMENT = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("doc_id", pa
 def _segments(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> Iterator[pa.RecordBatch]:
     """All shared segments with the digest of their bytes. Of equal ones in a slice one has the bytes, and their first document."""
     for batch in batches:
-        for part, raw, offsets in byte_slices(batch, "text", 4 * SLICE):
+        for part, raw, offsets in byte_slices(batch, "text", 2 * SLICE):
             held = part.column(part.schema.get_field_index("held"))
             many = np.diff(held.offsets.to_numpy())
             flat = held.flatten()
@@ -362,9 +362,8 @@ _CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw, offsets = string_bytes(batch.column(1))
-        spans = batch.column(2).to_pylist()
+    for part, raw, offsets in (x for batch in batches for x in byte_slices(batch, "text")):
+        spans = part.column(2).to_pylist()
         out = []
         for i, found in enumerate(spans):
             text, n = raw[offsets[i] : offsets[i + 1]], int(offsets[i + 1] - offsets[i])
@@ -383,7 +382,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, bits: int) -> Iterator[
             edges = np.flatnonzero(np.diff(np.concatenate([[0], removed.view(np.int8), [0]]))).reshape(-1, 2)
             out.append((n, int(removed.sum()), text[~removed].tobytes(), [{"start": int(s), "end": int(e)} for s, e in edges]))
         cols = zip(*out, strict=True) if out else [[]] * 4
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, _CUT.types[1:], strict=True))], schema=_CUT)
+        yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, _CUT.types[1:], strict=True))], schema=_CUT)
 
 
 def remove_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST_OF_ANCHOR) -> DataFrame:

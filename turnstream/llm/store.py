@@ -53,7 +53,11 @@ def remove(*tables: DataFrame) -> None:
 
 
 def let_go(spark: SparkSession) -> None:
-    """Has the driver collect its garbage, so that Spark deletes the shuffle files of plans whose tables are written."""
+    """Has the driver collect its garbage, so that Spark deletes the shuffle files of plans whose tables are written.
+
+    Spark holds the last query that ran until another one has, so a small one runs first.
+    """
+    spark.range(1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -144,7 +144,7 @@ def _dealt(batches: Iterator[pa.RecordBatch], length: int, gram: int, bits: int,
         keys, docs, places = key[sent], doc[sent], np.where(shared, -1, at)[sent]
         of = _bucket(keys, buckets)
         cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
-        rows = [(int(of[a]), False, _packed(keys[a:b], docs[a:b], places[a:b])) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(of)], strict=True)]
+        rows = [(int(of[a]), False, _packed(keys[a:b], docs[a:b], places[a:b])) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(of)][: len(cuts)], strict=True)]
         key, doc, at = key[shared], doc[shared], at[shared]
         for a in range(0, len(key), KNOWN_AT_ONCE):
             of = mix(np.array([number, len(raw), int(key[a])], dtype=np.int64).view(np.uint64)).sum() % np.uint64(buckets)

@@ -403,12 +403,13 @@ def remove_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = materialise(segments(rows, shared, length, gram), "segments", codec="zstd")
     remove(shared)
     let_go(docs.sparkSession)
-    verdicts = factored(found, length, most)
+    verdicts = materialise(factored(found, length, most), "verdicts", codec="zstd")
+    let_go(docs.sparkSession)
     held = found.select("key", "digest", "doc_id", "copy", "at").join(verdicts, ["key", "digest"])
     gone = F.when(F.col("doc_id") > F.col("first"), F.lit((1 << (length - gram + 1)) - 1)).otherwise(F.col("gone"))
     spans = held.select("doc_id", "copy", "at", gone.alias("gone")).filter("gone <> 0").groupBy("doc_id", "copy").agg(F.collect_list(F.struct("at", "gone")).alias("spans"))
     spans = materialise(spans, "spans")
-    remove(found)
+    remove(found, verdicts)
     let_go(docs.sparkSession)
     return rows.join(spans, ["doc_id", "copy"], "left").select("doc_id", "text", "spans").mapInArrow(lambda b: _cut(b, length, bits), "doc_id long, n_bytes long, n_removed long, kept binary, removed array<struct<start:long,end:long>>")
 

@@ -60,7 +60,8 @@ class QuotaProcessor(StatefulProcessor):
 def metered(requests: DataFrame, limit: int, ttl_us: int, event_time: bool = True) -> DataFrame:
     """client, item, used, refused. requests (streaming): client, item, us (microseconds), tokens; with event time also a watermark.
 
-    ``used`` is what the request read. Of one trigger a client's requests are taken in order of time, then item.
+    ``used`` is what the request read. Of one trigger a client's requests are taken in order of time, then item. In processing
+    time the query runs by its clock until it is stopped: it is for live use, event time for replays that end.
     """
     return requests.groupBy("client").transformWithStateInPandas(
         statefulProcessor=QuotaProcessor(limit, ttl_us, event_time), outputStructType=USED, outputMode="Append", timeMode="EventTime" if event_time else "ProcessingTime"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnstream.functions import normalize, scalars
-from turnstream.operators import align, cluster, features, intervals, sentences
+from turnstream.operators import align, cluster, features, intervals, loudness, sentences
 from turnstream.plans import bindings as b
 from turnstream.plans.bindings import table, with_
 from turnstream.plans.registry import query
@@ -202,3 +202,22 @@ def q107_sentences(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", "text")
     out = sentences.split_sentences(rows, sentences.train(rows), "text", ["conv_id", "turn"])
     return out.select("conv_id", "turn", F.size("sentences").cast("long").alias("n_sentences"), F.md5(F.array_join("sentences", "|")).alias("sentences_md5"))
+
+
+# --- loudness, numbers and scripts
+
+
+_RATE = 16_000
+_STAGE = [(*(repr(float(v)) for v in b_), *(repr(float(v)) for v in a_[1:])) for b_, a_ in loudness.weighting(_RATE)]
+
+
+@query(f"""{with_('frames', recursive=True)}, p as (select stream_id, frame_no as i, value / max(abs(value)) over (partition by stream_id) as x from frames),
+ walk as (select stream_id, -1::bigint as i, 0::double as x1, 0::double as x2, 0::double as y1, 0::double as y2, 0::double as z1, 0::double as z2 from p where i = 0
+ union all select stream_id, i, x, x1, y, y1, {_STAGE[1][0]}::double * y + {_STAGE[1][1]}::double * y1 + {_STAGE[1][2]}::double * y2 - ({_STAGE[1][3]}::double) * z1 - ({_STAGE[1][4]}::double) * z2, z1
+ from (select p.stream_id, p.i, p.x, w.*exclude(stream_id, i), {_STAGE[0][0]}::double * p.x + ({_STAGE[0][1]}::double) * x1 + {_STAGE[0][2]}::double * x2 - ({_STAGE[0][3]}::double) * y1 - ({_STAGE[0][4]}::double) * y2 as y from walk w join p on p.stream_id = w.stream_id and p.i = w.i + 1))
+ select stream_id, cast(floor(greatest(0.0::double, least(1.0::double, ({loudness.OFFSET} + 10 * log10(avg(z1 * z1)) + 20) / 100)) * 1000 + 0.5) as bigint) as share_milli from walk where i >= 0 group by stream_id""")
+def q109_weighted_loudness(spark, d):
+    """Each stream's values as one block of a signal: loudness with the ear's weighting."""
+    signal = F.transform(F.array_sort(F.collect_list(F.struct("frame_no", "value"))), lambda r: r["value"])
+    streams = b.frames(spark, d).groupBy("stream_id").agg(signal.alias("x"))
+    return streams.select("stream_id", _milli(loudness.loudness_share(F.col("x"), _RATE)).alias("share_milli"))

@@ -99,6 +99,21 @@ def merge_words(runs: DataFrame, key: str, label: str, star: str = "<star>") ->
     return words.withColumn("word_no", F.row_number().over(Window.partitionBy(key).orderBy("group")) - 1).drop("group")
 
 
+def word_times(words: DataFrame, sizes: DataFrame, key: str, rate: int = 16_000) -> DataFrame:
+    """Words (of ``merge_words``) as they are served, in thousandths: key, word_no, text, start_ms, end_ms, start_t, end_t, score_milli, length_ms.
+
+    sizes: key, n_samples, n_frames. A frame is the recording's length over its number of frames, so words end with it
+    whatever the model's stride leaves over. A recording without frames has no words.
+    """
+    joined = words.join(sizes.select(key, "n_samples", "n_frames"), key)
+    seconds = F.col("n_samples") / F.lit(float(rate)) / F.col("n_frames")
+    milli = lambda c: F.floor(c * 1000 + 0.5).cast("long")
+    return joined.select(
+        key, "word_no", "text", milli(F.col("start") * seconds).alias("start_ms"), milli(F.col("end") * seconds).alias("end_ms"), F.col("start").alias("start_t"), F.col("end").alias("end_t"),
+        milli(F.col("score")).alias("score_milli"), milli(F.col("n_samples") / F.lit(float(rate))).alias("length_ms"),
+    )
+
+
 def log_softmax_star(e: Column) -> Column:
     """Log-softmax of an array of scores with a star column of zero behind it."""
     top = F.array_max(e)

@@ -66,8 +66,15 @@ def loudness_share(samples: Column, low: float = -20.0, high: float = 80.0) -> C
     return F.when(top > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (10 * F.log10(square) - low) / (high - low)))).otherwise(0.0)
 
 
-def statistics_pool(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Mean and sample deviation (variance at least 1e-10) over time."""
+def statistics_pool(df: DataFrame, keys: list[str], value: str, place: Column | None = None, length: Column | None = None) -> DataFrame:
+    """Mean and sample deviation (variance at least 1e-10) over time; of the first ``length`` places only, if given.
+
+    Keys none of whose places are within the length are not there.
+    """
+    if (place is None) != (length is None):
+        raise ValueError("place and length go together")
+    if place is not None:
+        df = df.filter(place < length)
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.sqrt(F.greatest(F.coalesce(F.var_samp(value), F.lit(0.0)), F.lit(1e-10))).alias("deviation"))
 
 

@@ -431,6 +431,34 @@ def q37_word_merge(spark, d):
     return align.merge_words(runs, "utt", "label").select("utt", "word_no", "text", F.col("start").alias("start_t"), F.col("end").alias("end_t"))
 
 
+_UTTERANCE_SAMPLES = "n_frames * 320 + utt % 320"
+
+
+@query(f"""{_PATH}, scored as (select utt, j - 1 as token_index, t - 1 as time_index, exp(case when moved then es[t][toks[j] + 1] else es[t][1] end) as p from back where t > 0 and utt in (select utt from done)),
+runs as (select utt, token_index, min(time_index) as s, max(time_index) + 1 as e, avg(p) as p from scored group by utt, token_index), sizes as (select utt, count(*) as n_frames, count(*) * 320 + utt % 320 as n_samples from em group by utt),
+marked as (select *, sum(case when token_index % 3 = 0 then 1 else 0 end) over w as g, lead(s) over w as nx from runs window w as (partition by utt order by token_index)),
+words as (select utt, g, string_agg(cast(token_index as varchar), '' order by token_index) as text, min(s) as s, max_by(coalesce(nx, e), token_index) as e, sum(p * (e - s)) / sum(e - s) as p from marked where token_index % 3 <> 0 group by utt, g)
+select utt, cast(row_number() over (partition by utt order by g) - 1 as int) as word_no, text, cast(floor(s * (n_samples / 16000.0::double / n_frames) * 1000 + 0.5) as bigint) as start_ms, cast(floor(e * (n_samples / 16000.0::double / n_frames) * 1000 + 0.5) as bigint) as end_ms,
+ cast(s as int) as start_t, cast(e as int) as end_t, cast(floor(p * 1000 + 0.5) as bigint) as score_milli, cast(floor(n_samples / 16000.0::double * 1000 + 0.5) as bigint) as length_ms from words join sizes using (utt)""")
+def q110_word_seconds(spark, d):
+    """The whole chain as served: paths, runs, words, then seconds, scores and the recording's length."""
+    emissions, _ = b.emissions(spark, d)
+    runs = align.merge_repeats(_paths(spark, d), "utt").withColumn("label", F.when(F.col("token_index") % 3 == 0, "<star>").otherwise(F.col("token_index").cast("string")))
+    sizes = emissions.groupBy("utt").agg(F.count("*").alias("n_frames")).withColumn("n_samples", F.expr(_UTTERANCE_SAMPLES))
+    return align.word_times(align.merge_words(runs, "utt", "label"), sizes, "utt")
+
+
+@query(f"""{with_('em')}, x as (select utt, t, unnest(e) as x, unnest(range(len(e))) as feature from em) select utt, feature, cast(floor(avg(x) * 1000 + 0.5) as bigint) as mean_milli,
+ cast(floor(sqrt(greatest(coalesce(var_samp(x), 0.0::double), 1e-10::double)) * 1000 + 0.5) as bigint) as deviation_milli from x where t < 1 + utt % 25 group by utt, feature""")
+def q111_masked_statistics(spark, d):
+    """Mean and deviation of each feature over the utterance's own length."""
+    rows, _ = b.emissions(spark, d)
+    x = rows.select("utt", "t", F.posexplode("logp").alias("feature", "x"))
+    out = features.statistics_pool(x, ["utt", "feature"], "x", F.col("t"), 1 + F.col("utt") % 25)
+    milli = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("long")
+    return out.select("utt", F.col("feature").cast("long").alias("feature"), milli("mean").alias("mean_milli"), milli("deviation").alias("deviation_milli"))
+
+
 def _conv_sql(n: str) -> str:
     for kernel, stride in align.CONVOLUTIONS:
         n = f"(cast(floor(({n} - {kernel}) / {stride}) as bigint) + 1)"

@@ -197,3 +197,17 @@ def test_pipeline_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, d)
     assert docs.count() == 0
+
+
+def test_class_words_lose_no_article(spark):
+    """Classes that hold an article's or an advert's word among others: dates, teasers, words within sentences, prices."""
+    pages = {
+        '<div class="entry-meta"><span>12 May</span></div><div class="text"><p>Real article with some words</p></div>': "12 May\n\nReal article with some words",
+        '<article class="teaser"><p>Teaser</p></article><div class="text"><p>Real article that is longer</p></div>': "Teaser\n\nReal article that is longer",
+        '<div class="post"><p>He said <span class="related">this matter</span> is <b class="hidden-gem">good</b>.</p><p class="share-price">Share price rose</p></div>': "He said this matter is good.\n\nShare price rose",
+        '<div class="blog-post"><p>Post <span class="ad">Buy now</span>goes <em hidden>never</em>on</p><p class="share">Share this</p><div class="share-bar"><p>On all sites</p></div></div>': "Post goes on",
+        '<article><p>Long main text of this page</p></article><div class="strip"><p>Short</p></div>': "Long main text of this page",
+    }
+    rows = [(i, f"//{i}.example/", h) for i, h in enumerate(pages)]
+    found = {r.page_id: r.text for r in wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [found[i] for i in range(len(rows))] == list(pages.values())

@@ -57,6 +57,17 @@ l as (select a, b from c where 100 * k >= 85 * (na + nb - k)),
 near as (select a, b from l union all select b, a from l),
 reach as (select doc_id as node, doc_id as root from s union select near.b, reach.root from reach join near on near.a = reach.node)
 select s.doc_id, len(sh) as n_shingles, min(root) as component_id, s.doc_id = min(root) as kept from s join reach on reach.node = s.doc_id group by s.doc_id, len(sh)""",
+    "op11_suffix_array_dedup": """with d as (select doc_id, strlen(coalesce(text, '')) as n, hex(encode(coalesce(text, ''))) as h from documents),
+c as (select doc_id, n, c, substr(h, 2 * c + 1, 498) as part from (select doc_id, n, h, unnest(range(0, n - 49, 200)) as c from d where n >= 50)),
+s as (select doc_id, c + i as i, substr(part, 2 * i + 1, 100) as s from (select doc_id, c, part, unnest(range(least(200, n - 49 - c))) as i from c)),
+f as (select s, min(doc_id) as first from s group by s having min(doc_id) < max(doc_id)),
+g as (select doc_id, i from s join f using (s) where doc_id > first),
+o as (select doc_id, i, lag(i) over w as before, lead(i) over w as behind from g window w as (partition by doc_id order by i)),
+e as (select doc_id, i, sum(case when before is null or i - before > 50 then 1 else 0 end) over (partition by doc_id order by i) as run, least(50, coalesce(behind - i, 50)) as own from o),
+r as (select doc_id, run, min(i) as a, max(i) + 50 as z from e group by doc_id, run),
+k as (select doc_id, sum(z - a)::bigint as n_removed, count(*) as n_spans, list(a order by a) as a, list(z order by a) as z from r group by doc_id)
+select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+ sha256(unhex(case when a is null then h else array_to_string(list_transform(range(1, len(a) + 2), lambda x: case when x = 1 then substr(h, 1, 2 * a[1]) when x > len(a) then substr(h, 2 * z[len(a)] + 1) else substr(h, 2 * z[x - 1] + 1, 2 * (a[x] - z[x - 1])) end), '') end)) as kept_sha256 from d left join k using (doc_id)""",
     "op13_ranked_search": f"""with t as (select doc_id, {_TERMS.format('text')} as a from documents where text is not null),
 d as (select doc_id, len(a) as n, a from t where len(a) > 0),
 c as (select count(*) as n_docs, cast(sum(n) as bigint) as l from d),

@@ -230,10 +230,10 @@ def q76_speaker_tag(spark, d):
     return rows.select("conv_id", "turn", F.md5(prompts.with_speaker_tag(text, (F.col("conv_id") % 4).cast("string"))).alias("text_md5"))
 
 
-@query(f"""{with_('seg')}, x as (select conv_id, turn, len(string_split_regex(trim(t), '\\s+')) as n, regexp_replace(trim(regexp_replace(t, ' +', ' ', 'g')), '\\s+', ' ', 'g') as t from seg where regexp_full_match(t, '[A-Za-z .,]*'))
- select conv_id, turn, md5(array_to_string(list_transform(list_filter(string_split(t || ' see 3 to 5 items', ' '), lambda w: w <> ''), lambda w: case when length(w) = 1 then upper(w) else w end), ' ')) as text_md5 from x""")
+@query(f"""{with_('seg')}, x as (select conv_id, turn, len(string_split_regex(trim(t), '\\s+')) as n, regexp_replace(trim(regexp_replace(t, ' +', ' ', 'g')), '\\s+', ' ', 'g') as t from seg)
+ select conv_id, turn, md5(array_to_string(list_transform(list_filter(string_split(t || ' see 3 to 5 items', ' '), lambda w: w <> ''), lambda w: case when w = 'ß' then 'SS' when length(w) = 1 then upper(w) else w end), ' ')) as text_md5 from x""")
 def q77_spoken_text(spark, d):
-    rows = b.segments(spark, d).filter(F.col("t").rlike("^[A-Za-z .,]*$"))
+    rows = b.segments(spark, d)
     return rows.select("conv_id", "turn", F.md5(prompts.spoken(F.concat("t", F.lit("\nsee 3-5 items")))).alias("text_md5"))
 
 

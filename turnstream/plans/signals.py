@@ -115,15 +115,15 @@ def q92_loudness(spark, d):
     return rows.groupBy("utt").agg(s.alias("a")).select("utt", _milli(features.loudness_share(F.col("a"))).alias("share_milli"))
 
 
-@query(f"""{with_('seg')}, w as (select conv_id, list(string_split_regex(trim(t), '\\s+')[1:4] order by turn) as a, max(len(string_split_regex(trim(t), '\\s+')[1:4])) as most, count(*) as n from seg group by conv_id)
- select conv_id, n + 1 as n_rows, md5(array_to_string(list_concat(list_transform(a, lambda r: array_to_string(list_concat(r, list_transform(range(4 - len(r)), lambda i: '-')), ',')), ['-,-,-,-']), '|')) as padded_md5 from w""")
+@query(f"""{with_('seg')}, w as (select conv_id, list(string_split_regex(trim(t), '\\s+') order by turn) as a, max(len(string_split_regex(trim(t), '\\s+'))) as most, count(*) as n from seg group by conv_id)
+ select conv_id, n + 1 as n_rows, md5(array_to_string(list_append(list_transform(a, lambda r: array_to_string(list_concat(r, list_transform(range(most - len(r)), lambda i: '-')), ',')), array_to_string(list_transform(range(most), lambda i: '-'), ',')), '|')) as padded_md5 from w""")
 def q93_padded_square(spark, d):
-    """Arrays of arrays padded to four columns and one row more than the conversation has."""
-    cut = F.slice(F.split(F.trim("t"), r"\s+"), 1, 4)
-    a = F.transform(F.array_sort(F.collect_list(F.struct("turn", cut.alias("w")))), lambda r: r["w"])
-    rows = b.segments(spark, d).groupBy("conv_id").agg(a.alias("a"))
-    wide = F.transform("a", lambda r: features.padded(r, F.lit(4), F.lit("-")))
-    whole = features.padded(wide, F.size("a") + 1, F.array_repeat(F.lit("-"), 4))
+    """The words of a conversation's turns, padded to its longest turn and one row more than it has."""
+    words = F.split(F.trim("t"), r"\s+")
+    a = F.transform(F.array_sort(F.collect_list(F.struct("turn", words.alias("w")))), lambda r: r["w"])
+    rows = b.segments(spark, d).groupBy("conv_id").agg(a.alias("a"), F.max(F.size(words)).alias("most"))
+    wide = F.transform("a", lambda r: features.padded(r, F.col("most"), F.lit("-")))
+    whole = features.padded(wide, F.size("a") + 1, F.array_repeat(F.lit("-"), F.col("most")))
     return rows.select("conv_id", (F.size("a") + 1).cast("long").alias("n_rows"), F.md5(F.array_join(F.transform(whole, lambda r: F.array_join(r, ",")), "|")).alias("padded_md5"))
 
 

@@ -17,6 +17,7 @@ import os
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,7 @@ class Tokens:
             raise ValueError("a piece has a space behind another character: texts can't be cut at words")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size = tuple(pa.array([len(x) for x in side], pa.int64()) for side in (self.bytes_a, self.bytes_b))
+        self.lengths = tuple(x.to_numpy() for x in self.size)
         #: an id in decimal with the sign that follows it: within a side, behind the first, behind the second
         self.shown = pa.array([f"{i}{end}" for end in ",|;" for i in range(max(len(entries), n))], pa.large_string())
         self.n_shown = max(len(entries), n)
@@ -81,15 +83,24 @@ class Tokens:
         if new:
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             self.n_bytes += sum(map(len, new))
-            ids = [e.ids for e in self.a.encode_batch([" " + w for w in new], add_special_tokens=False)], self.b.encode(new, num_threads=1)
+            ids = [e.ids for e in self.a.encode_batch_fast([" " + w for w in new], add_special_tokens=False)], self.b.encode(new, num_threads=1)
+            spelled = [b" " + w.encode() for w in new]
             whole = np.ones(len(new), bool)
             for k, side in enumerate((self.bytes_a, self.bytes_b)):
-                whole &= [b"".join([side[i] for i in x]) == b" " + w.encode() for x, w in zip(ids[k], new, strict=True)]
-                self.flat[k] = np.concatenate([self.flat[k], np.array([i for x in ids[k] for i in x], np.int32)])
-                self.ends[k] = np.concatenate([self.ends[k], self.ends[k][-1] + np.cumsum([len(x) for x in ids[k]], dtype=np.int64)])
+                flat = list(chain.from_iterable(ids[k]))
+                if b"".join([side[i] for i in flat]) != b"".join(spelled) or not self._as_long(k, flat, ids[k], spelled):
+                    whole &= [b"".join([side[i] for i in x]) == w for x, w in zip(ids[k], spelled, strict=True)]
+                self.flat[k] = np.concatenate([self.flat[k], np.array(flat, np.int32)])
+                self.ends[k] = np.concatenate([self.ends[k], self.ends[k][-1] + np.cumsum(list(map(len, ids[k])), dtype=np.int64)])
             self.whole = np.concatenate([self.whole, whole])
         return np.array([self.place[w] for w in words], dtype=np.int64)
 
+    def _as_long(self, side: int, flat: list[int], ids: list[list[int]], spelled: list[bytes]) -> bool:
+        """Whether each word's ids have as many bytes as the word."""
+        sums = np.concatenate([[0], np.cumsum(self.lengths[side][flat])])
+        at = np.concatenate([[0], np.cumsum(list(map(len, ids)))])
+        return np.array_equal(sums[at[1:]] - sums[at[:-1]], list(map(len, spelled)))
+
     def lists(self, side: int) -> pa.LargeListArray:
         return pa.LargeListArray.from_arrays(pa.array(self.ends[side]), pa.array(self.flat[side]))
 

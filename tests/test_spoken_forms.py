@@ -82,3 +82,18 @@ def test_published_coefficients():
     assert np.allclose(b, [1.53512485958697, -2.69169618940638, 1.19839281085285], atol=1e-8)
     assert np.allclose(a[1:], [-1.69065929318241, 0.73248077421585], atol=1e-8)
     assert np.allclose(c[1:], [-1.99004745483398, 0.99007225036621], atol=1e-8)
+
+
+def test_normalisation_by_each_rows_language(spark):
+    """A column of languages gives each row what its language alone gives."""
+    from pyspark.sql import functions as F
+
+    from turnstream.functions.normalize import text_normalize
+
+    text = "Café\u00ad שָׁלוֹם ก\u200dข (12) 7 x, y"
+    languages = ["eng", "mon", "khk", "heb", "tha", "jav", "jpn", None]
+    df = spark.createDataFrame([(i, k, text) for i, k in enumerate(languages)], "i int, language string, t string")
+    got = [r[0] for r in df.orderBy("i").select(text_normalize(F.col("t"), F.col("language"))).collect()]
+    alone = [df.filter(F.col("i") == i).select(text_normalize(F.col("t"), k or "*")).first()[0] for i, k in enumerate(languages)]
+    assert got == alone
+    assert len(set(got)) >= 5

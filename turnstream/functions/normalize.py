@@ -52,13 +52,23 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def text_normalize(text: Column, language: str = "*", lower: bool = True, numbers: bool = True, brackets: bool = False, swallowed: bool = True) -> Column:
+def _translated(text: Column, language: str | Column, swallowed: bool) -> Column:
+    """Characters by the rules of a language; of each row's own one, if that is a column."""
+    if isinstance(language, str):
+        return F.translate(text, *characters(language, swallowed))
+    out = F.translate(text, *characters("*", swallowed))
+    for own in sorted({*MORE_DELETED, *MORE_PUNCTUATION}):
+        out = F.when(language == own, F.translate(text, *characters(own, swallowed))).otherwise(out)
+    return out
+
+
+def text_normalize(text: Column, language: str | Column = "*", lower: bool = True, numbers: bool = True, brackets: bool = False, swallowed: bool = True) -> Column:
     """Compatibility form, lower case, bracketed text with digits away, mappings, punctuation to spaces, deletions, digit words away.
 
     Words of digits only go if white space parts them from others; digits within words stay, but for those
     that the punctuation list itself holds (``swallowed``). Of the curly apostrophes within a word the last
-    one becomes a straight one. Languages without rules of their own take those of "*"; Arabic's mappings
-    hold for all. Each step reads a text once.
+    one becomes a straight one. Languages without rules of their own take those of "*", as do rows without a language where
+    it is a column; Arabic's mappings hold for all. Each step reads a text once.
     """
     text = nfkc(text)
     if lower:
@@ -72,11 +82,13 @@ def text_normalize(text: Column, language: str = "*", lower: bool = True, number
     # the last quote of a word that has characters on both sides: behind it no other quote but at the word's end
     quote = rf"(?U)(?<=\S)[{QUOTES}](?=[^\s{QUOTES}]++[{QUOTES}]?+(?!\S)|[{QUOTES}](?!\S))"
     text = F.regexp_replace(text, quote, "'")
-    text = F.translate(text, *characters(language, swallowed))
+    text = _translated(text, language, swallowed)
     if numbers:
         d = f"[{DIGITS}]+"
         text = F.regexp_replace(text, rf"(?U)^{d}(?=\s)|(?<=\s){d}(?=\s)|(?<=\s){d}$", " ")
-    if language in WITHOUT_ACCENTS:
+    if not isinstance(language, str):
+        text = F.when(language.isin(WITHOUT_ACCENTS), without_accents(text)).otherwise(text)
+    elif language in WITHOUT_ACCENTS:
         text = without_accents(text)
     return squeezed(text)
 

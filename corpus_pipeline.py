@@ -1,4 +1,8 @@
-"""From raw documents to piece ids: five stages, each a Parquet table that the next one reads."""
+"""From raw documents to piece ids: five stages, each a Parquet table that the next one reads.
+
+All stages take null and empty texts as texts without words, very long ones whole, and tables without rows; columns beside
+doc_id and text pass through under their names, whatever those are. Rows stand alone unless a stage says otherwise.
+"""
 
 from __future__ import annotations
 
@@ -19,12 +23,15 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, a similarity of 0.8 or more): the smallest doc_id."""
+    """One document of each group of near-duplicates (five words, a similarity of 0.8 or more): the smallest doc_id.
+
+    Of rows that share that id all stay. Documents without words are like no other and stay.
+    """
     return near_duplicates.keep_one(docs, percent=80)
 
 
 def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
+    """Documents without passages of the benchmark. Null and empty items match nothing; copies go or stay together."""
     return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

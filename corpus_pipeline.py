@@ -25,7 +25,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, a similarity of 0.8 or more): the smallest doc_id.
 
-    Of rows that share that id all stay. Documents without words are like no other and stay.
+    Of rows with the same id and text one stays; of different texts with that id the one with the smallest text hash.
+    Documents without words are like no other and all stay.
     """
     return near_duplicates.keep_one(docs, percent=80)
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .previous_factors import byte_slices
 from .store import materialise
 
-SLICE = 4_000_000
+SLICE = 3_000_000
 CACHED_WORDS, CACHED_BYTES = 300_000, 32_000_000
 
 _LOADED: dict[tuple[str, str], Tokens] = {}

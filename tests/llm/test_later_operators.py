@@ -87,6 +87,18 @@ def test_lengths_and_anchors(spark, length, gram):
         pf.remove_later_copies(df, length=71, gram=8)
 
 
+def test_anchors_are_dealt_evenly():
+    """Anchors are the smallest hashes of their strings; no bucket may hold more than its share for that."""
+    raw = np.random.default_rng(5).integers(97, 123, 400_000, dtype=np.uint8)
+    key = pf.anchors(raw, np.array([0, len(raw)]))[3]
+    held = np.bincount(pf._bucket(key, 48), minlength=48)
+    assert len(held) == 48 and held.max() < 1.5 * held.mean() and held.min() > held.mean() / 1.5
+    rows = pf._dealt(iter([pf.pa.RecordBatch.from_pydict({"doc_id": [1], "text": [raw.tobytes().decode()]})]), pf.LENGTH, pf.GRAM, 5, 48)
+    dealt = [(r["bucket"], pf._unpacked(r["packed"])[0]) for batch in rows for r in batch.to_pylist()]
+    assert len(dealt) == 48 and all((pf._bucket(k, 48) == b).all() for b, k in dealt)
+    assert sorted(np.concatenate([k for _, k in dealt])) == sorted(key)
+
+
 def test_copies_within_a_document_stay(spark):
     line = "this line comes again and again, over and over, in one document. "
     df = spark.createDataFrame([(1, line * 5), (2, "A " + line + "B"), (3, line * 2)], "doc_id long, text string")

@@ -4,7 +4,7 @@ A string of ``length`` bytes that also starts in a document with a smaller id is
 by one, which would be fifty times the input. Of the grams of ``gram`` bytes in each string the one with the smallest
 hash is its anchor, so equal strings have equal anchors; consecutive strings with one anchor are a segment.
 
-1. ``shared_anchors``: anchors that lie in two documents at least. Slices of texts send them packed, by ranges of keys; what
+1. ``shared_anchors``: anchors that lie in two documents at least. Slices of texts send them packed, by ranges of their keys' lower halves; what
    several documents of a slice hold is known to be shared, is sent once as a mark, and passes by. So an anchor comes
    at most once from a slice, or once for each place in one document, however hot it is.
 2. ``segments``: the bytes of shared anchors' segments, equal ones of a slice once, with their first document.
@@ -115,9 +115,15 @@ def _unpacked(x: bytes, columns: int = 3) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").reshape(columns, -1)
 
 
+def _turned(key: np.ndarray) -> np.ndarray:
+    """Keys with their halves exchanged. Anchors have the smallest upper halves, which would crowd in the first ranges; lower halves are even."""
+    key = key.view(np.uint64)
+    return (key << np.uint64(32)) | (key >> np.uint64(32))
+
+
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
-    """Ranges of keys, taken as unsigned."""
-    return (((key.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+    """Ranges of turned keys."""
+    return (((_turned(key) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
 def _dealt(batches: Iterator[pa.RecordBatch], length: int, gram: int, bits: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -133,7 +139,7 @@ def _dealt(batches: Iterator[pa.RecordBatch], length: int, gram: int, bits: int,
             found.append((text + a, (lo << bits) | (n - 1), key))
         text, at, key = (np.concatenate(x) for x in zip(*found, strict=True))
         doc = part.column(0).to_numpy(zero_copy_only=False)[text]
-        order = np.lexsort((doc, key.view(np.uint64)))
+        order = np.lexsort((doc, _turned(key)))
         at, key, doc = at[order], key[order], doc[order]
         begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         end = np.append(begin[1:], len(key))

@@ -94,6 +94,39 @@ def test_alignment_of_random_streams(monkeypatch):
             assert all(wrappers.matches(e, p) for p in pages), pages
 
 
+def common_by_table(a: list, b: list) -> list[tuple]:
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    i = j = 0
+    out = []
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def test_long_streams_are_aligned_as_short_ones(monkeypatch):
+    """However much of the table is held, all that is in common is found: no other way for long streams."""
+    r = random.Random(7)
+    pairs = [([r.choice("abcdefgh") for _ in range(r.randrange(40))], [r.choice("abcdefgh") for _ in range(r.randrange(40))]) for _ in range(200)]
+    whole = [wrappers._in_common(a, b) for a, b in pairs]
+    for cells in (0, 100):
+        monkeypatch.setattr(wrappers, "CELLS", cells)
+        assert [wrappers._in_common(a, b) for a, b in pairs] == whole
+    monkeypatch.undo()
+    for (a, b), found in zip(pairs, whole, strict=True):
+        assert all(a[i] == b[j] for i, j in found) and len(found) == len(common_by_table(a, b))
+    a, b = (["<x", *(f"<{c}" for c in r.choices("abc", k=1100)), end] for end in ("<y", "<z"))
+    assert len(a) * len(b) > wrappers.CELLS and len(wrappers._in_common(a, b)) == len(common_by_table(a, b))
+
+
 def extracted(spark, pages: list[tuple]) -> list[str]:
     rows = [(i, u, h) for i, (u, h) in enumerate(pages)]
     found = {r.page_id: r.text for r in wrappers.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}

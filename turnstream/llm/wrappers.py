@@ -20,8 +20,8 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
+from math import isqrt
 from operator import eq
 
 import pandas as pd
@@ -35,7 +35,7 @@ from .store import materialise, remove
 BLOCK = 64
 STEP = "\x1f"  # between the names of a path; white space to split(), so in no name
 FOLD = 40  # longest group of tokens that is looked for as a repeat; longer ones stay as they are
-CELLS = 1_000_000  # of an alignment's table; longer streams are first cut at tokens that both have once
+CELLS = 1_000_000  # of an alignment's table, as bits, that are held at once; of larger tables the rows of its root
 FIXED_PAGES = 3  # pages from which on equal text is the template's
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
@@ -277,44 +277,60 @@ def _repeated_as_in(a: list, b: tuple, fixed: set[str]) -> list:
 
 
 def _in_common(a: list, b: list) -> list[tuple[int, int]]:
-    """Pairs of places of a longest common subsequence; of very long streams, one through tokens both have once."""
+    """Pairs of places of a longest common subsequence, the same whatever is held of the table.
+
+    best(i, j) is the longest for a[i:] and b[j:]. A row holds for one j, as bits by n - 1 - i, where best(i, j) is
+    best(i + 1, j), so it comes from the row of j + 1 by one addition. Rows are made in blocks from the end; of
+    other blocks only the row that they start from is held, and their rows are made again when they are needed.
+    """
     lo, n, m = 0, len(a), len(b)
     while lo < min(n, m) and a[lo] == b[lo]:
         lo += 1
     while n > lo and m > lo and a[n - 1] == b[m - 1]:
         n, m = n - 1, m - 1
     before, after, middle = [(k, k) for k in range(lo)], [(n + k, m + k) for k in range(len(a) - n)], []
-    if (n - lo) * (m - lo) > CELLS:
-        once = [Counter(x[lo:end]) for x, end in ((a, n), (b, m))]
-        place = {b[j]: j for j in range(lo, m) if once[1][b[j]] == 1}
-        last, start = lo - 1, (lo, lo)
-        anchors = []
-        for i in range(lo, n):
-            j = place.get(a[i], -1)
-            if once[0][a[i]] == 1 and j > last:
-                anchors.append((i, j))
-                last = j
-        if anchors:
-            for i, j in [*anchors, (n, m)]:
-                middle += [(x + start[0], y + start[1]) for x, y in _in_common(a[start[0] : i], b[start[1] : j])]
-                if (i, j) != (n, m):
-                    middle.append((i, j))
-                start = (i + 1, j + 1)
-        return before + middle + after
-    best = [[0] * (m - lo + 1) for _ in range(n - lo + 1)]
-    for i in range(n - lo - 1, -1, -1):
-        row, below, x = best[i], best[i + 1], a[lo + i]
-        for j in range(m - lo - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x == b[lo + j] else max(below[j], row[j + 1])
-    i, j = lo, lo
-    while i < n and j < m:
-        if a[i] == b[j]:
-            middle.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i - lo + 1][j - lo] >= best[i - lo][j - lo + 1]:
-            i += 1
-        else:
-            j += 1
+    width, places, often = n - lo, {}, {}
+    for i in range(lo, n):
+        places.setdefault(a[i], []).append(n - 1 - i)
+
+    def places_of(x) -> int:
+        if x in often:
+            return often[x]
+        bits, found = bytearray(width // 8 + 1), places[x]
+        for k in found:
+            bits[k >> 3] |= 1 << (k & 7)
+        out = int.from_bytes(bits, "little")
+        if len(found) ** 2 >= width:  # so few that they can all be held
+            often[x] = out
+        return out
+
+    full = (1 << width) - 1
+
+    def row_before(row: int, x) -> int:
+        if x not in places:
+            return row
+        met = row & places_of(x)
+        return ((row + met) | (row - met)) & full
+
+    step = max(isqrt(m - lo) + 1, CELLS // max(width, 1))
+    row, starts = full, {m: full}
+    for j in range(m - 1, lo + step - 1, -1):
+        row = row_before(row, b[j])
+        if (j - lo) % step == 0:
+            starts[j] = row
+    i = lo
+    for begin in range(lo, m, step):
+        end = min(begin + step, m)
+        rows = [starts.pop(end)]
+        for j in range(end - 1, begin - 1, -1):
+            rows.append(row_before(rows[-1], b[j]))
+        for j in range(begin, end):
+            same = rows.pop().to_bytes(width // 8 + 1, "little")
+            while i < n and a[i] != b[j] and same[(n - 1 - i) >> 3] >> ((n - 1 - i) & 7) & 1:
+                i += 1
+            if i < n and a[i] == b[j]:
+                middle.append((i, j))
+                i += 1
     return before + middle + after
 
 
@@ -508,7 +524,7 @@ def extract_main_text(pages: DataFrame, names: list[str] | None = None, url_col:
 
     Null or empty html: empty text. Null url: the page's host is the empty one, whose pages make one
     wrapper. Rows stand for themselves, repeated ones too; copies of a page make no text a template's. Named
-    columns called text or n_chars are replaced. Very long pages are read whole, their streams aligned in parts.
+    columns called text or n_chars are replaced. Very long pages are read and aligned whole.
     Blocks are joined in page order by two newlines.
     """
     names = [c for c in names or ["page_id", "url"] if c not in ("text", "n_chars")]

@@ -238,6 +238,33 @@ def test_words_encode_as_texts():
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+def test_latin_words_and_signs_encode_as_texts(monkeypatch):
+    """Special tokens are told by case, and words of letters do not pass through the whole tokenizer one by one."""
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    plain, words, r = Tokenizer.from_file(path), token_files.WordEncoder(path), random.Random(8)
+    parts = [*"aZéÉßñŒÿŸİıŁĲǅȺ×÷ªº'$#_`^&<|>", "e\u0301", "A\u030a", "\u0308", "ﬁ", "Ω", "²", "'s", "th", "End", "$$$", "!!", "<|ENDOFTEXT|>", "<|endoftext|>", "\xad", " "]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(6000)] + ["x<|ENDOFTEXT|>y.", "<|EndOfText|>a,", "\u0301 a", "É\x85é"]
+    wanted = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for whole in (texts, texts[::-1]):
+        found = words([t.encode() for t in whole])
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in (found if whole is texts else found[::-1])] == wanted
+    sent = []
+
+    class Counted:
+        normalizer, model = words.tokenizer.normalizer, words.tokenizer.model
+
+        def encode_batch_fast(self, batch, **kw):
+            sent.extend(batch)
+            return plain.encode_batch_fast(batch, **kw)
+
+    words = token_files.WordEncoder(path)
+    monkeypatch.setattr(words, "tokenizer", Counted())
+    words(["Straße naïveté, déjà-vu plain WORDS $$$ end$$$".encode()])
+    assert sorted(sent) == ["$$$", ",", "déjà-vu"]
+
+
 def test_only_wanted_frames_are_read_and_damage_is_seen(tmp_path):
     import zstandard
 

@@ -16,6 +16,7 @@ Tasks write files with pyarrow.fs, so that the folder can be on any store that p
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -40,6 +41,10 @@ ENCODED_BYTES = 4_000_000
 INDEX_TYPE = np.dtype([("doc_id", "<i8"), ("frame", "<u4"), ("at", "<u4"), ("n", "<u4")])
 #: fixed value: the splitting rule that drops white space, parts letters from other signs and has no look-around
 WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: fixed values: ASCII signs but the apostrophe, which the rule has no letters with; Latin letters
+SIGNS, LATIN = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level tokenizers show as themselves
+_BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _LOADED: dict = {}
 
 
@@ -137,7 +142,8 @@ def _splits_into_words(file: dict) -> bool:
     normal = [(s or {}).get("type") for s in steps(file.get("normalizer"), "normalizers")]
     cut = steps(file.get("pre_tokenizer"), "pretokenizers")
     replaced = [s for s in steps(file.get("normalizer"), "normalizers") if (s or {}).get("type") == "Replace"]
-    added = [a for a in file.get("added_tokens") or [] if any(c.isspace() for c in a["content"]) or a.get("lstrip") or a.get("rstrip") or a.get("normalized")]
+    added = [a for a in file.get("added_tokens") or [] if any(c.isspace() for c in a["content"]) or a["content"][:1].isalpha() or a.get("single_word") or a.get("lstrip") or a.get("rstrip") or a.get("normalized")]
+    model = file.get("model") or {}
     return (
         set(normal) <= {"NFC", "Replace", "Lowercase"}
         and "Lowercase" in normal
@@ -147,6 +153,10 @@ def _splits_into_words(file: dict) -> bool:
         and not cut[1]["add_prefix_space"]
         and not cut[1]["use_regex"]
         and not added
+        and model.get("type") == "BPE"
+        and not model.get("dropout")
+        and not file.get("truncation")
+        and not file.get("padding")
     )
 
 
@@ -155,9 +165,10 @@ class WordEncoder:
 
     Where its normaliser and its splitting rule treat white space as a border, a text's ids are those of its
     pieces between white space, in order; each distinct piece is encoded once and remembered. The rule also
-    has a border between a letter and the full stops or commas behind it, and its normaliser lower-cases,
-    so pieces of ASCII letters that differ in these alone are encoded as one. All this is read from the
-    file: with any other normaliser or rule, whole texts are encoded.
+    has a border between a letter and the signs behind it, and its normaliser lower-cases, so pieces of Latin
+    letters that differ in these alone are encoded as one. Such letters are one word of the rule, so they go to the
+    tokenizer's model as they are when normalised. All this is read from the file: with any other normaliser,
+    rule or model, whole texts are encoded.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
@@ -181,25 +192,35 @@ class WordEncoder:
         return [b"".join(map(known.__getitem__, p)) for p in pieces]
 
     def _learn(self, new: set[bytes]) -> None:
-        known, wanted, made = self.known, set(), []
+        known, wanted, letters, made, other = self.known, set(), set(), [], []
         for p in new:
-            core = p.rstrip(b".,")
-            if core and core != p and (core[-1] | 32) in range(97, 123):
-                core = core.lower() if core.isascii() else core
-                made.append((p, core, p[len(core) :]))
-                wanted.update(made[-1][1:])
-            elif p.isalpha() and p.isascii():
-                made.append((p, p.lower(), b""))
-                wanted.add(made[-1][1])
+            core = p.rstrip(SIGNS)
+            if core.isalpha():  # of bytes: ASCII letters
+                made.append((p, core.lower(), p[len(core) :]))
+            elif not core.isascii() and LATIN.fullmatch(word := core.decode()):
+                other.append((p, word, p[len(core) :]))
             else:
                 wanted.add(p)
-        wanted = list(wanted.difference(known))
+        normal = self.tokenizer.normalizer.normalize_str(" ".join([word for _, word, _ in other])).split(" ") if other else []
+        for (p, _, tail), word in zip(other, normal, strict=True):
+            if LATIN.fullmatch(word):  # still: some capitals become a letter with a mark
+                made.append((p, word.encode(), tail))
+            else:
+                wanted.add(p)
+        for _, core, tail in made:
+            letters.add(core)
+            wanted.add(tail)
         known[b""] = b""
+        tokenize = self.tokenizer.model.tokenize
+        for core in letters.difference(known):
+            ids = [t.id for t in tokenize(core.decode() if core.isascii() else core.decode("latin-1").translate(_BYTE_SIGNS))]
+            known[core] = struct.pack(f"<{len(ids)}I", *ids)
+        wanted = list(wanted.difference(known))
         encoded = self.tokenizer.encode_batch_fast([w.decode() for w in wanted], add_special_tokens=False)
         for w, e in zip(wanted, encoded, strict=True):
             known[w] = struct.pack(f"<{len(e)}I", *e.ids)
         for p, core, tail in made:
-            known[p] = known[core] + known[tail]
+            known[p] = known[core] + known[tail] if tail else known[core]
 
 
 def _encoder(path: str) -> WordEncoder:

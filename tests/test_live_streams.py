@@ -51,6 +51,30 @@ def test_answers_in_order_of_completion(spark, tmp_path):
     ]
 
 
+def test_states_grow_by_shards_not_clients(spark, tmp_path):
+    """Two runs over 1,000 clients, a client and items that are null, and equal times: places go on, and the state has few keys."""
+    rows = [(c, i, 1_000_000 + (c * 37 + i * 11) % 60 * 1_000_000, f"{c}-{i}") for c in range(1000) for i in range(3)]
+    rows += [(None, 2**60 + 1, 5_000_000, "nobody's"), (None, 1, 40_000_000, "nobody's"), (7, None, 3_000_000, "no item"), (7, None, 45_000_000, "no item"), (7, 2**60 + 1, 45_000_000, "big")]
+    runs = [[r for r in rows if r[2] < 30_000_000], [r for r in rows if r[2] >= 30_000_000], [(-1, 1, 10**15, "end")]]
+    ddl = "client long, item long, us long, text string"
+    with replay.state_store(spark):
+        for run in runs:
+            spark.createDataFrame(run, ddl).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema(ddl).parquet(str(tmp_path / "in"))
+            messages = stream.select("client", "item", F.timestamp_micros("us").alias("at"), F.lit("transcription").alias("type"), "text", F.lit(None).cast("string").alias("error"))
+            query = results.in_order(messages.withWatermark("at", "0 seconds")).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+            query.trigger(availableNow=True).start().awaitTermination(180)
+    wanted, places = set(), {}
+    for c, i, us, text in sorted(rows, key=lambda r: (r[2], r[1] is None, r[1] or 0)):
+        places[c] = places.get(c, 0) + 1
+        wanted.add((c, places[c], i, us, text))
+    found = spark.read.schema(results.MESSAGE).parquet(str(tmp_path / "out")).filter("client is null or client >= 0")
+    found = [tuple(r) for r in found.select("client", "place", "item", F.unix_micros("at"), "text").collect()]
+    assert len(found) == len(wanted)
+    assert set(found) == wanted
+    assert spark.read.format("statestore").load(str(tmp_path / "cp")).count() <= results.SHARDS + 1
+
+
 def test_counters_leave_the_state(spark):
     """A timer drops the counter once the watermark has passed its end; what comes later reads a missing one."""
     second = 1_000_000

@@ -10,22 +10,28 @@ from pyspark.sql import functions as F
 
 from turnstream.sources.shared import new_folder
 
-STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKS,
+    "spark.sql.streaming.join.stateFormatVersion": "3",  # one store a partition instead of four
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",  # else each write reads first, for a metric
+}
 
 
 @contextmanager
 def state_store(spark: SparkSession) -> Iterator[None]:
-    """Keyed state with timers needs RocksDB; the session's own setting comes back afterwards."""
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKS)
+    """Keyed state with timers needs RocksDB, and joins are faster with these settings; the session's own come back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(STORE)
-        else:
-            spark.conf.set(STORE, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def cuts(df: DataFrame, micros: Column, batches: int) -> list[int]:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 NO_ANSWER = "no answer in time"
 
@@ -31,53 +32,56 @@ def answered(requests: DataFrame, results: DataFrame, within_ms: int, delay: str
 
 
 MESSAGE = "client long, place long, item long, at timestamp, type string, text string, error string"
-_PENDING = "at long, item long, type string, text string, error string"
+SHARDS = 256
+_NO_CLIENT = -1
+_ROW = pa.schema([("client", pa.int64()), ("us", pa.int64()), ("no_item", pa.bool_()), ("item", pa.int64()), ("type", pa.string()), ("text", pa.string()), ("error", pa.string())])
+_STATE = "clients binary, sent binary, waiting binary"
+_PLACED = "shard int, client long, us long, no_item boolean, item long, type string, text string, error string, place long"
 
 
-class InOrder(StatefulProcessor):
-    """A client's messages by time: each waits until the watermark has passed it, as none that is earlier can come then.
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _ROW) as to:
+        to.write_table(rows)
+    return sink.getvalue().to_pybytes()
 
-    State: the messages that wait, the number of those sent, and one timer at the earliest that waits.
-    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", _PENDING)
-        self.sent = handle.getValueState("sent", "n long")
-
-    def _send(self, key: Any, pending: list[tuple], watermark: int) -> pd.DataFrame:
-        ready = sorted(m for m in pending if m[0] < watermark * 1000)
-        left = [m for m in pending if m[0] >= watermark * 1000]
-        n = self.sent.get()[0] if self.sent.exists() else 0
-        if ready:
-            self.sent.update((n + len(ready),))
-        self.waiting.clear()
-        if left:
-            self.waiting.put(left)
-            due = min(m[0] for m in left) // 1000 + 1
-            for t in list(self.handle.listTimers()):
-                if t != due:
-                    self.handle.deleteTimer(t)
-            self.handle.registerTimer(max(due, watermark + 1))
-        rows = [(key[0], n + 1 + k, m[1], pd.Timestamp(m[0], unit="us"), *m[2:]) for k, m in enumerate(ready)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in MESSAGE.split(", ")])
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        pending = list(self.waiting.get()) if self.waiting.exists() else []
-        for pdf in rows:
-            pdf = pdf.astype(object).where(pdf.notna(), None)
-            pending += list(zip(pdf["us"].astype(int), pdf["item"].astype(int), pdf["type"], pdf["text"], pdf["error"], strict=True))
-        yield self._send(key, [tuple(m) for m in pending], timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        pending = [tuple(m) for m in self.waiting.get()] if self.waiting.exists() else []
-        yield self._send(key, pending, timerValues.getCurrentWatermarkInMs())
-
-    def close(self) -> None:
-        pass
+def _send(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The messages of a shard's clients by time: each waits until the watermark has passed it, as none that is earlier can come then.
+
+    State: the clients with the number of messages sent to each, and those that wait; one timeout at the earliest that waits.
+    """
+    packed = state.getOption or (b"", b"", None)
+    clients, sent = (np.frombuffer(x, "<i8") for x in packed[:2])
+    watermark = state.getCurrentWatermarkMs()
+    came = [pa.Table.from_pandas(pdf[_ROW.names], schema=_ROW, preserve_index=False, nthreads=1) for pdf in frames if len(pdf)]
+    rows = pa.concat_tables([pa.ipc.open_stream(packed[2]).read_all() if packed[2] else _ROW.empty_table(), *came])
+    passed = rows["us"].to_numpy() < watermark * 1000
+    left, ready = rows.filter(pa.array(~passed)), rows.filter(pa.array(passed)).sort_by([(c, "ascending") for c in _ROW.names])
+    now, begin, n = np.unique(ready["client"].to_numpy(), return_index=True, return_counts=True)
+    every = np.union1d(clients, now)
+    before = np.zeros(len(every), "<i8")
+    before[np.searchsorted(every, clients)] = sent
+    at = np.searchsorted(every, now)
+    place = np.arange(1, len(ready) + 1) + np.repeat(before[at] - begin, n)
+    before[at] += n
+    state.update((every.astype("<i8").tobytes(), before.tobytes(), _packed(left) if len(left) else None))
+    if len(left):
+        state.setTimeoutTimestamp(max(int(left["us"].to_numpy().min()) // 1000, watermark + 1))
+    pdf = ready.to_pandas(use_threads=False)
+    pdf.insert(0, "shard", key[0])
+    pdf["place"] = place
+    yield pdf
 
 
 def in_order(messages: DataFrame) -> DataFrame:
-    """client, place, item, at, type, text, error: messages (of ``answered``) numbered by client in order of ``at``, then item."""
-    rows = messages.withColumn("us", F.unix_micros("at"))
-    return rows.groupBy("client").transformWithStateInPandas(statefulProcessor=InOrder(), outputStructType=MESSAGE, outputMode="Append", timeMode="EventTime")
+    """client, place, item, at, type, text, error: messages (of ``answered``) numbered by client in order of ``at``, then item.
+
+    Clients are dealt to ``SHARDS`` groups with one state each, so that a batch costs by its rows and not by its clients.
+    Nulls come last among items, and are a client of their own.
+    """
+    shard = F.when(F.col("client").isNull(), _NO_CLIENT).otherwise(F.pmod(F.xxhash64("client"), F.lit(SHARDS)).cast("int"))
+    rows = messages.withColumns({"shard": shard, "us": F.unix_micros("at"), "no_item": F.col("item").isNull(), "client": F.coalesce("client", F.lit(0)), "item": F.coalesce("item", F.lit(0))})
+    placed = rows.groupBy("shard").applyInPandasWithState(_send, _PLACED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    client, item = F.when(F.col("shard") != _NO_CLIENT, F.col("client")), F.when(~F.col("no_item"), F.col("item"))
+    return placed.select(client.alias("client"), "place", item.alias("item"), F.timestamp_micros("us").alias("at"), "type", "text", "error")

@@ -15,6 +15,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnstream.sources.shared import written
+
 # fixed values of the published method
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
 _LONGER = 0.99  # share of full stops of a sure abbreviation
@@ -46,22 +48,48 @@ def _word(token: Column) -> Column:
     return F.when(core.rlike(_NUMBER), NUMBER).otherwise(core)
 
 
-def tokens(texts: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """keep, place, piece, then of each token and its next one: word, upper, lower; stop, ending, dots, initial."""
-    pieces = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_PIECE), F.lit(0))
-    rows = texts.select(*keep, pieces.alias("pieces"))
-    pairs = F.transform("pieces", lambda p, i: F.struct(i.alias("place"), p.alias("piece"), F.get("pieces", i - 1).alias("before"), F.get("pieces", i + 1).alias("next")))
-    rows = rows.select(*keep, F.explode(pairs).alias("t")).select(*keep, "t.*")
-    token = lambda c: F.rtrim(F.regexp_replace(F.col(c), r"\s+$", ""))
-    rows = rows.withColumns({"bare": _bare(token("piece")), "word": _word(token("piece")), "next_word": _word(token("next"))})
-    first = lambda c: F.substring(F.regexp_replace(token(c), "^" + _OPENING, ""), 1, 1)
-    upper = lambda c: F.coalesce((first(c) == F.upper(first(c))) & (F.upper(first(c)) != F.lower(first(c))), F.lit(False))
-    lower = lambda c: F.coalesce((first(c) == F.lower(first(c))) & (F.upper(first(c)) != F.lower(first(c))), F.lit(False))
-    dots = F.col("bare").rlike(r"\.\.+$") | F.col("bare").endswith("…")
-    stop = F.col("bare").endswith(".") & ~dots
-    return rows.withColumns(
-        {"upper": upper("piece"), "next_upper": upper("next"), "next_lower": lower("next"), "lower": lower("piece"), "dots": dots, "stop": stop, "ending": F.col("bare").rlike("[?!]$"), "initial": stop & F.col("word").rlike(r"^\p{L}$"), "letters": F.col("word").rlike(r"\p{L}")}
-    ).drop("bare")
+def _tokens(text: str) -> Column:
+    return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S+"), F.lit(0))
+
+
+def _signed(token: Column) -> Column:
+    """Whether a token has a sign at all that a sentence may end with; one without is neither stop, dots nor ending."""
+    return token.contains(".") | token.contains("?") | token.contains("!") | token.contains("…")
+
+
+def _dealt(texts: DataFrame) -> DataFrame:
+    """However few files the texts come in."""
+    return texts.repartition(F.xxhash64(*texts.columns))
+
+
+def _kind(rows: DataFrame, token: str, of: str = "") -> DataFrame:
+    """The columns word; stop, dots, ending, initial, letters of the token, each with ``of`` before its name."""
+    rows = rows.withColumns({f"{of}bare": _bare(F.col(token)), f"{of}word": _word(F.col(token))})
+    bare, word = F.col(f"{of}bare"), F.col(f"{of}word")
+    rows = rows.withColumn(f"{of}dots", bare.rlike(r"\.\.+$") | bare.endswith("…"))
+    stop = bare.endswith(".") & ~F.col(f"{of}dots")
+    return rows.withColumns({f"{of}stop": stop, f"{of}ending": bare.rlike("[?!]$"), f"{of}initial": stop & word.rlike(r"^\p{L}$"), f"{of}letters": word.rlike(r"\p{L}")}).drop(f"{of}bare")
+
+
+def _case(rows: DataFrame, token: str, of: str = "") -> DataFrame:
+    """The columns upper and lower: how the token's first letter is written."""
+    rows = rows.withColumn("first", F.substring(F.regexp_replace(F.col(token), "^" + _OPENING, ""), 1, 1))
+    first = F.col("first")
+    cased = F.upper(first) != F.lower(first)
+    return rows.withColumns({f"{of}upper": F.coalesce((first == F.upper(first)) & cased, F.lit(False)), f"{of}lower": F.coalesce((first == F.lower(first)) & cased, F.lit(False))}).drop("first")
+
+
+def counted(texts: DataFrame, text: str) -> DataFrame:
+    """n, the times of each token behind each other one: first, and of both word, stop, dots, ending, initial and letters; upper, lower.
+
+    What is in columns that begin with b_ is of the token before. Of those that can end nothing it is not told which they are,
+    so that the table grows with words and with ends of sentences, and not with tokens.
+    """
+    rows = _dealt(texts.select(text)).select(_tokens(text).alias("tokens"))
+    before = lambda i: F.get("tokens", i - 1)
+    pairs = F.transform("tokens", lambda t, i: F.struct((i == 0).alias("first_token"), F.when(_signed(before(i)), before(i)).otherwise("").alias("before"), t.alias("token")))
+    rows = rows.select(F.explode(pairs).alias("t")).select("t.*").groupBy("first_token", "before", "token").agg(F.count("*").alias("n"))
+    return _case(_kind(_kind(rows, "before", "b_"), "token"), "token").drop("before", "token")
 
 
 def _log(x: Column) -> Column:
@@ -87,47 +115,59 @@ def together(a: Column, b: Column, both: Column, n: Column) -> Column:
 
 def train(texts: DataFrame, text: str = "text") -> Model:
     """The model of all texts. Null and empty texts have no tokens; without texts all tables are empty."""
-    rows = tokens(texts, text, [])
-    sums = rows.agg(F.count("*").cast("double").alias("n"), F.coalesce(F.sum(F.col("stop").cast("double")), F.lit(0.0)).alias("stops"))
-    words = rows.filter("letters").groupBy("word").agg(F.count("*").cast("double").alias("times"), F.sum(F.col("stop").cast("double")).alias("with_stop"))
+    rows = written(counted(texts, text), "sentence-words")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double")
+    times = lambda c: F.col(c).cast("long") * F.col("n")
+    sums = rows.agg(total("n").alias("n"), total(times("stop")).alias("stops"))
+    words = rows.filter("letters").groupBy("word").agg(total("n").alias("times"), total(times("stop")).alias("with_stop"))
     inner = F.length("word") - F.length(F.regexp_replace("word", r"\.", ""))
     signs = (F.length("word") - inner).cast("double")
     without = F.col("times") - F.col("with_stop")
     score = dunning(F.col("times"), F.col("stops"), F.col("with_stop"), F.col("n")) * F.exp(-signs) * (inner + 1) * F.pow(signs, -without)
     abbreviations = words.filter("with_stop > 0").join(F.broadcast(sums), how="inner").filter(score >= ABBREVIATION).select("word")  # one row of sums
-
-    marked = rows.join(abbreviations.withColumn("abbreviated", F.lit(True)), "word", "left").withColumn("abbreviated", F.col("stop") & F.coalesce("abbreviated", F.lit(False)))
-    odd = (F.col("word") == NUMBER) | F.col("initial")
-    ends = F.col("ending") | (F.col("stop") & ~F.col("abbreviated"))
-    n = F.col("n")
-
-    count = rows.filter("word <> ''").groupBy("word").agg(F.count("*").cast("double").alias("times"))
-    behind = marked.filter(F.col("stop") & (F.col("abbreviated") | odd) & F.col("letters") | F.col("stop") & (F.col("word") == NUMBER)).filter("next_word <> ''")
-    pairs = behind.groupBy("word", "next_word").agg(F.count("*").cast("double").alias("both"))
+    abbreviations = written(abbreviations, "sentence-abbreviations")
+
+    def ended(rows: DataFrame, of: str) -> DataFrame:
+        """Rows with stops: abbreviated, and ends, of the token with ``of`` before its columns' names."""
+        short = abbreviations.select(F.col("word").alias(f"{of}word"), F.lit(True).alias("abbreviated"))
+        rows = rows.join(short, f"{of}word", "left").withColumn("abbreviated", F.col(f"{of}stop") & F.coalesce("abbreviated", F.lit(False)))
+        return rows.withColumn("ends", F.col(f"{of}ending") | (F.col(f"{of}stop") & ~F.col("abbreviated")))
+
+    marked = ended(rows.filter("b_stop"), "b_").unionByName(rows.filter("not b_stop").withColumns({"abbreviated": F.lit(False), "ends": F.col("b_ending")}))
+    odd = (F.col("b_word") == NUMBER) | F.col("b_initial")
+    n = F.col("all")
+    sums = sums.withColumnRenamed("n", "all")
+
+    count = rows.filter("word <> ''").groupBy("word").agg(total("n").alias("times"))
+    behind = marked.filter(F.col("b_stop") & (F.col("abbreviated") | odd) & F.col("b_letters") | F.col("b_stop") & (F.col("b_word") == NUMBER)).filter("word <> ''")
+    pairs = behind.groupBy(F.col("b_word").alias("word"), F.col("word").alias("next_word")).agg(total("n").alias("both"))
     pairs = pairs.join(count.withColumnRenamed("times", "a"), "word").join(count.select(F.col("word").alias("next_word"), F.col("times").alias("b")), "next_word").join(F.broadcast(sums))
     related = (together(F.col("a"), F.col("b"), F.col("both"), n) >= COLLOCATION) & (n / F.col("a") > F.col("b") / F.col("both")) & (F.col("both") > 1)
     collocations = pairs.filter(related).select("word", "next_word")
 
-    begun = marked.filter(ends & ~odd & (F.col("next_word") != "") & F.col("next_word").rlike(r"^\p{L}+$"))
-    breaks = marked.agg(F.coalesce(F.sum(ends.cast("double")), F.lit(0.0)).alias("breaks"))
-    firsts = begun.groupBy(F.col("next_word").alias("word")).agg(F.count("*").cast("double").alias("both")).join(count, "word").join(F.broadcast(sums)).join(F.broadcast(breaks))
+    begun = marked.filter(F.col("ends") & ~odd & F.col("word").rlike(r"^\p{L}+$"))
+    breaks = ended(rows.filter("stop or ending"), "").filter("ends").agg(total("n").alias("breaks"))
+    firsts = begun.groupBy("word").agg(total("n").alias("both")).join(count, "word").join(F.broadcast(sums)).join(F.broadcast(breaks))
     starts = (together(F.col("breaks"), F.col("times"), F.col("both"), n) >= STARTER) & (n / F.col("breaks") > F.col("times") / F.col("both"))
     starters = firsts.filter(starts).select("word")
 
     # how a word is written behind a sentence's end, inside of one, and where it is not known which
-    unknown = (F.col("stop") & (F.col("abbreviated") | odd)) | F.col("dots")
-    where = F.when(unknown, "unknown").when(ends, "begin").otherwise("middle")
-    seen = marked.filter("next_word <> ''").select(F.col("next_word").alias("word"), where.alias("where"), F.col("next_upper").alias("upper"), F.col("next_lower").alias("lower"))
-    opening = marked.filter("place = 0 and word <> ''").select("word", F.lit("begin").alias("where"), "upper", "lower")
+    unknown = (F.col("b_stop") & (F.col("abbreviated") | odd)) | F.col("b_dots")
+    where = F.when(F.col("first_token"), "begin").when(unknown, "unknown").when(F.col("ends"), "begin").otherwise("middle")
+    seen = marked.filter("word <> ''").withColumn("where", where)
     has = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    orthography = seen.unionByName(opening).groupBy("word").agg(has(F.col("lower")).alias("lower_seen"), has(F.col("upper")).alias("upper_seen"), has(F.col("upper") & (F.col("where") == "middle")).alias("upper_inside"), has(F.col("lower") & (F.col("where") == "begin")).alias("lower_first"))
+    orthography = seen.groupBy("word").agg(has(F.col("lower")).alias("lower_seen"), has(F.col("upper")).alias("upper_seen"), has(F.col("upper") & (F.col("where") == "middle")).alias("upper_inside"), has(F.col("lower") & (F.col("where") == "begin")).alias("lower_first"))
     return Model(abbreviations, collocations, starters, orthography)
 
 
 def breaks(texts: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
     """keep, place: the tokens that a sentence ends with."""
     yes = lambda df, name: df.withColumn(name, F.lit(True))
-    rows = tokens(texts, text, keep).filter((F.col("stop") | F.col("dots") | F.col("ending")) & F.col("next").isNotNull())
+    rows = _dealt(texts.select(*keep, F.col(text).alias("text_of_tokens"))).select(*keep, _tokens("text_of_tokens").alias("tokens"))
+    pairs = F.transform("tokens", lambda t, i: F.struct(i.alias("place"), t.alias("token"), F.get("tokens", i + 1).alias("next")))
+    rows = rows.select(*keep, F.explode(F.filter(pairs, lambda p: _signed(p["token"]) & p["next"].isNotNull())).alias("t")).select(*keep, "t.*")
+    rows = _kind(rows, "token").filter("stop or dots or ending").withColumn("next_word", _word(F.col("next")))
+    rows = _case(rows, "next", "next_")
     rows = rows.join(yes(model.abbreviations, "abbreviated"), "word", "left").join(yes(model.collocations, "related"), ["word", "next_word"], "left")
     rows = rows.join(yes(model.starters, "starter").withColumnRenamed("word", "next_word"), "next_word", "left").join(model.orthography.withColumnRenamed("word", "next_word"), "next_word", "left")
     known = lambda c: F.coalesce(F.col(c), F.lit(False))
@@ -155,7 +195,9 @@ def split_sentences(texts: DataFrame, model: Model, text: str, keep: list[str])
     at = at.select(*[F.col(k).alias(f"key_of_{i}") for i, k in enumerate(keep)], "sentence_ends")
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"key_of_{i}")) for i, k in enumerate(keep)])
     joined = texts.join(at, same, "left").select(*texts.columns, F.coalesce("sentence_ends", F.array().cast("array<int>")).alias("sentence_ends"))
-    pieces = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_PIECE), F.lit(0))
-    ends = F.concat("sentence_ends", F.array(F.size(pieces) - 1))
-    cut = F.transform(ends, lambda e, i: F.regexp_replace(F.array_join(F.slice(pieces, F.coalesce(F.get(ends, i - 1) + 2, F.lit(1)), e - F.coalesce(F.get(ends, i - 1), F.lit(-1))), ""), r"\s+$", ""))
-    return joined.withColumn("sentences", F.when(F.size(pieces) > 0, cut).otherwise(F.array().cast("array<string>"))).drop("sentence_ends")
+    # columns of their own, as each sentence would find them anew inside of the lambda
+    joined = joined.withColumn("sentence_pieces", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_PIECE), F.lit(0)))
+    joined = joined.withColumn("sentence_ends", F.concat("sentence_ends", F.array(F.size("sentence_pieces") - 1)))
+    last = lambda i: F.get("sentence_ends", i - 1)
+    cut = F.transform("sentence_ends", lambda e, i: F.regexp_replace(F.array_join(F.slice("sentence_pieces", F.coalesce(last(i) + 2, F.lit(1)), e - F.coalesce(last(i), F.lit(-1))), ""), r"\s+$", ""))
+    return joined.withColumn("sentences", F.when(F.size("sentence_pieces") > 0, cut).otherwise(F.array().cast("array<string>"))).drop("sentence_ends", "sentence_pieces")

@@ -57,11 +57,6 @@ def _signed(token: Column) -> Column:
     return token.contains(".") | token.contains("?") | token.contains("!") | token.contains("…")
 
 
-def _dealt(texts: DataFrame) -> DataFrame:
-    """However few files the texts come in."""
-    return texts.repartition(F.xxhash64(*texts.columns))
-
-
 def _kind(rows: DataFrame, token: str, of: str = "") -> DataFrame:
     """The columns word; stop, dots, ending, initial, letters of the token, each with ``of`` before its name."""
     rows = rows.withColumns({f"{of}bare": _bare(F.col(token)), f"{of}word": _word(F.col(token))})
@@ -83,12 +78,12 @@ def counted(texts: DataFrame, text: str) -> DataFrame:
     """n, the times of each token behind each other one: first, and of both word, stop, dots, ending, initial and letters; upper, lower.
 
     What is in columns that begin with b_ is of the token before. Of those that can end nothing it is not told which they are,
-    so that the table grows with words and with ends of sentences, and not with tokens.
+    so that the table grows with words and with ends of sentences, and not with tokens. Equal texts are read once and count as often as they come.
     """
-    rows = _dealt(texts.select(text)).select(_tokens(text).alias("tokens"))
+    rows = texts.groupBy(F.col(text).alias("text")).agg(F.count("*").alias("copies")).select("copies", _tokens("text").alias("tokens"))
     before = lambda i: F.get("tokens", i - 1)
     pairs = F.transform("tokens", lambda t, i: F.struct((i == 0).alias("first_token"), F.when(_signed(before(i)), before(i)).otherwise("").alias("before"), t.alias("token")))
-    rows = rows.select(F.explode(pairs).alias("t")).select("t.*").groupBy("first_token", "before", "token").agg(F.count("*").alias("n"))
+    rows = rows.select("copies", F.explode(pairs).alias("t")).select("copies", "t.*").groupBy("first_token", "before", "token").agg(F.sum("copies").alias("n"))
     return _case(_kind(_kind(rows, "before", "b_"), "token"), "token").drop("before", "token")
 
 
@@ -163,7 +158,8 @@ def train(texts: DataFrame, text: str = "text") -> Model:
 def breaks(texts: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
     """keep, place: the tokens that a sentence ends with."""
     yes = lambda df, name: df.withColumn(name, F.lit(True))
-    rows = _dealt(texts.select(*keep, F.col(text).alias("text_of_tokens"))).select(*keep, _tokens("text_of_tokens").alias("tokens"))
+    # dealt however few files the texts come in
+    rows = texts.select(*keep, F.col(text).alias("text_of_tokens")).repartition(*keep).select(*keep, _tokens("text_of_tokens").alias("tokens"))
     pairs = F.transform("tokens", lambda t, i: F.struct(i.alias("place"), t.alias("token"), F.get("tokens", i + 1).alias("next")))
     rows = rows.select(*keep, F.explode(F.filter(pairs, lambda p: _signed(p["token"]) & p["next"].isNotNull())).alias("t")).select(*keep, "t.*")
     rows = _kind(rows, "token").filter("stop or dots or ending").withColumn("next_word", _word(F.col("next")))
